@@ -21,6 +21,10 @@ no bytes; ids outside the vocabulary raise; rows may repeat; other columns are i
 from __future__ import annotations
 
 import base64
+import hashlib
+import heapq
+import re
+from array import array
 from collections.abc import Callable
 
 import numpy as np
@@ -29,11 +33,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Characters of a text and bytes of a pre-token that are encoded without halving.
-LEAF_CHARS, LEAF_BYTES = 4096, 24
+LEAF_CHARS, LEAF_BYTES = 4096, 8
 #: Characters before a seam that the pattern may look at: a contraction's letters.
 LOOKAHEAD = 3
-#: Distinct pre-tokens whose tokens a worker keeps.
-CACHED = 200_000
+#: Distinct pre-tokens whose tokens a worker keeps, in each of two generations.
+CACHED = 400_000
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -42,6 +46,15 @@ def read_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
 
 
+def ascii_form(pattern: str) -> str:
+    """A pattern of \\p{L}, \\p{N}, \\s and \\S that splits ASCII texts alike, with plain classes."""
+    inside = {r"\p{L}": "A-Za-z", r"\p{N}": "0-9", r"\s": r"\x09-\x0d "}
+    out = re.sub(r"\[[^\]]*\]", lambda m: re.sub(r"\\p\{[LN]\}|\\s", lambda x: inside[x[0]], m[0]).replace("[", "\0"), pattern)
+    for k, v in {**inside, r"\S": r"^\x09-\x0d "}.items():
+        out = re.sub(rf"{re.escape(k)}(?![^\0\[]*\])", lambda _, v=v: f"[{v}]", out)
+    return out.replace("\0", "[")
+
+
 class Codec:
     """Encodes and decodes by ranks and a pre-token pattern."""
 
@@ -49,34 +62,76 @@ class Codec:
         import regex
 
         self.ranks, self.leaf_chars, self.leaf_bytes = ranks, leaf_chars, leaf_bytes
-        self.split = regex.compile(pattern)
+        self._split, self._ascii = regex.compile(pattern).findall, re.compile(ascii_form(pattern)).findall
         self.tokens: list[bytes] = [b""] * (max(ranks.values()) + 1)
         for token, rank in ranks.items():
             self.tokens[rank] = token
-        self.cache: dict[str, bytes] = {}
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+        self.short: dict[bytes, list[int]] = {}
+        self.pairs: dict[tuple[int, int], bool] = {}
 
     # Pre-tokens
 
     def merged(self, data: bytes) -> list[int]:
         """The encoding of a short byte string: always join the neighbours of the lowest rank."""
-        ranks = self.ranks
-        parts = [data[i : i + 1] for i in range(len(data))]
-        pairs = [ranks.get(data[i : i + 2], 1 << 60) for i in range(len(data) - 1)]
+        if len(data) > 64:
+            return self._merged_long(data)
+        get, none = self.ranks.get, 1 << 60
+        cuts = list(range(len(data) + 1))
+        pairs = [get(data[i : i + 2], none) for i in range(len(data) - 1)]
         while pairs:
             low = min(pairs)
-            if low == 1 << 60:
+            if low == none:
                 break
             i = pairs.index(low)
-            parts[i : i + 2] = [parts[i] + parts[i + 1]]
-            del pairs[i]
+            del pairs[i], cuts[i + 1]
             if i < len(pairs):
-                pairs[i] = ranks.get(parts[i] + parts[i + 1], 1 << 60)
+                pairs[i] = get(data[cuts[i] : cuts[i + 2]], none)
             if i:
-                pairs[i - 1] = ranks.get(parts[i - 1] + parts[i], 1 << 60)
-        return [ranks[p] for p in parts]
+                pairs[i - 1] = get(data[cuts[i - 1] : cuts[i + 1]], none)
+        return [self.ranks[data[a:b]] for a, b in zip(cuts, cuts[1:])]
+
+    def _merged_long(self, data: bytes) -> list[int]:
+        """merged() with a heap of pairs: n log n steps."""
+        get, n = self.ranks.get, len(data)
+        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
+        heap = [(k, i, 2) for i in range(n - 1) if (k := get(data[i : i + 2])) is not None]
+        heapq.heapify(heap)
+        size = [1] * n  # 0: merged into the part before
+        while heap:
+            _, i, length = heapq.heappop(heap)
+            j = after[i]
+            if not size[i] or j >= n or size[i] + size[j] != length:
+                continue
+            size[i], size[j], after[i] = length, 0, after[j]
+            if after[i] < n:
+                before[after[i]] = i
+                if (k := get(data[i : i + length + size[after[i]]])) is not None:
+                    heapq.heappush(heap, (k, i, length + size[after[i]]))
+            if (h := before[i]) >= 0 and (k := get(data[h : i + length])) is not None:
+                heapq.heappush(heap, (k, h, i + length - h))
+        return [self.ranks[data[i : i + size[i]]] for i in range(n) if size[i]]
+
+    def part(self, data: bytes) -> list[int]:
+        """merged(), remembered; the list must not be changed."""
+        if len(data) > 64:
+            return self.merged(data)
+        found = self.short.get(data)
+        if found is None:
+            if len(self.short) >= CACHED:
+                self.short.clear()
+            found = self.short[data] = self.merged(data)
+        return found
 
     def _stable(self, left: int, right: int) -> bool:
-        return self.merged(self.tokens[left] + self.tokens[right]) == [left, right]
+        """Whether two tokens side by side are the encoding of their bytes."""
+        found = self.pairs.get((left, right))
+        if found is None:
+            if len(self.pairs) >= CACHED:
+                self.pairs.clear()
+            found = self.pairs[left, right] = self.merged(self.tokens[left] + self.tokens[right]) == [left, right]
+        return found
 
     def joined(self, left: list[int], right: list[int]) -> list[int]:
         """The encoding of two encodings' bytes together."""
@@ -87,7 +142,7 @@ class Codec:
         a = b = 1
         while True:
             a, b = min(a, len(left)), min(b, len(right))
-            window = self.merged(b"".join(self.tokens[t] for t in left[len(left) - a :] + right[:b]))
+            window = self.part(b"".join([self.tokens[t] for t in left[len(left) - a :] + right[:b]]))
             left_ok = a == len(left) or self._stable(left[-a - 1], window[0])
             right_ok = b == len(right) or self._stable(window[-1], right[b])
             if left_ok and right_ok:
@@ -98,20 +153,24 @@ class Codec:
         """The encoding of one pre-token: its own token, or leaves, then joins up the tree."""
         if data in self.ranks:
             return [self.ranks[data]]
+        return self._tree(data)
+
+    def _tree(self, data: bytes) -> list[int]:
         if len(data) <= self.leaf_bytes:
-            return self.merged(data)
-        level = [self.merged(data[i : i + self.leaf_bytes]) for i in range(0, len(data), self.leaf_bytes)]
-        while len(level) > 1:
-            level = [self.joined(level[i], level[i + 1]) if i + 1 < len(level) else level[i] for i in range(0, len(level), 2)]
-        return level[0]
+            return self.part(data)
+        half = len(data) // 2
+        return self.joined(self._tree(data[:half]), self._tree(data[half:]))
 
     # Texts
 
+    def split(self, text: str) -> list[str]:
+        return self._ascii(text) if text.isascii() else self._split(text)
+
     def pretokens(self, text: str) -> list[str]:
         """A text's pre-tokens: leaves, then joins up the tree."""
         if len(text) <= self.leaf_chars:
-            return self.split.findall(text)
-        level = [self.split.findall(text[i : i + self.leaf_chars]) for i in range(0, len(text), self.leaf_chars)]
+            return self.split(text)
+        level = [self.split(text[i : i + self.leaf_chars]) for i in range(0, len(text), self.leaf_chars)]
         while len(level) > 1:
             level = [self.seam(level[i], level[i + 1]) if i + 1 < len(level) else level[i] for i in range(0, len(level), 2)]
         return level[0]
@@ -126,7 +185,7 @@ class Codec:
         take = 1
         while True:
             take = min(take, len(right))
-            window = self.split.findall(head + "".join(right[:take]))
+            window = self.split(head + "".join(right[:take]))
             if take == len(right):
                 return left[:keep] + window
             # Its last pre-tokens may still change; the earlier boundaries may not.
@@ -144,17 +203,13 @@ class Codec:
 
     def encode(self, text: str) -> np.ndarray:
         """A text's token ids."""
-        cache, found = self.cache, []
-        for p in self.pretokens(text):
-            ids = cache.get(p)
-            if ids is None:
-                ids = np.array(self.pretoken(p.encode()), np.int32).tobytes()
-                if len(p) <= 64:
-                    if len(cache) >= CACHED:
-                        cache.clear()
-                    cache[p] = ids
-            found.append(ids)
-        return np.frombuffer(b"".join(found), np.int32)
+        pieces = self.pretokens(text)
+        for p in set(pieces).difference(self.young):
+            self.young[p] = self.old.get(p) or array("i", self.pretoken(p.encode())).tobytes()
+        out = np.frombuffer(b"".join(map(self.young.__getitem__, pieces)), np.int32)
+        if len(self.young) >= CACHED:
+            self.young, self.old = {}, self.young
+        return out
 
     def decode(self, ids: list[int]) -> bytes:
         """The bytes of token ids."""
@@ -163,15 +218,22 @@ class Codec:
         return b"".join(map(self.tokens.__getitem__, ids))
 
 
+#: A worker's codec and its key, kept from task to task.
+_MADE: dict[str, Codec] = {}
+
+
 def _shared_codec(spark: SparkSession, vocabulary: str, pattern: str) -> Callable[[], Codec]:
-    """Gives each Python worker its codec. The driver reads the file; its bytes are broadcast."""
+    """Gives each Python worker its codec. The driver reads the file; its ranks are broadcast."""
     ranks = spark.sparkContext.broadcast(read_ranks(vocabulary))  # a fixed vocabulary: about 1 MB
-    made: list[Codec] = []
+    key = hashlib.sha256(repr((sorted(ranks.value.items()), pattern)).encode()).hexdigest()
 
     def get() -> Codec:
-        if not made:
-            made.append(Codec(ranks.value, pattern))
-        return made[0]
+        from fascicle.llm import bpe
+
+        if key not in bpe._MADE:
+            bpe._MADE.clear()
+            bpe._MADE[key] = Codec(ranks.value, pattern)
+        return bpe._MADE[key]
 
     return get
 

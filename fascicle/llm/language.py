@@ -23,6 +23,7 @@ from __future__ import annotations
 
 import math
 import re
+import uuid
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -33,7 +34,8 @@ from pyspark.sql import functions as F
 WORD = re.compile(r"[^\W\d_]+")
 START = "▁"
 PER_LANG, ROUNDS, SMOOTH = 800, 2, 0.1
-CACHED = 200_000
+#: Words whose log probabilities a worker keeps.
+CACHED = 600_000
 
 
 def read_pieces(path: str) -> list[str]:
@@ -126,30 +128,104 @@ class Model:
 
 
 class Scorer:
+    """Predicts languages; keeps the log probabilities of words it has met."""
+
     def __init__(self, model: Model):
-        self.langs, self.lattice = model.langs, Lattice(model.pieces)
-        self.probs = [tuple(row) for row in model.probs.tolist()]
+        self.langs, self.lattice, self.probs = model.langs, Lattice(model.pieces), model.probs
+        self.rows = [tuple(row) for row in model.probs.tolist()]
         self.at: dict[str, int] = {}
         self.logs = np.zeros((CACHED, max(1, len(self.langs))))
 
-    def predict(self, text: str | None) -> tuple[str, float]:
-        words = WORD.findall((text or "").lower())
-        if not self.langs or not any(c.isalpha() for w in words for c in w):
+    def _learn(self, words: set[str]) -> None:
+        """Adds words' log probabilities; words of one length go through the forward pass together."""
+        by_length: dict[int, list[str]] = defaultdict(list)
+        for w in words:
+            by_length[len(w)].append(w)
+        for n, group in by_length.items():
+            lo = len(self.at)
+            self.at.update(zip(group, range(lo, lo + len(group))))
+            if n > 40 or len(group) < 4:
+                self.logs[lo : lo + len(group)] = [self.lattice.forward(w, self.rows, len(self.langs)) for w in group]
+            else:
+                self.logs[lo : lo + len(group)] = self._forward(group, n + 1)
+
+    def _forward(self, group: list[str], n: int) -> np.ndarray:
+        find, other = self.lattice.prefix.get, self.lattice.other
+        alpha = np.zeros((n + 1, len(group), len(self.langs)))
+        alpha[0] = 1.0
+        texts = [START + w for w in group]
+        for i in range(n):
+            arcs: list[tuple[list[int], list[int]]] = [([], []) for _ in range(n - i)]
+            for r, t in enumerate(texts):
+                k = find(t[i])
+                if k is None or k < 0:
+                    arcs[0][0].append(r)
+                    arcs[0][1].append(other)
+                else:
+                    arcs[0][0].append(r)
+                    arcs[0][1].append(k)
+                j = i + 2
+                while k is not None and j <= n:
+                    k = find(t[i:j])
+                    if k is not None and k >= 0:
+                        found = arcs[j - i - 1]
+                        found[0].append(r)
+                        found[1].append(k)
+                    j += 1
+            for step, (rows, ids) in enumerate(arcs):
+                if rows:
+                    alpha[i + step + 1, rows] += alpha[i, rows] * self.probs[ids]
+        return np.log(np.maximum(alpha[n], 1e-300))
+
+    def predict(self, texts: list[str | None]) -> list[tuple[str, float]]:
+        """(language, posterior) of each text."""
+        out = []
+        for lo in range(0, len(texts), 256):
+            part = [WORD.findall((t or "").lower()) for t in texts[lo : lo + 256]]
+            if max(map(len, part)) > CACHED // 4:
+                out += self._long(texts[lo : lo + 256])
+            else:
+                out += self._score(part)
+        return out
+
+    def _long(self, texts: list[str | None]) -> list[tuple[str, float]]:
+        """As predict(), each text by itself and in parts."""
+        out = []
+        for t in texts:
+            words = WORD.findall((t or "").lower())
+            totals = [self._total(words[i : i + CACHED // 4]) for i in range(0, len(words), CACHED // 4)]
+            out.append(self._best(words, sum(totals) if totals else None))
+        return out
+
+    def _total(self, words: list[str]) -> np.ndarray:
+        new = set(words).difference(self.at)
+        if len(self.at) + len(new) > CACHED:
+            self.at.clear()
+            new = set(words)
+        self._learn(new)
+        return self.logs[list(map(self.at.__getitem__, words))].sum(0)
+
+    def _best(self, words: list[str], total: np.ndarray | None) -> tuple[str, float]:
+        if not self.langs or total is None or not any(c.isalpha() for w in words for c in w):
             return "und", 0.0
-        total = np.zeros(len(self.langs))
-        for lo in range(0, len(words), CACHED // 2):
-            part = words[lo : lo + CACHED // 2]
-            new = set(part).difference(self.at)
-            if len(self.at) + len(new) > CACHED:
-                self.at.clear()
-                new = set(part)
-            for w in new:
-                self.logs[len(self.at)] = self.lattice.forward(w, self.probs, len(self.langs))
-                self.at[w] = len(self.at)
-            total += self.logs[list(map(self.at.__getitem__, part))].sum(0)
         best = int(total.argmax())
         return self.langs[best], round(float(1 / np.exp(total - total[best]).sum()), 6)
 
+    def _score(self, part: list[list[str]]) -> list[tuple[str, float]]:
+        new: set[str] = set().union(*part).difference(self.at)
+        if len(self.at) + len(new) > CACHED:
+            self.at.clear()
+            new = set().union(*part)
+        if len(new) > CACHED:
+            return [self._best(w, self._total(w) if w else None) for w in part]
+        self._learn(new)
+        get = self.at.__getitem__
+        return [self._best(w, self.logs[list(map(get, w))].sum(0) if w else None) for w in part]
+
+
+#: A worker's scorer and its key, kept from task to task.
+_MADE: dict[str, Scorer] = {}
+
 
 def held_out(id_col: str = "doc_id", parts: int = 4, part: int = 2) -> Column:
     return F.coalesce(F.crc32(F.col(id_col).cast("string")) % parts == part, F.lit(False))
@@ -204,13 +280,16 @@ def predict(docs: DataFrame, model: Model, text_col: str = "text", into: str = "
     """docs with a struct column (lang_pred, score) added; only the text goes to Python."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
     kind = pa.struct([("lang_pred", pa.string()), ("score", pa.float64())])
-    made: list[Scorer] = []
+    key = uuid.uuid4().hex
 
     def run(batches):
-        if not made:
-            made.append(shared.value.scorer())
+        from fascicle.llm import language
+
+        if key not in language._MADE:
+            language._MADE.clear()
+            language._MADE[key] = shared.value.scorer()
         for texts in batches:
-            found = [made[0].predict(t) for t in texts.to_pylist()]
+            found = language._MADE[key].predict(texts.to_pylist())
             yield pa.StructArray.from_arrays([pa.array([x[0] for x in found], pa.string()), pa.array([x[1] for x in found], pa.float64())], fields=list(kind))
 
     return docs.withColumn(into, _iterated(run, "lang_pred string, score double")(F.col(text_col).cast("string")))

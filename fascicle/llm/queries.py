@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from fascicle.llm import bpe, decontaminate, language, line_dedup, simhash, toxicity
+from fascicle.llm import bpe, decontaminate, fingerprint, language, line_dedup, pii, secrets, simhash, substrings, toxicity
 
 QUERIES = {
     "op1_byte_bpe": bpe.query,
@@ -11,11 +11,18 @@ QUERIES = {
     "op3_simhash": simhash.query,
     "op4_language_id": language.query,
     "op5_toxicity": toxicity.query,
+    "op6_fingerprint": fingerprint.query,
+    "op7_substring_dedup": substrings.query,
+    "op8_secret_scan": secrets.query,
     "op9_decontaminate": decontaminate.query,
+    "op10_pii": pii.query,
     "pipeline": corpus_pipeline.run,
 }
 
 SQL = {
     "op2_line_dedup": line_dedup.SQL,
+    "op7_substring_dedup": substrings.SQL,
+    "op8_secret_scan": secrets.SQL,
     "op9_decontaminate": decontaminate.SQL,
+    "op10_pii": pii.SQL,
 }

@@ -31,12 +31,16 @@ from pyspark.sql import functions as F
 
 from fascicle.llm.language import _iterated, held_out
 
-WORD = re.compile(r"[^\W_]+")
 #: Characters that look like Latin letters, and the letters.
-HOMOGLYPHS = str.maketrans("аеорсухіјѕԁһкмтвнαορτνικεⅰ０１３４５７", "aeopcyxijsdhkmtbhaoptvikeioieast")
-DIGITS = str.maketrans("013457", "oieast")
+LOOKALIKE, LATIN = "аеорсухіјѕԁһкмтвнαορτνικεⅰ０１３４５７", "aeopcyxijsdhkmtbhaoptvikeioieast"
+HOMOGLYPHS = str.maketrans(LOOKALIKE, LATIN)
+HOMOGLYPH = re.compile(f"[{LOOKALIKE}]")
+#: Beyond ASCII: punctuation and spaces, which end a word.
+MARKS = re.compile("[\u0080-\u00a9\u00ab-\u00b4\u00b6-\u00b9\u00bb-\u00bf\u2000-\u206f\u3000-\u303f]")
 SYMBOL = re.compile(r"(?<=\w)[@$!](?=\w)")
 SYMBOLS = {"@": "a", "$": "s", "!": "i"}
+#: UTF-8 bytes: digits become letters, other ASCII but lower-case letters a space.
+FOLDED = bytes(b"oi2eas6t8"[b - 48] if 48 <= b < 57 else b if b == 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 #: Plain insults, as a start; learned weights take their place where labels say more.
 SEEDS = ("idiot", "idiots", "moron", "morons", "stupid", "loser", "losers", "scum", "trash", "clown", "pathetic", "worthless", "disgusting", "imbecile", "dumbass", "jerk", "filth", "vermin")
 #: Phrases in which a seed word isn't an insult.
@@ -50,10 +54,12 @@ def fold(text: str | None) -> str:
     """The folded words, with one space before, between and after them."""
     text = (text or "").lower()
     if not text.isascii():
-        text = text.translate(HOMOGLYPHS)
+        if HOMOGLYPH.search(text):
+            text = text.translate(HOMOGLYPHS)
+        text = MARKS.sub(" ", text)
     if "@" in text or "$" in text or "!" in text:
         text = SYMBOL.sub(lambda m: SYMBOLS[m[0]], text)
-    return f" {' '.join(WORD.findall(text.translate(DIGITS)))} "
+    return f" {b' '.join(text.encode().translate(FOLDED).split()).decode()} "
 
 
 class Lexicon:
