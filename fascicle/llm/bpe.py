@@ -32,12 +32,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from fascicle.llm.common import slices
+
 #: Characters of a text and bytes of a pre-token that are encoded without halving.
 LEAF_CHARS, LEAF_BYTES = 4096, 8
 #: Characters before a seam that the pattern may look at: a contraction's letters.
 LOOKAHEAD = 3
 #: Distinct pre-tokens whose tokens a worker keeps, in each of two generations.
-CACHED = 250_000
+CACHED = 150_000
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -244,13 +246,11 @@ def encode(docs: DataFrame, vocabulary: str, pattern: str, id_col: str = "doc_id
 
     def run(batches):
         c = codec()
-        for b in batches:
-            for lo in range(0, b.num_rows, 256):
-                part = b.slice(lo, 256)
-                ids = [c.encode(t or "") for t in part.column(1).to_pylist()]
-                ends = np.cumsum([0, *map(len, ids)], dtype=np.int32)
-                flat = np.concatenate(ids) if ids else np.zeros(0, np.int32)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat, pa.int32()))], names=[id_col, "ids"])
+        for part in slices(batches):
+            ids = [c.encode(t or "") for t in part.column(1).to_pylist()]
+            ends = np.cumsum([0, *map(len, ids)], dtype=np.int32)
+            flat = np.concatenate(ids) if ids else np.zeros(0, np.int32)
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat, pa.int32()))], names=[id_col, "ids"])
 
     return docs.select(F.col(id_col).cast("long").alias(id_col), text_col).mapInArrow(run, f"`{id_col}` long, ids array<int>")
 
@@ -263,11 +263,9 @@ def decode(encoded: DataFrame, vocabulary: str, pattern: str, ids_col: str = "id
 
     def run(batches):
         c = codec()
-        for b in batches:
-            for lo in range(0, b.num_rows, 256):
-                part = b.slice(lo, 256)
-                texts = [c.decode(i or []) for i in part.column(at).to_pylist()]
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(texts, pa.binary())], names=[*part.schema.names, "decoded"])
+        for part in slices(batches):
+            texts = [c.decode(i or []) for i in part.column(at).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*part.columns, pa.array(texts, pa.binary())], names=[*part.schema.names, "decoded"])
 
     return encoded.mapInArrow(run, schema)
 

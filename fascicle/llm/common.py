@@ -70,6 +70,13 @@ def attach(rows: DataFrame, table: DataFrame, keys: list[str], weight: str, tota
     return hot.unionByName(cold)
 
 
+def slices(batches, rows: int = 256):
+    """Arrow batches (or arrays) in small parts, so that few texts at a time become Python objects."""
+    for b in batches:
+        for lo in range(0, len(b), rows):
+            yield b.slice(lo, rows)
+
+
 def keep_ids(docs: DataFrame, ids: DataFrame, id_col: str = "doc_id", how: str = "left_semi") -> DataFrame:
     """The rows of docs whose id is (left_semi) or isn't (left_anti) among ids; null equals null."""
     ids = ids.select(F.col(id_col).alias("__keep_id")).distinct()

@@ -25,6 +25,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from fascicle.llm.common import keep_ids, slices, written
+
 #: Bytes of a word: digits, letters (A-Z lower-cased) and all of any character beyond ASCII.
 WORD_BYTES = bytes((b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32) for b in range(256))
 BLOCK_WORDS = 1_000_000
@@ -100,7 +102,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, size: int = 10, block_w
     def scanner(block):
         def run(batches):
             windows = Windows(block.value, size)
-            for b in batches:
+            for b in slices(batches):
                 n, spans, items = [], [], []
                 for t in b.column(1).cast(pa.binary()).to_pylist():
                     words = words_of(t)
@@ -135,8 +137,6 @@ def report(docs: DataFrame, benchmark: DataFrame, size: int = 10, **names) -> Da
 
 def keep_clean(docs: DataFrame, benchmark: DataFrame, size: int = 10, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs without the documents that hold a benchmark window."""
-    from fascicle.llm.common import keep_ids, written
-
     found = contamination(docs, benchmark, size, id_col=id_col, text_col=text_col)
     lost = written(found.where(F.size("spans") > 0).select(id_col).where(F.col(id_col).isNotNull()), "contaminated")
     return keep_ids(docs, lost, id_col, "left_anti")

@@ -26,6 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from fascicle.llm.common import slices
 from fascicle.llm.language import _iterated
 
 LEAST, NORMAL, MOST = 16, 48, 192
@@ -102,7 +103,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """(id, fingerprint array<long>) for every row."""
 
     def run(batches):
-        for b in batches:
+        for b in slices(batches):
             codes = [chunks(t or b"").view(np.int64) for t in b.column(1).cast(pa.binary()).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(codes, pa.list_(pa.int64()))], names=[id_col, "fingerprint"])
 
@@ -144,7 +145,7 @@ def with_successors(docs: DataFrame, edit, schema: str, ranges: int | None = Non
     def run(batches):
         fields, rows, state = None, [], {}
         last = None  # the document that waits for its successor: (range, id, text)
-        for b in batches:
+        for b in slices(batches):
             for i, text, r, tail in zip(b.column(0).to_pylist(), b.column(2).to_pylist(), b.column(3).to_pylist(), b.column(4).to_pylist()):
                 if last and last[0] == r:
                     rows.append(edit(last[1], last[2], text, state))

@@ -31,11 +31,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from fascicle.llm.common import slices, written
+
 WORD = re.compile(r"[^\W\d_]+")
 START = "▁"
 PER_LANG, ROUNDS, SMOOTH = 800, 2, 0.1
 #: Words whose log probabilities a worker keeps.
-CACHED = 600_000
+CACHED = 250_000
 
 
 def read_pieces(path: str) -> list[str]:
@@ -244,15 +246,13 @@ def train(labelled: DataFrame, vocabulary: str, per_lang: int = PER_LANG, rounds
     sample = rows.where(chance < share[F.col(lang_col)]).select(lang_col, text_col)
 
     def words(batches):
-        for b in batches:
+        for b in slices(batches):
             n: Counter[tuple[str, str]] = Counter()
             for lang, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 for w, c in Counter(WORD.findall((text or "").lower())).items():
                     n[lang, w] += c
             yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in n], pa.string()), pa.array([k[1] for k in n], pa.string()), pa.array(list(n.values()), pa.int64())], names=["lang", "word", "n"])
 
-    from fascicle.llm.common import written
-
     table = written(sample.mapInArrow(words, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n")), "language-words")
     size = len(pieces) + 1
     probs = np.full((size, len(langs)), 1.0 / size)
@@ -288,7 +288,7 @@ def predict(docs: DataFrame, model: Model, text_col: str = "text", into: str = "
         if key not in language._MADE:
             language._MADE.clear()
             language._MADE[key] = shared.value.scorer()
-        for texts in batches:
+        for texts in slices(batches):
             found = language._MADE[key].predict(texts.to_pylist())
             yield pa.StructArray.from_arrays([pa.array([x[0] for x in found], pa.string()), pa.array([x[1] for x in found], pa.float64())], fields=list(kind))
 

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fascicle.llm.common import attach, components, keep_ids, written
+from fascicle.llm.common import attach, components, keep_ids, slices, written
 
 SEGMENTS, MAX_BITS = 5, 2
 
@@ -53,7 +53,7 @@ def fingerprints(docs: DataFrame, shingle: int = 3, id_col: str = "doc_id", text
     """(id, fp long) for every row."""
 
     def run(batches):
-        for b in batches:
+        for b in slices(batches):
             texts = b.column(1).cast(pa.binary()).to_pylist()
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([fingerprint_of(t or b"", shingle) for t in texts], pa.int64())], ["id", "fp"])
 

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fascicle.llm.common import attach, broadcast_if_small, written
+from fascicle.llm.common import attach, broadcast_if_small, slices, written
 from fascicle.llm.decontaminate import merged
 
 SIZE = 50
@@ -135,7 +135,7 @@ def _anchor_table(docs: DataFrame, size: int) -> DataFrame:
     """(doc, anchor): the distinct anchors of each row."""
 
     def run(batches):
-        for b in batches:
+        for b in slices(batches):
             ids, out = [], []
             for i, t in zip(b.column(0).to_pylist(), b.column(1).cast(pa.binary()).to_pylist()):
                 a = np.unique(anchors((t or b"").split(), size))
@@ -156,7 +156,7 @@ def _stream(pairs: DataFrame, size: int) -> DataFrame:
 
     def run(batches):
         key, automaton = None, None
-        for b in batches:
+        for b in slices(batches):
             rows = []
             for ref, salt, doc, text, wanted in zip(*(b.column(i).to_pylist() for i in range(5))):
                 words = text.encode().split()
@@ -210,7 +210,7 @@ def remove_repeats(docs: DataFrame, size: int = SIZE, id_col: str = "doc_id", te
     rows = docs.select(F.col(id_col).cast("long").alias(id_col), F.col(text_col).cast("string").alias("__text")).join(spans, F.col(id_col) == F.col("doc"), "left").select(id_col, "__text", "spans")
 
     def run(batches):
-        for b in batches:
+        for b in slices(batches):
             n, gone, kept = [], [], []
             for t, s in zip(b.column(1).cast(pa.binary()).to_pylist(), b.column(2).to_pylist()):
                 words = (t or b"").split()

@@ -29,6 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from fascicle.llm.common import slices, written
 from fascicle.llm.language import _iterated, held_out
 
 #: Characters that look like Latin letters, and the letters.
@@ -143,14 +144,12 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, id_col
         return Lexicon(seeds)
     share = F.when(F.col("__y") == 1, F.lit(min(1.0, per_class / counts[1]))).otherwise(F.lit(min(1.0, per_class / counts[0])))
     marks = marks.where(F.pmod(F.xxhash64(F.lit("toxicity"), F.col("__id")), F.lit(1_000_000)) / 1e6 < share)
-    from fascicle.llm.common import written
-
     # At most about 2 * per_class ids: a bounded broadcast.
     rows = docs.select(F.col(id_col).alias("__id"), text_col).join(F.broadcast(marks), "__id")
     rows = written(rows.select("__y", F.col(text_col).alias("__text")), "toxicity-sample")
 
     def features(batches):
-        for b in batches:
+        for b in slices(batches):
             n = Counter(), Counter()
             for y, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 n[y].update(_candidates(fold(t)))
@@ -169,7 +168,7 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, id_col
     shared = rows.sparkSession.sparkContext.broadcast(trial)
 
     def incidence(batches):
-        for b in batches:
+        for b in slices(batches):
             ks = [sorted({k for _, k, _ in _all_hits(shared.value, fold(t))}) for t in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(ks, pa.list_(pa.string()))], names=["y", "entries"])
 
@@ -190,7 +189,7 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, id_col
     shared = rows.sparkSession.sparkContext.broadcast(lexicon)
 
     def measured(batches):
-        for b in batches:
+        for b in slices(batches):
             xs = [shared.value.features(t) for t in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([x[0] for x in xs], pa.float64()), pa.array([x[1] for x in xs], pa.float64())], names=["y", "a", "b"])
 
@@ -209,7 +208,7 @@ def score(docs: DataFrame, lexicon: Lexicon, text_col: str = "text", into: str =
     shared = docs.sparkSession.sparkContext.broadcast(lexicon)
 
     def run(batches):
-        for texts in batches:
+        for texts in slices(batches):
             yield pa.array([shared.value.score(t) for t in texts.to_pylist()], pa.float64())
 
     return docs.withColumn(into, _iterated(run, "double")(F.col(text_col).cast("string")))
