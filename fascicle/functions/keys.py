@@ -91,7 +91,7 @@ def filename_years(name: Column, as_of_year: int) -> Column:
 
 def page_numbers(spec: Column) -> Column:
     """Pages of comma-separated numbers and ranges a-b or a:b, sorted and distinct."""
-    parts = F.filter(F.transform(F.split(spec, ","), F.btrim), lambda p: p.rlike(r"^[1-9]\d*(?:[-:][1-9]\d*)?$"))
+    parts = F.filter(F.transform(F.split(spec, ","), lambda p: F.btrim(p)), lambda p: p.rlike(r"^[1-9]\d*(?:[-:][1-9]\d*)?$"))
     ends = lambda p: F.split(p, "[-:]")
     ranges = F.transform(parts, lambda p: F.sequence(F.element_at(ends(p), 1).cast("int"), F.greatest(F.element_at(ends(p), 1).cast("int"), F.element_at(ends(p), -1).cast("int"))))
     return F.array_sort(F.array_distinct(F.flatten(ranges)))

@@ -113,7 +113,7 @@ def document_rules(docs: DataFrame) -> DataFrame:
     wanted = F.array(*[F.lit(h) for h in schema.SECTION_HEADINGS])
     names = F.regexp_extract_all("text", F.lit(r"\[!([A-Z]+)\]"), F.lit(1))
     return union([
-        errors(rows, F.transform(found, F.btrim) != wanted, "section_structure", "sections are not the five in order"),
+        errors(rows, F.transform(found, lambda h: F.btrim(h)) != wanted, "section_structure", "sections are not the five in order"),
         errors(rows, has_citation(F.col("text")), "leaked_citation", "a numeric citation"),
         errors(rows, F.col("text").rlike(r"\*\*Source:\*\*"), "leaked_source", "a Source field"),
         errors(rows, F.col("text").rlike(r"[0-9a-f]{8}(?:-[0-9a-f]{4}){3}-[0-9a-f]{12}"), "leaked_uuid", "an identifier"),
@@ -130,7 +130,7 @@ def section_rules(answers: DataFrame, min_guide: int = 300) -> DataFrame:
     return union([
         errors(rows, F.col("answer").rlike(r"(?md)^#{1,2} "), "body_heading", "a level-1 or level-2 heading"),
         errors(rows, (F.col("kind") == "guide") & (F.length(F.btrim("answer")) < min_guide), "short_guide", "the guide is too short"),
-        errors(rows, (F.col("kind") == "imp") & (F.transform(heads, F.btrim) != F.array(*[F.lit(h) for h in schema.IMP_HEADINGS])), "imp_headings", "not the five headings in order"),
+        errors(rows, (F.col("kind") == "imp") & (F.transform(heads, lambda h: F.btrim(h)) != F.array(*[F.lit(h) for h in schema.IMP_HEADINGS])), "imp_headings", "not the five headings in order"),
         errors(rows, (F.col("kind") == "mcq") & (F.length(F.regexp_replace("answer", rf"(?!{ARABIC}).", "")) < 20) & ~F.btrim("answer").isin(*schema.EMPTY_MARKERS), "too_little_arabic", "under 20 Arabic characters"),
     ])
 
