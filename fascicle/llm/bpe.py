@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fascicle.llm.common import slices
+from fascicle.llm.common import kept, slices, small_batches
 
 #: Characters of a text and bytes of a pre-token that are encoded without halving.
 LEAF_CHARS, LEAF_BYTES = 4096, 8
@@ -220,24 +220,13 @@ class Codec:
         return b"".join(map(self.tokens.__getitem__, ids))
 
 
-#: A worker's codec and its key, kept from task to task.
-_MADE: dict[str, Codec] = {}
-
-
 def _shared_codec(spark: SparkSession, vocabulary: str, pattern: str) -> Callable[[], Codec]:
     """Gives each Python worker its codec. The driver reads the file; its ranks are broadcast."""
+    small_batches(spark)
     ranks = spark.sparkContext.broadcast(read_ranks(vocabulary))  # a fixed vocabulary: about 1 MB
     key = hashlib.sha256(repr((sorted(ranks.value.items()), pattern)).encode()).hexdigest()
 
-    def get() -> Codec:
-        from fascicle.llm import bpe
-
-        if key not in bpe._MADE:
-            bpe._MADE.clear()
-            bpe._MADE[key] = Codec(ranks.value, pattern)
-        return bpe._MADE[key]
-
-    return get
+    return lambda: kept(key, lambda: Codec(ranks.value, pattern))
 
 
 def encode(docs: DataFrame, vocabulary: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

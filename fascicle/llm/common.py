@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 HEAVY_PARTS = 2000
 #: A table is broadcast only when its counted rows take no more than this.
 BROADCAST_BYTES = 32 << 20
+#: Rows of an Arrow batch.
+ARROW_ROWS = 512
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -70,6 +72,30 @@ def attach(rows: DataFrame, table: DataFrame, keys: list[str], weight: str, tota
     return hot.unionByName(cold)
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Keeps Arrow batches to ARROW_ROWS rows: they take memory beside both the JVM's heap and Python's.
+
+    A smaller setting of the session's own stays.
+    """
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= ARROW_ROWS:
+        spark.conf.set(name, ARROW_ROWS)
+
+
+#: What a Python worker keeps from task to task: one object, of the operator that ran last.
+_KEPT: dict[str, object] = {}
+
+
+def kept(key: str, make):
+    """The worker's object of this key; another operator's is dropped before it is made."""
+    from fascicle.llm import common
+
+    if key not in common._KEPT:
+        common._KEPT.clear()
+        common._KEPT[key] = make()
+    return common._KEPT[key]
+
+
 def slices(batches, rows: int = 256):
     """Arrow batches (or arrays) in small parts, so that few texts at a time become Python objects."""
     for b in batches:

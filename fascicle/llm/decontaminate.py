@@ -17,7 +17,7 @@ empty benchmark hits nothing; other columns are ignored.
 
 from __future__ import annotations
 
-import hashlib
+import uuid
 from collections import Counter, defaultdict
 
 import pyarrow as pa
@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from fascicle.llm.common import keep_ids, slices, written
+from fascicle.llm.common import keep_ids, kept, slices, small_batches, written
 
 #: Bytes of a word: digits, letters (A-Z lower-cased) and all of any character beyond ASCII.
 WORD_BYTES = bytes((b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32) for b in range(256))
@@ -94,14 +94,17 @@ def _blocks(benchmark: DataFrame, item_col: str, text_col: str, block_words: int
 def contamination(docs: DataFrame, benchmark: DataFrame, size: int = 10, block_words: int = BLOCK_WORDS, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
     """(id, n_words, spans array<struct<lo,hi>> of words, items array<string>) for every row."""
     spark = docs.sparkSession
+    small_batches(spark)
     schema = T.StructType.fromDDL(f"`{id_col}` long, n_words long, spans array<struct<lo:int,hi:int>>, items array<string>, row long")
     blocks = [spark.sparkContext.broadcast(b) for b in _blocks(benchmark, item_col, item_text, block_words)]
     docs = docs.select(F.col(id_col).cast("long").alias(id_col), text_col)
     docs = docs.withColumn("row", F.xxhash64(text_col) if len(blocks) > 1 else F.lit(0).cast("long"))
 
     def scanner(block):
+        key = uuid.uuid4().hex
+
         def run(batches):
-            windows = Windows(block.value, size)
+            windows = kept(key, lambda: Windows(block.value, size))
             for b in slices(batches):
                 n, spans, items = [], [], []
                 for t in b.column(1).cast(pa.binary()).to_pylist():

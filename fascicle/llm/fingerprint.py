@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fascicle.llm.common import slices
+from fascicle.llm.common import slices, small_batches
 from fascicle.llm.language import _iterated
 
 LEAST, NORMAL, MOST = 16, 48, 192
@@ -117,6 +117,7 @@ def with_successors(docs: DataFrame, edit, schema: str, ranges: int | None = Non
     lives as long as both are the next pair's and may carry work over from one to the other.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     key = F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("__key")
     ids = docs.select(key)
     ranges = ranges or int(spark.conf.get("spark.sql.shuffle.partitions"))

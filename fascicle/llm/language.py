@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fascicle.llm.common import slices, written
+from fascicle.llm.common import kept, slices, small_batches, written
 
 WORD = re.compile(r"[^\W\d_]+")
 START = "▁"
@@ -225,16 +225,13 @@ class Scorer:
         return [self._best(w, self.logs[list(map(get, w))].sum(0) if w else None) for w in part]
 
 
-#: A worker's scorer and its key, kept from task to task.
-_MADE: dict[str, Scorer] = {}
-
-
 def held_out(id_col: str = "doc_id", parts: int = 4, part: int = 2) -> Column:
     return F.coalesce(F.crc32(F.col(id_col).cast("string")) % parts == part, F.lit(False))
 
 
 def train(labelled: DataFrame, vocabulary: str, per_lang: int = PER_LANG, rounds: int = ROUNDS, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model:
     """Learns a model from rows whose language is set, about per_lang of each language."""
+    small_batches(labelled.sparkSession)
     pieces = read_pieces(vocabulary)
     rows = labelled.where(F.col(lang_col).isNotNull() & F.col(id_col).isNotNull())
     counts = {r[0]: r[1] for r in rows.groupBy(lang_col).count().collect()}
@@ -283,13 +280,9 @@ def predict(docs: DataFrame, model: Model, text_col: str = "text", into: str = "
     key = uuid.uuid4().hex
 
     def run(batches):
-        from fascicle.llm import language
-
-        if key not in language._MADE:
-            language._MADE.clear()
-            language._MADE[key] = shared.value.scorer()
+        scorer = kept(key, lambda: shared.value.scorer())
         for texts in slices(batches):
-            found = language._MADE[key].predict(texts.to_pylist())
+            found = scorer.predict(texts.to_pylist())
             yield pa.StructArray.from_arrays([pa.array([x[0] for x in found], pa.string()), pa.array([x[1] for x in found], pa.float64())], fields=list(kind))
 
     return docs.withColumn(into, _iterated(run, "lang_pred string, score double")(F.col(text_col).cast("string")))

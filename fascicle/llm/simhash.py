@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fascicle.llm.common import attach, components, keep_ids, slices, written
+from fascicle.llm.common import attach, components, keep_ids, slices, small_batches, written
 
 SEGMENTS, MAX_BITS = 5, 2
 
@@ -51,6 +51,7 @@ def fingerprint_of(text: bytes, shingle: int = 3) -> int:
 
 def fingerprints(docs: DataFrame, shingle: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, fp long) for every row."""
+    small_batches(docs.sparkSession)
 
     def run(batches):
         for b in slices(batches):

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fascicle.llm.common import attach, broadcast_if_small, slices, written
+from fascicle.llm.common import attach, broadcast_if_small, slices, small_batches, written
 from fascicle.llm.decontaminate import merged
 
 SIZE = 50
@@ -180,6 +180,7 @@ def _stream(pairs: DataFrame, size: int) -> DataFrame:
 
 def repeated_spans(docs: DataFrame, size: int = SIZE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc, spans array<struct<lo,hi>>): the words of each document that an earlier one holds."""
+    small_batches(docs.sparkSession)
     docs = docs.select(F.col(id_col).cast("long").alias("doc"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     table = written(_anchor_table(docs, size), "anchors")
     shared = written(table.groupBy("anchor").agg(F.min("doc").alias("ref"), F.max("doc").alias("top"), F.count("*").alias("n")).where("top > ref").drop("top"), "shared-anchors")

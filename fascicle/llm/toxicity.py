@@ -22,6 +22,7 @@ from __future__ import annotations
 
 import math
 import re
+import uuid
 from collections import Counter
 
 import numpy as np
@@ -29,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fascicle.llm.common import slices, written
+from fascicle.llm.common import kept, slices, small_batches, written
 from fascicle.llm.language import _iterated, held_out
 
 #: Characters that look like Latin letters, and the letters.
@@ -137,6 +138,7 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.05, rounds: int
 
 def train(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Lexicon:
     """Learns a lexicon from labelled rows that aren't held out, about per_class of either class."""
+    small_batches(docs.sparkSession)
     seeds = {f" {w} ": SEED_WEIGHT for w in SEEDS}
     marks = labels.where(~held_out(id_col, 5, 0) & F.col(id_col).isNotNull() & F.col(label_col).isin(0, 1)).select(F.col(id_col).alias("__id"), F.col(label_col).cast("int").alias("__y"))
     counts = {r[0]: r[1] for r in marks.groupBy("__y").count().collect()}
@@ -207,9 +209,12 @@ def score(docs: DataFrame, lexicon: Lexicon, text_col: str = "text", into: str =
     """docs with a score column added; only the text goes to Python."""
     shared = docs.sparkSession.sparkContext.broadcast(lexicon)
 
+    key = uuid.uuid4().hex
+
     def run(batches):
+        lexicon = kept(key, lambda: shared.value)
         for texts in slices(batches):
-            yield pa.array([shared.value.score(t) for t in texts.to_pylist()], pa.float64())
+            yield pa.array([lexicon.score(t) for t in texts.to_pylist()], pa.float64())
 
     return docs.withColumn(into, _iterated(run, "double")(F.col(text_col).cast("string")))
 
