@@ -28,19 +28,28 @@ from fascicle.llm.common import attach, components, keep_ids, slices, small_batc
 SEGMENTS, MAX_BITS = 5, 2
 
 
-def fingerprint_of(text: bytes, shingle: int = 3) -> int:
-    """The signed 64-bit SimHash of a UTF-8 text."""
+def shingle_hashes(text: bytes, shingle: int) -> np.ndarray:
+    """XXH64 of every word shingle of a UTF-8 text, repeats included."""
     import xxhash
 
     words = text.lower().split()  # bytes: A-Z only, and ASCII white space only
     if not words:
-        return 0
+        return np.zeros(0, np.uint64)
     if len(words) < shingle:
         grams = [b" ".join(words)]
     else:
         grams = map(b" ".join, zip(*(words[i:] for i in range(shingle))))
     digest = xxhash.xxh64_intdigest
-    hashes = np.fromiter((digest(g, 42) for g in grams), np.uint64)
+    return np.fromiter((digest(g, 42) for g in grams), np.uint64)
+
+
+def fingerprint_of(text: bytes, shingle: int = 3) -> int:
+    """The signed 64-bit SimHash of a UTF-8 text; zero if it has no words."""
+    return simhash_of(shingle_hashes(text, shingle))
+
+
+def simhash_of(hashes: np.ndarray) -> int:
+    """The signed 64-bit SimHash of shingle hashes."""
     ones = np.zeros(64, np.int64)
     for at in range(0, len(hashes), 1 << 16):  # bounded memory on long texts
         block = hashes[at : at + (1 << 16)]
@@ -126,14 +135,27 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, pair_block: int = 64, id_
     return attach(prints, written(named, "named"), ["fp"], "n", total).select(F.col("id").alias(id_col), "fp", "component")
 
 
-def keep_representatives(docs: DataFrame, shingle: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def keep_representatives(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs with one document of each group of near-duplicates: that of the smallest id.
 
-    Rows that repeat that id stay with it; rows without an id stay, as none stands for them.
+    Documents are linked by fingerprints within two bits and by a similarity of shingle sets
+    of at least ``similarity`` (see similar.py: two bits alone miss most of these). Rows that
+    repeat a kept id stay with it; rows without an id stay, as none stands for them.
     """
-    found = near_duplicates(docs, shingle, id_col=id_col, text_col=text_col)
-    lost = written(found.where(F.col(id_col) != F.col("component")).select(id_col), "lost")
-    return keep_ids(docs, lost, id_col, "left_anti")
+    from fascicle.llm import similar
+
+    sets = written(similar.shingle_sets(docs, shingle, id_col, text_col), "shingle-sets")
+    classes = written(sets.groupBy("digest").agg(F.min("id").alias("node"), F.count("*").alias("n")), "set-classes")
+    alone = sets.join(classes.select("digest", F.col("node").alias("id")), ["digest", "id"]).dropDuplicates(["digest"]).withColumnRenamed("id", "node")
+    alone = written(alone, "set-representatives")
+    prints = written(alone.groupBy("fp").agg(F.min("node").alias("first"), F.count("*").alias("n")), "set-fingerprints")
+    same = alone.select("fp", "node").join(prints.where("n > 1"), "fp").where("node <> first").select(F.col("node").alias("u"), F.col("first").alias("v"))
+    near = links(prints.select(F.col("first").alias("node"), "fp"), prints.count())
+    found = components(same.unionByName(near).unionByName(similar.links(alone, similarity)))
+    named = classes.join(found, "node", "left").select("digest", "n", F.coalesce("component", "node").alias("component"))
+    rows = sets.select("id", "digest")
+    lost = attach(rows, written(named, "set-components"), ["digest"], "n", rows.count()).where("id <> component")
+    return keep_ids(docs, written(lost.select(F.col("id").alias(id_col)), "lost"), id_col, "left_anti")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -228,6 +228,7 @@ def test_empty_tables(spark):
         fingerprint.with_successors(none, fingerprint._edited, "doc_id long"), substrings.remove_repeats(none), secrets.scan(none), decontaminate.report(none, bench), pii.find(none),
     ]
     assert [d.count() for d in made] == [0] * 10
+    assert simhash.keep_representatives(none).count() == 0
 
 
 def test_null_and_repeated_ids(spark):
@@ -254,3 +255,59 @@ def test_pipeline(spark, tmp_path):
     out = rows(corpus_pipeline.run(spark, str(tmp_path)))
     assert sorted(out) == list(range(40))
     assert out[5].decoded_sha256 == sha(texts[5].split("\n")[0].encode())
+
+
+def edited(random_, words, share):
+    """The words with a share of them replaced."""
+    out = list(words)
+    for i in random_.sample(range(len(out)), max(1, round(share * len(out)))):
+        out[i] = f"new{random_.randrange(10**6)}"
+    return out
+
+
+def five_word_sets(texts):
+    return [{tuple(t.lower().split()[i : i + 5]) for i in range(max(1, len(t.split()) - 4))} for t in texts]
+
+
+@pytest.mark.parametrize("copies,share", [(3, 0.02), (60, 0.015)])
+def test_representatives_of_near_copies(spark, copies, share):
+    """Groups around an original, which need not be the first row; small buckets and large ones."""
+    r = random.Random(copies)
+    texts = []
+    for g in range(4):
+        words = [f"w{r.randrange(5000)}" for _ in range(300)]
+        group = [" ".join(edited(r, words, share)) for _ in range(copies)]
+        group.insert(1, " ".join(words))
+        texts += group
+    texts += [" ".join(f"w{r.randrange(5000)}" for _ in range(300)) for _ in range(20)]
+    sets = five_word_sets(texts)
+    root = list(range(len(texts)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i in range(len(texts)):
+        for j in range(i):
+            if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
+                a, b = sorted((find(i), find(j)))
+                root[b] = a
+    docs = docs_of(spark, texts)
+    ids = [d["doc_id"] for d in docs.collect()]
+    kept = sorted(d["doc_id"] for d in simhash.keep_representatives(docs).collect())
+    assert kept == sorted({ids[find(i)] for i in range(len(texts))})
+
+
+def test_likeness_of_sketches():
+    import numpy as np
+
+    from fascicle.llm import similar
+
+    r = np.random.default_rng(1)
+    small = np.unique(r.integers(0, 1 << 32, 500, dtype=np.uint32))
+    assert similar.likeness(small.tobytes(), small[50:].tobytes()) == 1 - 50 / len(small)
+    assert similar.likeness(b"", b"") == 0
+    large = np.unique(r.integers(0, 1 << 32, 40_000, dtype=np.uint32))
+    part = np.sort(r.permutation(large)[: len(large) * 4 // 5])
+    assert abs(similar.likeness(large[: similar.SKETCH].tobytes(), part[: similar.SKETCH].tobytes()) - 0.8) < 0.04
