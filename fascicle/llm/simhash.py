@@ -146,12 +146,12 @@ def keep_representatives(docs: DataFrame, shingle: int = 5, similarity: float =
 
     sets = written(similar.shingle_sets(docs, shingle, id_col, text_col), "shingle-sets")
     classes = written(sets.groupBy("digest").agg(F.min("id").alias("node"), F.count("*").alias("n")), "set-classes")
-    alone = sets.join(classes.select("digest", F.col("node").alias("id")), ["digest", "id"]).dropDuplicates(["digest"]).withColumnRenamed("id", "node")
-    alone = written(alone, "set-representatives")
+    alone = sets.drop("sketch").join(classes.select("digest", F.col("node").alias("id")), ["digest", "id"]).dropDuplicates(["digest"])
+    alone = written(alone.withColumnRenamed("id", "node"), "set-representatives")
     prints = written(alone.groupBy("fp").agg(F.min("node").alias("first"), F.count("*").alias("n")), "set-fingerprints")
     same = alone.select("fp", "node").join(prints.where("n > 1"), "fp").where("node <> first").select(F.col("node").alias("u"), F.col("first").alias("v"))
     near = links(prints.select(F.col("first").alias("node"), "fp"), prints.count())
-    found = components(same.unionByName(near).unionByName(similar.links(alone, similarity)))
+    found = components(same.unionByName(near).unionByName(similar.links(alone, sets, similarity)))
     named = classes.join(found, "node", "left").select("digest", "n", F.coalesce("component", "node").alias("component"))
     rows = sets.select("id", "digest")
     lost = attach(rows, written(named, "set-components"), ["digest"], "n", rows.count()).where("id <> component")
