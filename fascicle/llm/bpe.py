@@ -39,7 +39,7 @@ LEAF_CHARS, LEAF_BYTES = 4096, 8
 #: Characters before a seam that the pattern may look at: a contraction's letters.
 LOOKAHEAD = 3
 #: Distinct pre-tokens whose tokens a worker keeps, in each of two generations.
-CACHED = 150_000
+CACHED = 60_000
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -220,6 +220,14 @@ class Codec:
         return b"".join(map(self.tokens.__getitem__, ids))
 
 
+def encoded_part(codec: Codec, texts: pa.Array) -> pa.ListArray:
+    """The token ids of an Arrow array of texts; null is encoded as empty."""
+    ids = [codec.encode(t or "") for t in texts.to_pylist()]
+    ends = np.cumsum([0, *map(len, ids)], dtype=np.int32)
+    flat = np.concatenate(ids) if ids else np.zeros(0, np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(flat, pa.int32()))
+
+
 def _shared_codec(spark: SparkSession, vocabulary: str, pattern: str) -> Callable[[], Codec]:
     """Gives each Python worker its codec. The driver reads the file; its ranks are broadcast."""
     small_batches(spark)
@@ -236,10 +244,7 @@ def encode(docs: DataFrame, vocabulary: str, pattern: str, id_col: str = "doc_id
     def run(batches):
         c = codec()
         for part in slices(batches):
-            ids = [c.encode(t or "") for t in part.column(1).to_pylist()]
-            ends = np.cumsum([0, *map(len, ids)], dtype=np.int32)
-            flat = np.concatenate(ids) if ids else np.zeros(0, np.int32)
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat, pa.int32()))], names=[id_col, "ids"])
+            yield pa.RecordBatch.from_arrays([part.column(0), encoded_part(c, part.column(1))], names=[id_col, "ids"])
 
     return docs.select(F.col(id_col).cast("long").alias(id_col), text_col).mapInArrow(run, f"`{id_col}` long, ids array<int>")
 
@@ -265,7 +270,16 @@ def round_trip(docs: DataFrame, vocabulary: str | None = None, pattern: str | No
 
     vocabulary = vocabulary or public_tokenizers.path("byte_bpe_50k.tiktoken")
     pattern = pattern or public_tokenizers.PATTERN
-    out = decode(encode(docs, vocabulary, pattern, id_col, text_col), vocabulary, pattern)
+    codec = _shared_codec(docs.sparkSession, vocabulary, pattern)
+
+    def run(batches):  # both ways in one worker, which halves the workers and their codecs
+        c = codec()
+        for part in slices(batches):
+            ids = encoded_part(c, part.column(1))
+            texts = pa.array([c.decode(i) for i in ids.to_pylist()], pa.binary())
+            yield pa.RecordBatch.from_arrays([part.column(0), ids, texts], names=[id_col, "ids", "decoded"])
+
+    out = docs.select(F.col(id_col).cast("long").alias(id_col), text_col).mapInArrow(run, f"`{id_col}` long, ids array<int>, decoded binary")
     return out.select(
         id_col,
         F.size("ids").cast("long").alias("n_tokens"),
