@@ -39,7 +39,7 @@ LEAF_CHARS, LEAF_BYTES = 4096, 8
 #: Characters before a seam that the pattern may look at: a contraction's letters.
 LOOKAHEAD = 3
 #: Distinct pre-tokens whose tokens a worker keeps, in each of two generations.
-CACHED = 60_000
+CACHED = 150_000
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
