@@ -49,8 +49,8 @@ def classify_role(path: Column) -> Column:
     )
 
 
-def name_matches(local: DataFrame, remote: DataFrame) -> DataFrame:
-    """(relative_path, source_id) of ready remotes with a compatible hash and name.
+def name_pairs(local: DataFrame, remote: DataFrame) -> DataFrame:
+    """(relative_path, hashes, source_id, rhash) of ready remotes with a compatible name.
 
     Names match by key, or by stem (a cache suffix of 12 hex digits apart) with compatible
     extensions; both are equi joins on up to three names of the local source.
@@ -61,7 +61,12 @@ def name_matches(local: DataFrame, remote: DataFrame) -> DataFrame:
     titles = remote.where(is_ready(F.col("status"))).select("source_id", F.coalesce("content_hash", F.lit("")).alias("rhash"), source_key(F.col("title")).alias("rkey"), F.regexp_replace(source_stem(F.col("title")), " [0-9a-f]{12}$", "").alias("rstem"), extension(F.col("title")).alias("rext"))
     by_key = variants.join(titles, F.col("key") == F.col("rkey"))
     by_stem = variants.join(titles, F.col("stem") == F.col("rstem")).where(extensions_compatible(F.col("ext"), F.col("rext")))
-    return by_key.unionByName(by_stem).where(hash_matches(F.col("hashes"), F.col("rhash"))).select("relative_path", "source_id").distinct()
+    return by_key.unionByName(by_stem).select("relative_path", "hashes", "source_id", "rhash")
+
+
+def name_matches(local: DataFrame, remote: DataFrame) -> DataFrame:
+    """(relative_path, source_id) of ready remotes with a compatible hash and name."""
+    return name_pairs(local, remote).where(hash_matches(F.col("hashes"), F.col("rhash"))).select("relative_path", "source_id").distinct()
 
 
 def deduplication_plan(local: DataFrame, remote: DataFrame) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import Window
 
 from fascicle import schema
 from fascicle.functions.keys import garbage_ratio, path_key
-from fascicle.operators import cards, ledger, merge, quality, sync
+from fascicle.operators import cards, ledger, merge, provenance, quality, rewrite, sync
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -243,3 +243,35 @@ def doc_benchmark_contains(spark, sf_dir):
     near = d.select("doc_id", "text", F.explode(grams).alias("key")).join(keyed, "key").where(F.contains("text", F.col("item"))).select("doc_id", "item_id")
     short = b.where(F.size(F.split("item", r"\s+")) < 5)
     return near.unionByName(d.join(short, F.contains("text", F.col("item"))).select("doc_id", "item_id")).distinct()
+
+
+@query(rf"""
+WITH t AS (SELECT doc_id, regexp_replace(text, '^\s+|\s+$', '', 'g') AS t FROM documents), h AS (SELECT *, substr(t, 1, 868) AS head FROM t),
+k AS (SELECT *, regexp_replace(regexp_extract(head, '(?s)^(.*)\n', 1), '\s+$', '') AS whole FROM h)
+SELECT doc_id, CASE WHEN length(t) <= 900 THEN t ELSE (CASE WHEN whole <> '' THEN whole ELSE regexp_replace(head, '\s+$', '') END) || chr(10) || '{rewrite.OMITTED}' END AS fragment FROM k
+""")
+def doc_fragment_900(spark, sf_dir):
+    """Size-bound fragments, cut at a line's end."""
+    return table(spark, sf_dir, "documents").select("doc_id", rewrite.truncated(F.col("text"), 900).alias("fragment"))
+
+
+@query(r"""
+WITH l AS (SELECT doc_id, string_split(regexp_replace(text, '\r\n|[\r\x0b\x0c\x1c-\x1e\x{85}\x{2028}\x{2029}]', chr(10), 'g'), chr(10)) AS l FROM documents),
+r AS (SELECT doc_id, unnest(l) AS line, generate_subscripts(l, 1) AS n FROM l),
+p AS (SELECT *, lag(line) OVER (PARTITION BY doc_id ORDER BY n) AS prev FROM r)
+SELECT doc_id, regexp_replace(string_agg(CASE WHEN regexp_matches(line, '^\s*\|') AND regexp_matches(coalesce(prev, ''), '^\s*[^\s|]') THEN chr(10) ELSE '' END || regexp_replace(line, '\s+$', ''), chr(10) ORDER BY n), '^\s+|\s+$', '', 'g') AS text
+FROM p GROUP BY doc_id
+""")
+def doc_table_spacing(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", rewrite.table_spacing(F.col("text")).alias("text"))
+
+
+@query(f"""
+WITH a AS (SELECT conv_id, turn, text FROM conversations WHERE role = 'assistant')
+SELECT conv_id, turn, 'short_answer' AS code FROM a WHERE length(text) < 50 AND trim(text) NOT IN ({', '.join(f"'{m}'" for m in schema.EMPTY_MARKERS)})
+UNION ALL SELECT conv_id, turn, 'error_payload' AS code FROM a WHERE {' OR '.join(f"contains(lower(text), '{x}')" for x in provenance.ERROR_SIGNALS)}
+""")
+def conversation_answer_errors(spark, sf_dir):
+    """Answers that are too short or are error messages."""
+    rows = table(spark, sf_dir, "conversations").where("role = 'assistant'").select(F.struct("conv_id", "turn").alias("doc_id"), F.lit("answer").alias("kind"), F.col("text").alias("answer"))
+    return provenance.answer_rules(rows).select("doc_id.conv_id", "doc_id.turn", "code")

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from fascicle.functions import keys, markdown
-from fascicle.operators import cards, checkpoint, ledger, match, merge, quality, sync, validate
+from fascicle.operators import cards, checkpoint, ledger, match, merge, provenance, quality, rewrite, sync, validate
 from fascicle.plans import queries as plans
 
 SF = "/root/testdata/sf0.001"
@@ -201,6 +201,57 @@ def test_batches(spark):
     assert [len(r.source_ids) for r in out] == [3] * 4 and out[0].source_ids == ["s01", "s02", "s03"]
 
 
+def test_rewriting(spark):
+    assert one(spark, rewrite.table_spacing(F.col("t")), t="\n| x |\na  \n| b |\n|c|\n\n| d |\n") == "| x |\na\n\n| b |\n|c|\n\n| d |"
+    assert one(spark, rewrite.table_spacing(F.col("t")), t="") == ""
+    assert one(spark, rewrite.cleaned(F.col("t")), t="[AI-GENERATED x]\nThoughts\nA fact [1, 2] .\nlet me know if you like\nB") == "A fact .\n\nB"
+    long = "first line\n" + "x" * 60
+    assert one(spark, rewrite.truncated(F.col("t"), 50), t=long) == f"first line\n{rewrite.OMITTED}"
+    assert one(spark, rewrite.truncated(F.col("t"), 50), t="y" * 60) == "y" * 18 + f"\n{rewrite.OMITTED}"
+    assert one(spark, rewrite.truncated(F.col("t"), 10), t=long) == "first line"
+    assert one(spark, rewrite.compact_context(F.col("t"), 60), t="Canonical: a\nother\nCanonical: a\n- 2020: b\n" + "z" * 99) == "Canonical: a\n- 2020: b"
+    assert one(spark, rewrite.empty_note(F.col("t"), "none"), t=" NO_GROUNDED_MCQS\n") == "> [!NOTE]\n> none"
+
+
+def test_provenance(spark, blocks):
+    catalog = spark.createDataFrame(
+        [("Exam A.pdf", ["exam a"], "past_exam", [2021], "available"), ("Bank.pdf", ["bank"], "question_bank", [], "available"), ("Exam B.pdf", [], "past_exam", [2018], "available"), ("exam b.txt", [], "past_exam", [2019], "available"), ("old.pdf", [], "past_exam", [], "local_only")],
+        "canonical_name string, aliases array<string>, role string, verified_years array<int>, content_status string",
+    )
+    names = spark.createDataFrame([("Exam A",), ("exam b.pdf",), ("EXAM B",), ("old",), ("",)], ["source"])
+    assert sorted((r.source, r.canonical_name) for r in provenance.catalog_matches(names, catalog).collect()) == [("EXAM B", "Exam B.pdf"), ("EXAM B", "exam b.txt"), ("Exam A", "Exam A.pdf"), ("exam b.pdf", "Exam B.pdf")]
+    found = {(r.doc_id, r.number, r.code, r.message) for r in provenance.provenance_rules(blocks, catalog).collect()}
+    codes = {(d, n, c) for d, n, c, _ in found}
+    assert ("d", "1", "source_role_mismatch", "a question-bank source needs its badge") in found and ("d", "1", "source_year_mismatch") not in codes
+    assert ("d", "2", "ambiguous_source", "Exam B") in found and ("d", "2", "missing_supported_year") in codes
+    assert not any(n == "3" for _, n, _ in codes) and ("e", "4", "missing_badge") in codes and ("e", "4", "missing_source") in codes
+
+
+def test_approvals_and_conflicts(spark):
+    asked = spark.createDataFrame([("a.pdf",), ("Exams/B.pdf",), ("../x/y",), ("no.pdf",), ("two.pdf",), ("c.pdf",), ("C.PDF",)], ["name"])
+    missing = spark.createDataFrame([("Lecture/a.pdf", "a.pdf"), ("Exams/b.pdf", "b.pdf"), ("p/two.pdf", "two.pdf"), ("q/two.pdf", "two.pdf"), ("c.pdf", "c.pdf")], ["relative_path", "name"])
+    found = {r.name.lower(): (r.relative_path, r.error) for r in provenance.approved_uploads(asked, missing).collect()}
+    assert found == {"a.pdf": ("Lecture/a.pdf", None), "exams/b.pdf": ("Exams/b.pdf", None), "../x/y": (None, "escapes"), "no.pdf": (None, "not_found"), "two.pdf": (None, "ambiguous"), "c.pdf": (None, "repeated")}
+    local, remote = sources(spark)
+    local = local.withColumns({"preparation_action": F.lit("convert"), "prepared_sha256": F.lit("h1")})
+    assert [tuple(r) for r in provenance.prepared_conflicts(local, remote, "n").collect()] == [("f.pdf", ["5"], False)]
+    bad = spark.createDataFrame([("1", "mcq", "no"), ("2", "mcq", "NO_GROUNDED_MCQS"), ("3", "mcq", "x" * 60 + " Timed out"), ("4", "mcq", None)], "doc_id string, kind string, answer string")
+    assert {(r.doc_id, r.code) for r in provenance.answer_rules(bad).collect()} == {("1", "short_answer"), ("3", "error_payload"), ("4", "short_answer")}
+    told = lambda m, ids: one(spark, provenance.source_rejected(F.col("m"), F.col("s")), m=m, s=ids)
+    assert told("Query request is invalid: source IDs", ["Q7"]) is False and told("query request is invalid for a1", ["A1"]) and told("bad source id", ["z9"]) and not told("bad source id", ["z9", "z8"])
+
+
+def test_docx_round_trip(spark, tmp_path):
+    from fascicle.sources import docx
+
+    text = "# Title\n\n> [!NOTE] mind **this**\n\n- item\n| a | b |\n|---|---|\n| c & d |\n\nلا \x01 <end>\n---"
+    docs = spark.createDataFrame([("one", text), ("empty", None)], "name string, text string")
+    docx.write_docx(docs, str(tmp_path / "out"))
+    (tmp_path / "out" / "bad.docx").write_bytes(b"no zip")
+    rows = {os.path.basename(r.path): (r.text, r.error) for r in docx.read_docx(spark, str(tmp_path / "out")).collect()}
+    assert rows == {"one.docx": ("Title NOTE: mind  this • item a b c & d لا  <end>", None), "empty.docx": ("", None), "bad.docx": (None, "BadZipFile")}
+
+
 @pytest.mark.parametrize("name", sorted(plans.QUERIES))
 def test_driver_query_matches_sql(spark, name):
     con = duckdb.connect()
