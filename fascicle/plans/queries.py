@@ -267,11 +267,11 @@ def doc_table_spacing(spark, sf_dir):
 
 
 @query(f"""
-WITH a AS (SELECT conv_id, turn, text FROM conversations WHERE role = 'assistant')
+WITH a AS (SELECT conv_id, turn, text FROM conversations)
 SELECT conv_id, turn, 'short_answer' AS code FROM a WHERE length(text) < 50 AND trim(text) NOT IN ({', '.join(f"'{m}'" for m in schema.EMPTY_MARKERS)})
 UNION ALL SELECT conv_id, turn, 'error_payload' AS code FROM a WHERE {' OR '.join(f"contains(lower(text), '{x}')" for x in provenance.ERROR_SIGNALS)}
 """)
 def conversation_answer_errors(spark, sf_dir):
-    """Answers that are too short or are error messages."""
-    rows = table(spark, sf_dir, "conversations").where("role = 'assistant'").select(F.struct("conv_id", "turn").alias("doc_id"), F.lit("answer").alias("kind"), F.col("text").alias("answer"))
+    """Turns that are too short or are error messages."""
+    rows = table(spark, sf_dir, "conversations").select(F.struct("conv_id", "turn").alias("doc_id"), F.lit("answer").alias("kind"), F.col("text").alias("answer"))
     return provenance.answer_rules(rows).select("doc_id.conv_id", "doc_id.turn", "code")
