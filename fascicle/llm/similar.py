@@ -6,9 +6,11 @@ pair of similarity 0.8 is missed with a chance of 2 in 10,000), and each is veri
 sets themselves: exactly if both hold at most SKETCH shingles, else on the SKETCH smallest
 hashes of their union (standard error below 0.009).
 
-A bucket of at most ``pair_block`` sets is compared in pairs. In a larger one each set is
+A bucket of at most ``pair_block`` sets is compared in pairs. In a larger one each set is first
 compared with the bucket's hub, the set that shares buckets with most others, and with about
-two others that a salt picks anew in every band: rows in proportion to the bucket.
+two others that a salt picks anew in every band: rows in proportion to the bucket. A large
+bucket whose sets are then in one component needs no more. The sets of all others go through
+an exact join on their whole shingle sets (``exact_links``), so no pair is lost to a bucket's size.
 
 Defined results: no words, no links (a set without words is left to the fingerprints); null
 ids have no links; repeated rows change nothing; an empty table gives no rows.
@@ -18,16 +20,20 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fascicle.llm.common import attach, broadcast_if_small, slices, small_batches, written
+from fascicle.llm.common import attach, broadcast_if_small, components, slices, small_batches, written
 
 BANDS, ROWS = 16, 4
 #: Smallest hashes of a set that are kept to compare it.
 SKETCH = 2048
 #: Sets of a salted part of a large bucket, on average.
 SALTED = 3
+#: Sets of a larger bucket are not compared in all pairs at once.
+PAIR_BLOCK = 16
+#: Sets of a shingle's postings that meet in one part of the exact join.
+POSTINGS = 512
 _RANDOM = np.random.default_rng(20240229)
 _FACTOR = _RANDOM.integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _OFFSET = _RANDOM.integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64)
@@ -81,11 +87,39 @@ def shingle_sets(docs: DataFrame, shingle: int = 5, id_col: str = "doc_id", text
     return docs.select(F.col(id_col).cast("long"), text_col).mapInArrow(run, "id long, fp long, digest binary, size int, bands array<long>, sketch binary")
 
 
-def candidates(sets: DataFrame, similarity: float, pair_block: int = 16) -> DataFrame:
-    """Distinct pairs (u, v) of sets that share a band, sizes within reach of the similarity."""
+def whole_sets(docs: DataFrame, wanted: DataFrame, shingle: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(node, values array<long>, sorted as unsigned) of the wanted sets (node, digest), from their texts."""
+    import xxhash
+
+    from fascicle.llm.simhash import shingle_hashes
+
+    wanted = broadcast_if_small(wanted.select("node", "digest"), 64, wanted.count())
+    rows = docs.select(F.col(id_col).cast("long").alias("node"), text_col).join(wanted, "node").select("node", "digest", text_col)
+    schema = pa.schema([("node", pa.int64()), ("values", pa.list_(pa.int64()))])
+
+    def run(batches):
+        for b in slices(batches, 64):
+            nodes, sets = [], []
+            for node, digest, text in zip(*(c.to_pylist() for c in (b.column(0), b.column(1), b.column(2).cast(pa.binary())))):
+                values = np.unique(shingle_hashes(text or b"", shingle))
+                if xxhash.xxh3_128_digest(values.tobytes()) == bytes(digest):  # an id's other texts are other sets
+                    nodes.append(node)
+                    sets.append(values.view(np.int64))
+            yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(sets, schema.field("values").type)], schema=schema)
+
+    return rows.mapInArrow(run, "node long, values array<long>").dropDuplicates(["node"])
+
+
+def bucketed(sets: DataFrame) -> DataFrame:
+    """(t, key, node, size, n) of the sets in buckets of n > 1 sets, a written table."""
     keyed = written(sets.select("node", "size", F.posexplode("bands").alias("t", "key")), "bands")
     sizes = written(keyed.groupBy("t", "key").agg(F.count("*").alias("n")).where("n > 1"), "band-sizes")
-    blocks = written(attach(keyed, sizes, ["t", "key"], "n", keyed.count()), "band-blocks")
+    return written(attach(keyed, sizes, ["t", "key"], "n", keyed.count()), "band-blocks")
+
+
+def candidates(blocks: DataFrame, similarity: float, pair_block: int = PAIR_BLOCK) -> DataFrame:
+    """Distinct pairs (u, v) of bucketed sets, sizes within reach of the similarity: all pairs of
+    small buckets, a few of large ones."""
     salt = F.when(F.col("n") <= pair_block, 0).otherwise(F.pmod(F.xxhash64("node", "t"), F.ceil(F.col("n") / SALTED)))
     parts = blocks.select("t", "key", salt.alias("salt"), F.col("node").alias("u"), F.col("size").alias("a"))
     other = parts.select("t", "key", "salt", F.col("u").alias("v"), F.col("a").alias("b"))
@@ -99,14 +133,99 @@ def candidates(sets: DataFrame, similarity: float, pair_block: int = 16) -> Data
     return both.where(F.least("a", "b") >= similarity * F.greatest("a", "b")).select("u", "v").distinct()
 
 
-def links(alone: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """Pairs (u, v) of distinct sets (node, digest, size, bands) whose similarity is verified.
+def unsettled(blocks: DataFrame, known: DataFrame, pair_block: int = PAIR_BLOCK) -> DataFrame:
+    """(node, size, component) of the sets in large buckets of more than one component of the known links."""
+    large = blocks.where(F.col("n") > pair_block).select("t", "key", "node", "size")
+    named = written(large.join(components(known), "node", "left").withColumn("component", F.coalesce("component", "node")), "large-buckets")
+    apart = named.groupBy("t", "key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("m")).where("lo <> hi")
+    return attach(named, written(apart.select("t", "key", "m"), "open-buckets"), ["t", "key"], "m", named.count()).select("node", "size", "component").distinct()
+
+
+def _most(size: Column, overlap: Column) -> Column:
+    """The last place that a set's first shared shingle can have if it shares so many."""
+    return size - F.ceil(overlap - 1e-9)
+
+
+def prefix_pairs(rest: DataFrame, whole: DataFrame, similarity: float) -> DataFrame:
+    """Distinct pairs (u, v) of different components that can reach the similarity.
+
+    Shingles are ordered from rare to frequent. Two sets of sizes a <= b share at least
+    o = similarity / (1 + similarity) * (a + b) shingles, so the first that they share stands
+    at most at place a - o of the one and b - o of the other: within the first (1 - similarity)
+    of the larger set, and less of the smaller. Shingles of one set alone only take up places.
+    A shingle's postings meet in parts of POSTINGS, without those pairs of which both are in the
+    component that holds most of them.
+    """
+    keyed = whole.select("node", F.explode("values").alias("w"))
+    counts = written(keyed.groupBy("w").agg(F.count("*").alias("n")).where("n > 1"), "shared-shingles")
+    total = rest.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
+    ranked = attach(keyed, counts, ["w"], "n", total).groupBy("node").agg(F.array_sort(F.collect_list(F.struct("n", "w"))).alias("ws"))
+    own = F.col("size") - F.size("ws")
+    first = F.greatest(F.lit(0), _most(F.col("size"), similarity * F.col("size")) + 1 - own).cast("int")
+    places = rest.join(ranked, "node").select("node", "size", "component", own.alias("own"), F.posexplode(F.slice("ws", F.lit(1), first)).alias("i", "x"))
+    places = written(places.select("node", "size", "component", (F.col("own") + F.col("i")).alias("place"), "x.w"), "prefixes")
+    each = places.groupBy("w", "component").agg(F.count("*").alias("m"))
+    posts = each.groupBy("w").agg(F.sum("m").alias("n"), F.max(F.struct("m", "component")).alias("top"), F.count("*").alias("c")).where("c > 1")
+    posts = written(posts.select("w", "n", (F.col("n") - F.col("top.m")).alias("others"), F.col("top.component").alias("top")), "postings")
+    rows = written(attach(places, posts, ["w"], "n", places.count()).withColumn("is_top", F.col("component") == F.col("top")), "posted")
+    parts = lambda is_top: F.ceil(F.when(is_top, F.col("others")).otherwise(F.col("n")) / POSTINGS)
+    least = 2 * similarity / (1 + similarity)
+    small = rows.where(F.col("place") <= _most(F.col("size"), least * F.col("size"))).withColumn("meets", F.explode(F.when(F.col("is_top"), F.array(F.lit(False))).otherwise(F.array(F.lit(True), F.lit(False)))))
+    small = small.select("w", F.col("meets").alias("is_top"), F.pmod(F.xxhash64("node"), parts(F.col("meets"))).alias("part"), F.col("node").alias("u"), F.col("size").alias("a"), F.col("component").alias("cu"), F.col("place").alias("i"))
+    large = rows.select("w", "is_top", F.explode(F.sequence(F.lit(0).cast("long"), parts(F.col("is_top")) - 1)).alias("part"), F.col("node").alias("v"), F.col("size").alias("b"), F.col("component").alias("cv"), F.col("place").alias("j"))
+    overlap = similarity / (1 + similarity) * (F.col("a") + F.col("b"))
+    near = (F.col("i") <= _most(F.col("a"), overlap)) & (F.col("j") <= _most(F.col("b"), overlap))
+    order = (F.col("a") < F.col("b")) | ((F.col("a") == F.col("b")) & (F.col("u") < F.col("v")))
+    return small.join(large, ["w", "is_top", "part"]).where((F.col("cu") != F.col("cv")) & order & near).select("u", "v").distinct()
+
+
+def verified_whole(pairs: DataFrame, whole: DataFrame, similarity: float) -> DataFrame:
+    """The pairs (u, v) whose whole shingle sets (node, values) reach the similarity."""
+    partners = pairs.groupBy("v").agg(F.count("*").alias("n"))
+    right = written(whole.select(F.col("node").alias("v"), F.col("values").alias("y")).join(partners, "v"), "right-sets")
+    rows = attach(pairs, right, ["v"], "n", pairs.count()).select("u", "v", "y")
+    rows = rows.join(whole.select(F.col("node").alias("u"), F.col("values").alias("x")), "u").select("u", "v", "x", "y")
+
+    def run(batches):
+        for b in slices(batches, 64):
+            near = []
+            for x, y in zip(b.column(2), b.column(3)):
+                x, y = x.values.to_numpy(), y.values.to_numpy()
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                near.append(both >= similarity * (len(x) + len(y) - both))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], ["u", "v"]).filter(pa.array(near, pa.bool_()))
+
+    return rows.mapInArrow(run, "u long, v long")
+
+
+def exact_links(alone: DataFrame, blocks: DataFrame, known: DataFrame, whole_of, similarity: float) -> DataFrame | None:
+    """All links that the known ones lack between sets of unsettled large buckets; None if there are no such sets.
+
+    ``whole_of`` makes the whole sets (node, values) of wanted ones (node, digest).
+    """
+    rest = written(unsettled(blocks, known), "unsettled")
+    if rest.isEmpty():
+        return None
+    whole = written(whole_of(alone.select("node", "digest").join(rest.select("node"), "node")), "whole-sets")
+    return verified_whole(written(prefix_pairs(rest, whole, similarity), "prefix-pairs"), whole, similarity)
+
+
+def links(alone: DataFrame, sets: DataFrame, similarity: float, whole_of, known: DataFrame) -> DataFrame:
+    """Links (u, v) of distinct sets (node, digest, size, bands), enough for the components with the known links."""
+    blocks = bucketed(alone)
+    found = written(sketch_links(candidates(blocks, similarity), alone, sets, similarity).unionByName(known), "first-links")
+    more = exact_links(alone, blocks, found, whole_of, similarity)
+    return found if more is None else found.unionByName(more)
+
+
+def sketch_links(pairs: DataFrame, alone: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """The candidate pairs (u, v) whose similarity is verified.
 
     ``sets`` holds the sketches; only those of candidates are moved. Hubs stand in v alone, so
     u has few partners and is joined by shuffle; v goes by attach.
     """
     small_batches(alone.sparkSession)
-    pairs = written(candidates(alone, similarity), "candidates")
+    pairs = written(pairs, "candidates")
     partners = written(pairs.select(F.col("v").alias("node")).unionByName(pairs.select(F.col("u").alias("node"))).groupBy("node").agg(F.count("*").alias("n")), "partners")
     wanted = written(alone.select("node", "digest").join(partners, "node"), "wanted")
     wanted = broadcast_if_small(wanted.withColumnRenamed("node", "id"), 64, wanted.count())

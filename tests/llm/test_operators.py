@@ -311,3 +311,28 @@ def test_likeness_of_sketches():
     large = np.unique(r.integers(0, 1 << 32, 40_000, dtype=np.uint32))
     part = np.sort(r.permutation(large)[: len(large) * 4 // 5])
     assert abs(similar.likeness(large[: similar.SKETCH].tobytes(), part[: similar.SKETCH].tobytes()) - 0.8) < 0.04
+
+
+@pytest.mark.parametrize("shared, own", [(18, 35)])
+def test_pairs_inside_a_large_family(spark, shared, own):
+    """Documents of one template (similarity below 0.8) in pairs above 0.8, against all pairs by brute force."""
+    r = random.Random(own)
+    new = lambda n: " ".join("".join(r.choice("abcdefghij") for _ in range(9)) for _ in range(n))
+    template, texts = new(304), []
+    for _ in range(100):
+        both = new(shared)
+        texts += [f"{template} {both} {new(own)}", f"{template} {both} {new(own)}"]
+    # Long and short sets of other sizes, with the template too.
+    texts += [f"{template} {new(40 + i)}" for i in range(30)]
+    sets = [set(simhash.shingle_hashes(t.encode(), 5).tolist()) for t in texts]
+    like = lambda i, j: len(sets[i] & sets[j]) / len(sets[i] | sets[j])
+    prints = [simhash.fingerprint_of(t.encode(), 5) for t in texts]
+    near = [(i, j) for i in range(len(texts)) for j in range(i) if like(i, j) >= 0.8 or ((prints[i] ^ prints[j]) & (2**64 - 1)).bit_count() <= 2]
+    assert {(2 * k + 1, 2 * k) for k in range(100)} <= set(near)
+    parent = list(range(len(texts)))
+    find = lambda i: i if parent[i] == i else find(parent[i])
+    for i, j in near:
+        a, b = sorted((find(i), find(j)))
+        parent[b] = a
+    kept = sorted(r.doc_id for r in simhash.keep_representatives(docs_of(spark, texts)).collect())
+    assert kept == [i for i in range(len(texts)) if find(i) == i]
