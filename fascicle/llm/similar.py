@@ -3,8 +3,8 @@
 At a similarity of 0.8 two 64-bit fingerprints lie about ten bits apart, where no segment of
 useful length stays equal. So candidates share a band of minimum hashes here (16 bands of 4: a
 pair of similarity 0.8 is missed with a chance of 2 in 10,000), and each is verified on the
-sets themselves: exactly if both hold at most SKETCH shingles, else on the SKETCH smallest
-hashes of their union (standard error below 0.009).
+sets themselves: if one holds SKETCH shingles or more, the SKETCH smallest hashes of their union
+(standard error below 0.009) decide only beyond MARGIN of the threshold; between, the whole sets do.
 
 A bucket of at most ``pair_block`` sets is compared in pairs. In a larger one each set is first
 compared with the bucket's hub, the set that shares buckets with most others, and with about
@@ -28,6 +28,8 @@ from fascicle.llm.common import attach, broadcast_if_small, components, slices,
 BANDS, ROWS = 16, 4
 #: Smallest hashes of a set that are kept to compare it.
 SKETCH = 2048
+#: Four standard errors of a likeness on cut sketches.
+MARGIN = 0.036
 #: Sets of a salted part of a large bucket, on average.
 SALTED = 3
 #: Sets of a larger bucket are not compared in all pairs at once.
@@ -213,13 +215,20 @@ def exact_links(alone: DataFrame, blocks: DataFrame, known: DataFrame, whole_of,
 def links(alone: DataFrame, sets: DataFrame, similarity: float, whole_of, known: DataFrame) -> DataFrame:
     """Links (u, v) of distinct sets (node, digest, size, bands), enough for the components with the known links."""
     blocks = bucketed(alone)
-    found = written(sketch_links(candidates(blocks, similarity), alone, sets, similarity).unionByName(known), "first-links")
+    judged = written(sketch_links(candidates(blocks, similarity), alone, sets, similarity), "judged")
+    found = judged.where("sure").select("u", "v").unionByName(known)
+    doubtful = judged.where("NOT sure").select("u", "v")
+    if not doubtful.isEmpty():
+        nodes = doubtful.select(F.col("u").alias("node")).unionByName(doubtful.select(F.col("v").alias("node"))).distinct()
+        whole = written(whole_of(written(alone.select("node", "digest").join(nodes, "node"), "doubtful")), "doubtful-sets")
+        found = found.unionByName(verified_whole(doubtful, whole, similarity))
+    found = written(found, "first-links")
     more = exact_links(alone, blocks, found, whole_of, similarity)
     return found if more is None else found.unionByName(more)
 
 
 def sketch_links(pairs: DataFrame, alone: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """The candidate pairs (u, v) whose similarity is verified.
+    """(u, v, sure) of the candidate pairs: sure ones reach the similarity, the others may do so on whole sets.
 
     ``sets`` holds the sketches; only those of candidates are moved. Hubs stand in v alone, so
     u has few partners and is joined by shuffle; v goes by attach.
@@ -236,7 +245,12 @@ def sketch_links(pairs: DataFrame, alone: DataFrame, sets: DataFrame, similarity
 
     def run(batches):
         for b in slices(batches):
-            near = [likeness(x, y) >= similarity for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist())]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], ["u", "v"]).filter(pa.array(near, pa.bool_()))
-
-    return rows.mapInArrow(run, "u long, v long")
+            near, sure = [], []
+            for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist()):
+                margin = MARGIN if max(len(x), len(y)) >= 4 * SKETCH else 0.0
+                found = likeness(x, y)
+                near.append(found >= similarity - margin)
+                sure.append(found >= similarity + margin)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(sure, pa.bool_())], ["u", "v", "sure"]).filter(pa.array(near, pa.bool_()))
+
+    return rows.mapInArrow(run, "u long, v long, sure boolean")

@@ -336,3 +336,28 @@ def test_pairs_inside_a_large_family(spark, shared, own):
         parent[b] = a
     kept = sorted(r.doc_id for r in simhash.keep_representatives(docs_of(spark, texts)).collect())
     assert kept == [i for i in range(len(texts)) if find(i) == i]
+
+
+def test_long_texts_are_decided_on_whole_sets(spark):
+    """Pairs of over SKETCH shingles on one side of 0.8 whose sketches lie on the other."""
+    import numpy as np
+
+    from fascicle.llm import similar
+
+    r = random.Random(8)
+    new = lambda n: " ".join("".join(r.choice("abcdefghij") for _ in range(9)) for _ in range(n))
+    hashes = lambda t: np.unique(simhash.shingle_hashes(t.encode(), 5))
+    sketch = lambda v: np.unique((v >> np.uint64(32)).astype(np.uint32))[: similar.SKETCH].tobytes()
+
+    def pair(own, above):
+        while True:
+            shared = new(4004)
+            a, b = f"{shared} {new(own)}", f"{shared} {new(own)}"
+            x, y = hashes(a), hashes(b)
+            both = len(np.intersect1d(x, y))
+            assert (both / (len(x) + len(y) - both) >= 0.8) == above
+            if (similar.likeness(sketch(x), sketch(y)) >= 0.8) != above and ((simhash.fingerprint_of(a.encode(), 5) ^ simhash.fingerprint_of(b.encode(), 5)) & (2**64 - 1)).bit_count() > 2:
+                return [a, b]
+
+    texts = pair(490, True) + pair(510, False)
+    assert sorted(r.doc_id for r in simhash.keep_representatives(docs_of(spark, texts)).collect()) == [0, 2, 3]
