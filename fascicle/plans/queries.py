@@ -8,11 +8,14 @@ from pyspark.sql import Window
 
 from fascicle import schema
 from fascicle.functions.keys import garbage_ratio, path_key
-from fascicle.operators import cards, ledger, merge, provenance, quality, rewrite, sync
+from fascicle.operators import cards, ledger, match, merge, provenance, quality, rewrite, sync
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
 
+#: Parts of a word's documents in the scored match.
+SALTS = 16
+
 _KEY = r"[^\p{L}\p{N}_]"
 
 
@@ -228,6 +231,30 @@ def doc_top1_score(spark, sf_dir):
     return best.select("doc_id", "r.*")
 
 
+_TOPIC = rf"list_distinct(list_filter(regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}]+'), lambda w: length(w) >= 3 AND w NOT IN ({', '.join(f"'{w}'" for w in match.GENERIC)}) AND NOT regexp_full_match(w, '[0-9]{{4}}')))"
+
+
+@query(f"""
+WITH bw AS (SELECT item_id, unnest({_TOPIC}) AS w FROM benchmark),
+dw AS (SELECT doc_id, unnest({_TOPIC}) AS w FROM documents),
+s AS (SELECT doc_id, item_id, count(*) AS score FROM dw JOIN bw USING (w) GROUP BY 1, 2)
+SELECT doc_id, item_id, score FROM s QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, item_id) = 1
+""")
+def doc_top1_topic_score(spark, sf_dir):
+    """Scored match on all topic words: those of three characters or more, without the fixed generic ones and years.
+
+    doc_top1_score, bound to its SQL, counts long words only. A frequent word meets in SALTS parts.
+    """
+    word = lambda w: (F.length(w) >= 3) & ~w.isin(*match.GENERIC) & ~w.rlike(r"^\d{4}$")
+    words = lambda c: F.explode(F.array_distinct(F.filter(F.regexp_extract_all(F.lower(c), F.lit(r"[\p{L}\p{N}]+"), F.lit(0)), word))).alias("w")
+    d = table(spark, sf_dir, "documents").select("doc_id", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).alias("salt"), words(F.col("text")))
+    salts = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))).alias("salt")
+    b = table(spark, sf_dir, "benchmark").select("item_id", words(F.col("text"))).select("item_id", "w", salts)
+    score = d.join(b, ["w", "salt"]).groupBy("doc_id", "item_id").agg(F.count("*").alias("score"))
+    best = score.groupBy("doc_id").agg(F.max_by(F.struct("item_id", "score"), F.struct("score", -F.col("item_id"))).alias("r"))
+    return best.select("doc_id", "r.*")
+
+
 @query("""
 SELECT d.doc_id, b.item_id FROM documents d JOIN benchmark b ON contains(d.text, b.text)
 """)

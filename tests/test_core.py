@@ -265,3 +265,22 @@ def test_driver_query_matches_sql(spark, name):
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_top1_topic_score_counts_short_words(spark, tmp_path):
+    import re
+
+    from fascicle.operators.match import GENERIC
+    from fascicle.plans import queries
+
+    docs = [(1, "red fox ran"), (2, "final exam 2020"), (3, "Enumeration of red cats"), (4, None), (5, "an ox"), (6, "red fox cats")]
+    items = [(1, "Red cats; fox"), (2, "red fox 2020 final exam"), (3, "enumeration only")]
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    tokens = lambda t: {w for w in re.findall(r"[a-z0-9]+", (t or "").lower()) if len(w) >= 3 and w not in GENERIC and not re.fullmatch(r"\d{4}", w)}
+    want = {}
+    for doc, text in docs:
+        score, item = max((len(tokens(text) & tokens(t)), -i) for i, t in items)
+        if score:
+            want[doc] = (-item, score)
+    assert {r.doc_id: (r.item_id, r.score) for r in queries.doc_top1_topic_score(spark, str(tmp_path)).collect()} == want
