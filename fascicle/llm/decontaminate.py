@@ -11,7 +11,8 @@ Benchmark windows are broadcast in blocks of at most ``block_words`` item words,
 broadcast is bounded whatever the benchmark's size; each block scans all documents.
 
 Defined results: null and empty texts have no words and no hits; null or empty items have no
-windows; items of one id count once; repeated documents are scored alike; null ids stay; an
+windows; items of one id count once;
+items without an id hit too and count as one item, with no part in the digest of ids; repeated documents are scored alike; null ids stay; an
 empty benchmark hits nothing; other columns are ignored.
 """
 
@@ -41,13 +42,13 @@ class Windows:
 
     def __init__(self, items: list[tuple[object, bytes]], size: int):
         self.size = size
-        by_window: dict[tuple[bytes, ...], set[str]] = defaultdict(set)
+        by_window: dict[tuple[bytes, ...], set[str | None]] = defaultdict(set)
         seen: Counter[bytes] = Counter()
         for item, text in items:
             words = words_of(text)
-            seen.update(words)
+            seen.update(words)  # an item without an id is None, beside the others' ids
             for i in range(max(1, len(words) - size + 1) if words else 0):
-                by_window[tuple(words[i : i + size])].add(str(item))
+                by_window[tuple(words[i : i + size])].add(None if item is None else str(item))
         self.by_prefix: dict[bytes, list[tuple[int, list[bytes], tuple[str, ...]]]] = defaultdict(list)
         for window, ids in by_window.items():
             o = min(range(len(window)), key=lambda i: (seen[window[i]], -len(window[i]), window[i], i))
@@ -87,7 +88,7 @@ def _blocks(benchmark: DataFrame, item_col: str, text_col: str, block_words: int
     out = []
     for k in range(n):
         rows = benchmark if n == 1 else benchmark.where(F.pmod(F.xxhash64(item_col, text_col), F.lit(n)) == k)
-        out.append([(r[0], bytes(r[1])) for r in rows.select(item_col, F.col(text_col).cast("binary")).collect() if r[0] is not None and r[1]])
+        out.append([(r[0], bytes(r[1])) for r in rows.select(item_col, F.col(text_col).cast("binary")).collect() if r[1]])
     return out
 
 
@@ -98,7 +99,10 @@ def contamination(docs: DataFrame, benchmark: DataFrame, size: int = 10, block_w
     schema = T.StructType.fromDDL(f"`{id_col}` long, n_words long, spans array<struct<lo:int,hi:int>>, items array<string>, row long")
     blocks = [spark.sparkContext.broadcast(b) for b in _blocks(benchmark, item_col, item_text, block_words)]
     docs = docs.select(F.col(id_col).cast("long").alias(id_col), text_col)
-    docs = docs.withColumn("row", F.xxhash64(text_col) if len(blocks) > 1 else F.lit(0).cast("long"))
+    if len(blocks) > 1:  # a row's own key, written so that every block reads the same one
+        docs = written(docs.withColumn("row", F.monotonically_increasing_id()), "rows")
+    else:
+        docs = docs.withColumn("row", F.lit(0).cast("long"))
 
     def scanner(block):
         key = uuid.uuid4().hex
@@ -112,7 +116,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, size: int = 10, block_w
                     s, i = windows.scan(words)
                     n.append(len(words))
                     spans.append([{"lo": x, "hi": y} for x, y in s])
-                    items.append(sorted(i))
+                    items.append(sorted(i, key=lambda x: (x is None, x or "")))
                 kind = pa.list_(pa.struct([("lo", pa.int32()), ("hi", pa.int32())]))
                 yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(spans, kind), pa.array(items, pa.list_(pa.string())), b.column(2)], names=schema.names)
 

@@ -361,3 +361,12 @@ def test_long_texts_are_decided_on_whole_sets(spark):
 
     texts = pair(490, True) + pair(510, False)
     assert sorted(r.doc_id for r in simhash.keep_representatives(docs_of(spark, texts)).collect()) == [0, 2, 3]
+
+
+def test_decontaminate_keeps_repeats_and_items_without_id(spark):
+    item, other = " ".join(f"w{i}" for i in range(12)), " ".join(f"v{i}" for i in range(12))
+    docs = spark.createDataFrame([(1, item), (1, item), (None, other), (None, other), (2, "x")], "doc_id long, text string")
+    bench = spark.createDataFrame([(7, item), (None, other)], "item_id long, text string")
+    for block in (1_000_000, 10):
+        out = sorted((r.doc_id or 0, r.n_hit, r.n_items, r.contaminated) for r in decontaminate.report(docs, bench, block_words=block).collect())
+        assert out == [(0, 12, 1, True)] * 2 + [(1, 12, 1, True)] * 2 + [(2, 0, 0, False)]
