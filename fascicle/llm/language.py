@@ -103,7 +103,8 @@ class Lattice:
 
     def expected(self, word: str, p: list[float], weight: float, into: dict[int, float]) -> None:
         """Adds each piece's expected count, over all segmentations, times weight."""
-        word = word[:64]  # training only
+        if len(word) > 64:
+            return self._expected_long(word, p, weight, into)
         arcs = self.arcs(word)
         n = len(arcs)
         a, b = [0.0] * (n + 1), [0.0] * (n + 1)
@@ -118,6 +119,29 @@ class Lattice:
                 for j, k in arcs[i]:
                     into[k] += weight * a[i] * p[k] * b[j] / a[n]
 
+    def _expected_long(self, word: str, p: list[float], weight: float, into: dict[int, float]) -> None:
+        """As expected(), in logarithms, which do not underflow on long words."""
+        arcs = [[(j, k, math.log(p[k])) for j, k in here if p[k] > 0] for here in self.arcs(word)]
+        n, none = len(arcs), -math.inf
+        a, b = [none] * (n + 1), [none] * (n + 1)
+        a[0] = b[n] = 0.0
+        for i in range(n):
+            for j, _, q in arcs[i]:
+                a[j] = _log_sum(a[j], a[i] + q)
+        for i in range(n - 1, -1, -1):
+            for j, _, q in arcs[i]:
+                b[i] = _log_sum(b[i], q + b[j])
+        if a[n] > none:
+            for i in range(n):
+                for j, k, q in arcs[i]:
+                    into[k] += weight * math.exp(a[i] + q + b[j] - a[n])
+
+
+def _log_sum(x: float, y: float) -> float:
+    """log(exp(x) + exp(y))."""
+    hi, lo = max(x, y), min(x, y)
+    return hi if lo == -math.inf else hi + math.log1p(math.exp(lo - hi))
+
 
 class Model:
     """Languages and, for each piece, its probability in each of them."""

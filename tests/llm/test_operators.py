@@ -370,3 +370,17 @@ def test_decontaminate_keeps_repeats_and_items_without_id(spark):
     for block in (1_000_000, 10):
         out = sorted((r.doc_id or 0, r.n_hit, r.n_items, r.contaminated) for r in decontaminate.report(docs, bench, block_words=block).collect())
         assert out == [(0, 12, 1, True)] * 2 + [(1, 12, 1, True)] * 2 + [(2, 0, 0, False)]
+
+
+def test_training_counts_whole_long_words():
+    lattice = language.Lattice(["▁", "a", "b", "ab"])
+    p = [0.1, 0.2, 0.3, 0.3, 0.1]
+    counts = defaultdict(float)
+    lattice.expected("ab" * 1000, p, 2.0, counts)
+    # Each "ab" is one piece or two: 0.3 against 0.2 * 0.3.
+    assert counts[3] == pytest.approx(2000 * 0.3 / 0.36) and counts[1] == pytest.approx(2000 * 0.06 / 0.36)
+    short = defaultdict(float)
+    lattice._expected_long("abba", p, 1.0, short)
+    plain = defaultdict(float)
+    lattice.expected("abba", p, 1.0, plain)
+    assert dict(short) == pytest.approx(dict(plain))
