@@ -3,7 +3,9 @@
 Regular expressions propose spans of six kinds: email, ip, card, phone, iban, ssn. Validators
 confirm them: parts of an ip are at most 255, a card has 16 to 19 digits and passes Luhn, a
 phone has 8 to 15 digits, an iban passes mod-97. A span's score starts from its kind, rises
-with a checksum and with a context word in the 40 characters before it, and stays in 0 to 1.
+with a checksum and with a context word before it, and stays in 0 to 1. The context is at most
+40 characters and ends at the previous match of the same pattern; nothing after a span is read. An
+iban is one run: groups parted by spaces are not proposed. The SQL fixes both.
 The first four kinds are always kept once valid; iban and ssn are added from ``least`` on, which
 an iban reaches by its checksum and an ssn by its context only.
 
