@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -27,9 +28,11 @@ def ascii_lower(text: Column) -> Column:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or a temporary one where it is unset."""
+    """The folder all executors share: spark.checkpoint.dir; where it is unset, a temporary one in local mode only."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
+        if not re.fullmatch(r"local(\[[^-]*\])?", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         found = f"file://{tempfile.mkdtemp(prefix='fascicle-')}"
         spark.conf.set("spark.checkpoint.dir", found)
     return found
@@ -72,6 +75,21 @@ def attach(rows: DataFrame, table: DataFrame, keys: list[str], weight: str, tota
     return hot.unionByName(cold)
 
 
+def salted_join(rows: DataFrame, table: DataFrame, keys: list[str], counts: DataFrame, weight: str, total: int, by: list[str]) -> DataFrame:
+    """Joins rows with a table that may hold a key several times, with no hot task.
+
+    ``counts`` holds each key of rows once with its number of rows, ``weight``; ``total`` is all
+    rows. A key of at least total / HEAVY_PARTS rows is dealt by a hash of the columns ``by``
+    into parts of about that many, and the table's rows of it are copied to each.
+    """
+    least = max(2, -(-total // HEAVY_PARTS))
+    heavy = F.broadcast(counts.where(F.col(weight) >= least).select(*keys, F.ceil(F.col(weight) / least).cast("int").alias("__parts")))  # at most HEAVY_PARTS
+    parts = F.coalesce("__parts", F.lit(1))
+    dealt = rows.join(heavy, keys, "left").withColumn("__salt", F.pmod(F.xxhash64(*by), parts).cast("int")).drop("__parts")
+    copied = table.join(heavy, keys, "left").withColumn("__salt", F.explode(F.sequence(F.lit(0), parts - 1))).drop("__parts")
+    return dealt.join(copied, [*keys, "__salt"]).drop("__salt")
+
+
 def small_batches(spark: SparkSession) -> None:
     """Keeps Arrow batches to ARROW_ROWS rows: they take memory beside both the JVM's heap and Python's.
 
@@ -109,11 +127,14 @@ def keep_ids(docs: DataFrame, ids: DataFrame, id_col: str = "doc_id", how: str =
     return docs.join(broadcast_if_small(ids, 16), docs[id_col].eqNullSafe(F.col("__keep_id")), how)
 
 
-def _star(edges: DataFrame, large: bool) -> DataFrame:
-    """One star step over edges (u > v): every neighbour is linked to its smallest one."""
+def _star(edges: DataFrame, large: bool, total: int) -> DataFrame:
+    """One star step over about ``total`` edges (u > v): every neighbour is linked to its smallest one.
+
+    A node of very many neighbours, as a large component's smallest is, meets them by broadcast.
+    """
     both = edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v"))) if large else edges
     least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"), F.count("*").alias("n"))
-    joined = both.join(least, "u")
+    joined = attach(both, least, ["u"], "n", total)
     if large:
         out = joined.where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
     else:
@@ -134,7 +155,7 @@ def components(edges: DataFrame, max_rounds: int = 40) -> DataFrame:
         if mark == before or not mark[0]:
             break
         before = mark
-        now = written(_star(_star(now, True), False), "edges")
+        now = written(_star(_star(now, True, 2 * mark[0]), False, mark[0]), "edges")
     else:
         raise RuntimeError("components: no fixed point within max_rounds")
     return now.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("component"))).distinct()

@@ -1,75 +1,54 @@
 """Benchmark decontamination by a prefix-filtered containment join.
 
 A window is ``size`` consecutive words of a benchmark item (an item of fewer words, but not
-none, is one window). Its words are ordered by rarity among the benchmark's own words; as a
-window must be contained whole, its necessary prefix is its rarest word alone. Documents are
-scanned for prefix words; a hit at position p of a window with the prefix at offset o can
-only start at p - o (positional bound) and must end within the document (length bound); what
-is left is verified word by word.
+none, is one window). It is a set of shingles of GRAM words (fewer, if it has fewer), ordered
+from rare to frequent among the benchmark's own shingles. A window must be contained whole, so
+its necessary prefix is its rarest shingle alone:
 
-Benchmark windows are broadcast in blocks of at most ``block_words`` item words, so what is
-broadcast is bounded whatever the benchmark's size; each block scans all documents.
+1. Windows. A sliding minimum over each item's shingles gives each window its prefix.
+2. Scan. Documents are read once. Two bitmaps of a fixed size (prefixes, and their first words)
+   tell which places may hold a prefix; such a place goes on with the ``size`` - 1 words on
+   either side. A bitmap lets through what shares a bit, never loses a prefix.
+3. Join. Places meet windows by prefix, frequent prefixes in salted parts. A window whose prefix
+   stands at offset o can only start at p - o, not before the document (positional bound), and
+   must end within it (length bound); what is left is compared word by word.
+
+Nothing grows with the benchmark on the driver or in a broadcast, and no text is shuffled.
 
 Defined results: null and empty texts have no words and no hits; null or empty items have no
-windows; items of one id count once;
-items without an id hit too and count as one item, with no part in the digest of ids; repeated documents are scored alike; null ids stay; an
-empty benchmark hits nothing; other columns are ignored.
+windows; items of one id count once; items without an id hit too and count as one item, with no
+part in the digest of ids; repeated documents are scored alike; null ids stay; an empty
+benchmark hits nothing; other columns are ignored.
 """
 
 from __future__ import annotations
 
-import uuid
-from collections import Counter, defaultdict
+from itertools import repeat
 
+import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from fascicle.llm.common import keep_ids, kept, slices, small_batches, written
+from fascicle.llm.common import attach, broadcast_if_small, salted_join, slices, small_batches, written
 
 #: Bytes of a word: digits, letters (A-Z lower-cased) and all of any character beyond ASCII.
 WORD_BYTES = bytes((b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32) for b in range(256))
+#: Words of a shingle.
+GRAM = 3
+#: Item words of a part in which windows are made.
 BLOCK_WORDS = 1_000_000
+#: A bitmap has 2 ** SLOT_BITS bits, 8 MB.
+SLOT_BITS = 26
+_SLOTS, _BUCKET = (1 << SLOT_BITS) - 1, 32768
+#: Places that a worker holds before it hands them on.
+FLUSH = 4096
 
 
 def words_of(text: bytes | None) -> list[bytes]:
     return (text or b"").translate(WORD_BYTES).split()
 
 
-class Windows:
-    """Item windows by their prefix word."""
-
-    def __init__(self, items: list[tuple[object, bytes]], size: int):
-        self.size = size
-        by_window: dict[tuple[bytes, ...], set[str | None]] = defaultdict(set)
-        seen: Counter[bytes] = Counter()
-        for item, text in items:
-            words = words_of(text)
-            seen.update(words)  # an item without an id is None, beside the others' ids
-            for i in range(max(1, len(words) - size + 1) if words else 0):
-                by_window[tuple(words[i : i + size])].add(None if item is None else str(item))
-        self.by_prefix: dict[bytes, list[tuple[int, list[bytes], tuple[str, ...]]]] = defaultdict(list)
-        for window, ids in by_window.items():
-            o = min(range(len(window)), key=lambda i: (seen[window[i]], -len(window[i]), window[i], i))
-            self.by_prefix[window[o]].append((o, list(window), tuple(ids)))
-        self.prefix = frozenset(self.by_prefix)
-
-    def scan(self, words: list[bytes]) -> tuple[list[tuple[int, int]], set[str]]:
-        """Spans of words [start, end) that windows cover, and the ids of their items."""
-        spans, ids, n = [], set(), len(words)
-        if self.prefix.isdisjoint(words):
-            return spans, ids
-        prefix, find = self.prefix, self.by_prefix
-        for p in [i for i, w in enumerate(words) if w in prefix]:
-            for o, window, items in find[words[p]]:
-                lo, hi = p - o, p - o + len(window)
-                if 0 <= lo and hi <= n and words[lo:hi] == window:
-                    spans.append((lo, hi))
-                    ids.update(items)
-        return merged(spans), ids
-
-
 def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     out: list[tuple[int, int]] = []
     for lo, hi in sorted(spans):
@@ -80,57 +59,141 @@ def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-def _blocks(benchmark: DataFrame, item_col: str, text_col: str, block_words: int) -> list[list[tuple[object, bytes]]]:
-    """The items, in blocks of bounded words; each block is gathered by itself."""
-    size = F.size(F.split(F.coalesce(F.col(text_col), F.lit("")), "[^0-9A-Za-z\\x{80}-\\x{10FFFF}]+"))
-    total = benchmark.agg(F.coalesce(F.sum(size), F.lit(0))).first()[0]
-    n = -(-total // block_words) or 1
-    out = []
-    for k in range(n):
-        rows = benchmark if n == 1 else benchmark.where(F.pmod(F.xxhash64(item_col, text_col), F.lit(n)) == k)
-        out.append([(r[0], bytes(r[1])) for r in rows.select(item_col, F.col(text_col).cast("binary")).collect() if r[1]])
+def item_words(benchmark: DataFrame, block_words: int, item_col: str, text_col: str) -> DataFrame:
+    """(row, item, words) of the items that have words, in parts of about block_words words."""
+
+    def run(batches):
+        for b in slices(batches):
+            words = [[w.decode() for w in words_of(t)] for t in b.column(2).cast(pa.binary()).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(words, pa.list_(pa.string()))], names=["row", "item", "words"])
+
+    rows = benchmark.select(F.monotonically_increasing_id().alias("row"), F.col(item_col).cast("string").alias("item"), F.col(text_col).cast("string"))
+    rows = written(rows.mapInArrow(run, "row long, item string, words array<string>").where(F.size("words") > 0), "benchmark-words")
+    total = rows.agg(F.coalesce(F.sum(F.size("words")), F.lit(0))).first()[0]
+    return rows.repartition(-(-total // block_words), "row") if total > block_words else rows
+
+
+def item_windows(items: DataFrame, size: int) -> DataFrame:
+    """(item, window, n, gram, key, off): each item's windows, with their rarest shingle and its offset."""
+    gram = min(GRAM, size)
+    length = F.size("words")
+    text = lambda i, n: F.array_join(F.slice("words", i + 1, n), " ")
+    last = F.greatest(length - size, F.lit(0))
+    each = F.transform(F.sequence(F.lit(0), F.greatest(length - gram, F.lit(0))), lambda i: F.struct(i.alias("i"), text(i, F.least(length, F.lit(gram))).alias("gram"), F.when(i <= last, text(i, F.least(length, F.lit(size)))).alias("window")))
+    grams = items.select("row", "item", F.least(length, F.lit(size)).alias("n"), F.explode(each).alias("e")).select("row", "item", "n", "e.*")
+    grams = written(grams.withColumn("key", F.xxhash64("gram")), "benchmark-shingles")
+    counts = grams.groupBy("key").agg(F.count("*").alias("times"))
+    ranked = attach(grams, counts, ["key"], "times", grams.count())
+    near = Window.partitionBy("row").orderBy("i").rowsBetween(0, size - gram)
+    rarest = F.min(F.struct("times", (-F.length("gram")).alias("short"), "key", F.col("i").alias("at"), "gram")).over(near)
+    windows = ranked.withColumn("r", rarest).where("window IS NOT NULL")
+    return windows.select("item", "window", "n", "r.gram", "r.key", (F.col("r.at") - F.col("i")).alias("off"))
+
+
+def bitmap(rows: DataFrame, key: Column) -> np.ndarray:
+    """The slots of the rows' keys as bits: a fixed number of bytes, however many rows."""
+    slot = rows.select((key.bitwiseAND(F.lit(_SLOTS)) + 1).alias("slot"))
+    parts = slot.groupBy(F.bitmap_bucket_number("slot").alias("b")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("slot")).alias("bits"))
+    out = np.zeros((_SLOTS + 1) // 8, np.uint8)
+    for b, bits in parts.collect():  # at most 2 ** SLOT_BITS / 32768 rows of 4 KB
+        at = (b - 1) * (_BUCKET // 8)
+        out[at : at + len(bits)] |= np.frombuffer(bits, np.uint8)
     return out
 
 
+def _held(bits: np.ndarray, slots: np.ndarray) -> np.ndarray:
+    return (bits[slots >> 3] >> (slots & 7).astype(np.uint8)) & 1 > 0
+
+
+def places(words: list[bytes], size: int, grams: tuple[int, ...], firsts: np.ndarray, keys: np.ndarray):
+    """(place, signed key) of the shingles that may be prefixes."""
+    import xxhash
+
+    digest, n = xxhash.xxh64_intdigest, len(words)
+    slots = np.fromiter(map(digest, words, repeat(42)), np.uint64, n)
+    for p in np.flatnonzero(_held(firsts, (slots & np.uint64(_SLOTS)).astype(np.int64))).tolist():
+        for g in grams:
+            if p + g <= n:
+                k = digest(b" ".join(words[p : p + g]), 42)
+                if keys[(k & _SLOTS) >> 3] >> (k & 7) & 1:
+                    yield p, k - (1 << 64) if k >> 63 else k
+
+
+def text_mark(text_col: str) -> Column:
+    return F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit("")))
+
+
+def scanned(docs: DataFrame, windows: DataFrame, size: int, id_col: str, text_col: str) -> DataFrame:
+    """One row (row, id, mark, n_words) for each document, and one with (p, key, lo, near) for each place."""
+    spark = docs.sparkSession
+    words_in = [r[0] for r in windows.select(F.size(F.split("gram", " "))).distinct().collect()]  # at most GRAM
+    firsts = bitmap(windows, F.xxhash64(F.substring_index("gram", " ", 1)))
+    shared = spark.sparkContext.broadcast((tuple(sorted(words_in)), firsts, bitmap(windows, F.col("key"))))  # 16 MB
+    names = ["row", "id", "mark", "n_words", "p", "key", "lo", "near"]
+    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.list_(pa.string())]
+
+    def batch(rows: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=names)
+
+    def run(batches):
+        grams, firsts, keys = shared.value
+        rows: list[tuple] = []
+        for b in slices(batches):
+            for row, i, mark, text in zip(*(b.column(c).to_pylist() for c in range(3)), b.column(3).cast(pa.binary()).to_pylist()):
+                words = words_of(text)
+                rows.append((row, i, mark, len(words), None, None, None, None))
+                if words and grams:
+                    for p, k in places(words, size, grams, firsts, keys):
+                        lo = max(0, p - size + 1)
+                        rows.append((row, i, mark, len(words), p, k, lo, [w.decode() for w in words[lo : p + size]]))
+                        if len(rows) >= FLUSH:
+                            yield batch(rows)
+                            rows = []
+            if rows:
+                yield batch(rows)
+                rows = []
+
+    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).cast("long").alias("id"), text_mark(text_col).alias("mark"), F.col(text_col).cast("string").alias("text"))
+    return rows.mapInArrow(run, "row long, id long, mark long, n_words long, p int, key long, lo int, near array<string>")
+
+
+def verified(hits: DataFrame, windows: DataFrame) -> DataFrame:
+    """Distinct (row, lo, hi, window): the places at which a whole window stands."""
+    counts = hits.groupBy("key").agg(F.count("*").alias("times"))
+    met = salted_join(hits, windows.select("window", "n", "key", "off"), ["key"], counts, "times", hits.count(), ["row", "p"])
+    start = F.col("p") - F.col("off")
+    met = met.where((start >= F.lit(0)) & (start >= F.col("lo")) & (start + F.col("n") <= F.col("n_words")))
+    met = met.where(F.array_join(F.slice("near", start - F.col("lo") + 1, F.col("n")), " ") == F.col("window"))
+    return met.select("row", start.alias("lo"), (start + F.col("n")).alias("hi"), "window").distinct()
+
+
+def _judged(docs: DataFrame, benchmark: DataFrame, size: int, block_words: int, id_col: str, text_col: str, item_col: str, item_text: str) -> DataFrame:
+    """(id, mark, n_words, spans, items) for every row; mark is a hash of its text."""
+    small_batches(docs.sparkSession)
+    held = written(item_windows(item_words(benchmark, block_words, item_col, item_text), size).distinct(), "item-windows")
+    windows = written(held.drop("item").distinct(), "windows")
+    rows = written(scanned(docs, windows, size, id_col, text_col), "scanned")
+    found = written(verified(rows.where("p IS NOT NULL").select("row", "n_words", "p", "key", "lo", "near"), windows), "window-hits")
+    # Overlapping and touching spans of a row are one: a new one starts beyond all ends before it.
+    order = Window.partitionBy("row").orderBy("lo", "hi")
+    spans = found.select("row", "lo", "hi").distinct()
+    spans = spans.withColumn("opens", (F.col("lo") > F.coalesce(F.max("hi").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(-1))).cast("int"))
+    spans = spans.withColumn("part", F.sum("opens").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    spans = spans.groupBy("row", "part").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+    spans = spans.groupBy("row").agg(F.array_sort(F.collect_list(F.struct("lo", "hi"))).alias("spans"))
+    hit = found.select("row", "window").distinct()
+    items = salted_join(hit, held.select("window", "item"), ["window"], hit.groupBy("window").agg(F.count("*").alias("times")), "times", found.count(), ["row"])
+    items = items.select("row", "item").distinct().groupBy("row").agg(F.array_sort(F.transform(F.collect_list(F.struct("item")), lambda s: s["item"])).alias("items"))
+    told = written(spans.join(items, "row"), "contaminated-rows")
+    weight = told.agg(F.coalesce(F.sum(128 + 32 * F.size("spans") + 32 * F.size("items")), F.lit(0))).first()[0]
+    out = rows.where("p IS NULL").select("row", "id", "mark", "n_words").join(broadcast_if_small(told, 1, weight), "row", "left")
+    empty = lambda c: F.coalesce(c, F.array().cast(told.schema[c].dataType)).alias(c)
+    return out.select("id", "mark", "n_words", empty("spans"), empty("items"))
+
+
 def contamination(docs: DataFrame, benchmark: DataFrame, size: int = 10, block_words: int = BLOCK_WORDS, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
     """(id, n_words, spans array<struct<lo,hi>> of words, items array<string>) for every row."""
-    spark = docs.sparkSession
-    small_batches(spark)
-    schema = T.StructType.fromDDL(f"`{id_col}` long, n_words long, spans array<struct<lo:int,hi:int>>, items array<string>, row long")
-    blocks = [spark.sparkContext.broadcast(b) for b in _blocks(benchmark, item_col, item_text, block_words)]
-    docs = docs.select(F.col(id_col).cast("long").alias(id_col), text_col)
-    if len(blocks) > 1:  # a row's own key, written so that every block reads the same one
-        docs = written(docs.withColumn("row", F.monotonically_increasing_id()), "rows")
-    else:
-        docs = docs.withColumn("row", F.lit(0).cast("long"))
-
-    def scanner(block):
-        key = uuid.uuid4().hex
-
-        def run(batches):
-            windows = kept(key, lambda: Windows(block.value, size))
-            for b in slices(batches):
-                n, spans, items = [], [], []
-                for t in b.column(1).cast(pa.binary()).to_pylist():
-                    words = words_of(t)
-                    s, i = windows.scan(words)
-                    n.append(len(words))
-                    spans.append([{"lo": x, "hi": y} for x, y in s])
-                    items.append(sorted(i, key=lambda x: (x is None, x or "")))
-                kind = pa.list_(pa.struct([("lo", pa.int32()), ("hi", pa.int32())]))
-                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(spans, kind), pa.array(items, pa.list_(pa.string())), b.column(2)], names=schema.names)
-
-        return run
-
-    found = [docs.mapInArrow(scanner(b), schema) for b in blocks]
-    if len(found) == 1:
-        return found[0].drop("row")
-    rows = found[0]
-    for more in found[1:]:
-        rows = rows.unionByName(more)
-    merge = F.udf(lambda x: [{"lo": lo, "hi": hi} for lo, hi in merged([(s.lo, s.hi) for s in x])], schema["spans"].dataType)
-    rows = rows.groupBy(id_col, "row", "n_words").agg(F.flatten(F.collect_list("spans")).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
-    return rows.withColumn("spans", merge("spans")).drop("row")
+    return _judged(docs, benchmark, size, block_words, id_col, text_col, item_col, item_text).drop("mark").withColumnRenamed("id", id_col)
 
 
 def report(docs: DataFrame, benchmark: DataFrame, size: int = 10, **names) -> DataFrame:
@@ -143,10 +206,15 @@ def report(docs: DataFrame, benchmark: DataFrame, size: int = 10, **names) -> Da
 
 
 def keep_clean(docs: DataFrame, benchmark: DataFrame, size: int = 10, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs without the documents that hold a benchmark window."""
-    found = contamination(docs, benchmark, size, id_col=id_col, text_col=text_col)
-    lost = written(found.where(F.size("spans") > 0).select(id_col).where(F.col(id_col).isNotNull()), "contaminated")
-    return keep_ids(docs, lost, id_col, "left_anti")
+    """docs without the rows that hold a benchmark window.
+
+    A row is known again by its id (null too) and a hash of its text, so rows of one id are
+    judged each by its own text.
+    """
+    found = _judged(docs, benchmark, size, BLOCK_WORDS, id_col, text_col, "item_id", "text")
+    lost = written(found.where(F.size("spans") > 0).select(F.col("id").alias("__id"), F.col("mark").alias("__mark")).distinct(), "contaminated")
+    same = F.col(id_col).eqNullSafe(F.col("__id")) & (text_mark(text_col) == F.col("__mark"))
+    return docs.join(broadcast_if_small(lost, 64), same, "left_anti")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
