@@ -6,9 +6,9 @@ from rare to frequent among the benchmark's own shingles. A window must be conta
 its necessary prefix is its rarest shingle alone:
 
 1. Windows. A sliding minimum over each item's shingles gives each window its prefix.
-2. Scan. Documents are read once. Two bitmaps of a fixed size (prefixes, and their first words)
-   tell which places may hold a prefix; such a place goes on with the ``size`` - 1 words on
-   either side. A bitmap lets through what shares a bit, never loses a prefix.
+2. Scan. Documents are read once. A bitmap of a fixed size tells which places may hold a
+   prefix; such a place goes on with the ``size`` - 1 words on either side. The bitmap lets
+   through what shares a bit, and never loses a prefix.
 3. Join. Places meet windows by prefix, frequent prefixes in salted parts. A window whose prefix
    stands at offset o can only start at p - o, not before the document (positional bound), and
    must end within it (length bound); what is left is compared word by word.
@@ -30,15 +30,17 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from fascicle.llm.common import attach, broadcast_if_small, salted_join, slices, small_batches, written
+from fascicle.llm.common import broadcast_if_small, salted_join, slices, small_batches, written
 
 #: Bytes of a word: digits, letters (A-Z lower-cased) and all of any character beyond ASCII.
 WORD_BYTES = bytes((b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32) for b in range(256))
 #: Words of a shingle.
 GRAM = 3
+#: A shingle's key: XXH64 of its words, the second turned by so many bits, the third by twice as many, joined by xor.
+TURN = 21
 #: Item words of a part in which windows are made.
 BLOCK_WORDS = 1_000_000
-#: A bitmap has 2 ** SLOT_BITS bits, 8 MB.
+#: The bitmap has 2 ** SLOT_BITS bits, 8 MB.
 SLOT_BITS = 26
 _SLOTS, _BUCKET = (1 << SLOT_BITS) - 1, 32768
 #: Places that a worker holds before it hands them on.
@@ -73,50 +75,62 @@ def item_words(benchmark: DataFrame, block_words: int, item_col: str, text_col:
     return rows.repartition(-(-total // block_words), "row") if total > block_words else rows
 
 
+def _key(i: Column, words: int) -> Column:
+    """The key of the shingle at place i of ``words``; words beyond the end have no part in it."""
+    out = F.lit(0).cast("long")
+    for j in range(words):
+        word = F.get("words", i + j)
+        h = F.xxhash64(word)
+        turned = F.shiftleft(h, TURN * j).bitwiseOR(F.shiftrightunsigned(h, 64 - TURN * j)) if j else h
+        out = out.bitwiseXOR(F.when(word.isNull(), F.lit(0).cast("long")).otherwise(turned))
+    return out
+
+
 def item_windows(items: DataFrame, size: int) -> DataFrame:
-    """(item, window, n, gram, key, off): each item's windows, with their rarest shingle and its offset."""
+    """(item, window, n, g, key, off): each item's windows of n words, with the key, words and offset of their rarest shingle."""
     gram = min(GRAM, size)
     length = F.size("words")
     text = lambda i, n: F.array_join(F.slice("words", i + 1, n), " ")
     last = F.greatest(length - size, F.lit(0))
-    each = F.transform(F.sequence(F.lit(0), F.greatest(length - gram, F.lit(0))), lambda i: F.struct(i.alias("i"), text(i, F.least(length, F.lit(gram))).alias("gram"), F.when(i <= last, text(i, F.least(length, F.lit(size)))).alias("window")))
-    grams = items.select("row", "item", F.least(length, F.lit(size)).alias("n"), F.explode(each).alias("e")).select("row", "item", "n", "e.*")
-    grams = written(grams.withColumn("key", F.xxhash64("gram")), "benchmark-shingles")
-    counts = grams.groupBy("key").agg(F.count("*").alias("times"))
-    ranked = attach(grams, counts, ["key"], "times", grams.count())
+    shape = lambda i: F.struct(i.alias("i"), _key(i, gram).alias("key"), F.length(text(i, gram)).alias("chars"), F.when(i <= last, text(i, size)).alias("window"))
+    grams = items.select("row", "item", length.alias("length"), F.explode(F.transform(F.sequence(F.lit(0), F.greatest(length - gram, F.lit(0))), shape)).alias("e"))
+    grams = grams.select("row", "item", F.least("length", F.lit(size)).alias("n"), F.least("length", F.lit(gram)).alias("g"), "e.*")
+    ranked = grams.join(grams.groupBy("key").agg(F.count("*").alias("times")), "key")
     near = Window.partitionBy("row").orderBy("i").rowsBetween(0, size - gram)
-    rarest = F.min(F.struct("times", (-F.length("gram")).alias("short"), "key", F.col("i").alias("at"), "gram")).over(near)
+    rarest = F.min(F.struct("times", (-F.col("chars")).alias("short"), "key", F.col("i").alias("at"))).over(near)
     windows = ranked.withColumn("r", rarest).where("window IS NOT NULL")
-    return windows.select("item", "window", "n", "r.gram", "r.key", (F.col("r.at") - F.col("i")).alias("off"))
+    return windows.select("item", "window", "n", "g", "r.key", (F.col("r.at") - F.col("i")).alias("off"))
 
 
-def bitmap(rows: DataFrame, key: Column) -> np.ndarray:
-    """The slots of the rows' keys as bits: a fixed number of bytes, however many rows."""
-    slot = rows.select((key.bitwiseAND(F.lit(_SLOTS)) + 1).alias("slot"))
-    parts = slot.groupBy(F.bitmap_bucket_number("slot").alias("b")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("slot")).alias("bits"))
-    out = np.zeros((_SLOTS + 1) // 8, np.uint8)
-    for b, bits in parts.collect():  # at most 2 ** SLOT_BITS / 32768 rows of 4 KB
+def bitmap(windows: DataFrame) -> tuple[np.ndarray, tuple[int, ...]]:
+    """The windows' keys as bits, a fixed number of bytes however many windows, and the numbers of words of their shingles."""
+    slot = windows.select("g", (F.col("key").bitwiseAND(F.lit(_SLOTS)) + 1).alias("slot"))
+    parts = slot.groupBy(F.bitmap_bucket_number("slot").alias("b")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("slot")).alias("bits"), F.collect_set("g").alias("g"))
+    out, grams = np.zeros((_SLOTS + 1) // 8, np.uint8), set()
+    for b, bits, g in parts.collect():  # at most 2 ** SLOT_BITS / 32768 rows of 4 KB
         at = (b - 1) * (_BUCKET // 8)
         out[at : at + len(bits)] |= np.frombuffer(bits, np.uint8)
-    return out
+        grams.update(g)
+    return out, tuple(sorted(grams))
 
 
-def _held(bits: np.ndarray, slots: np.ndarray) -> np.ndarray:
-    return (bits[slots >> 3] >> (slots & 7).astype(np.uint8)) & 1 > 0
-
-
-def places(words: list[bytes], size: int, grams: tuple[int, ...], firsts: np.ndarray, keys: np.ndarray):
-    """(place, signed key) of the shingles that may be prefixes."""
+def places(words: list[bytes], grams: tuple[int, ...], keys: np.ndarray) -> list[tuple[int, int]]:
+    """(place, signed key) of the shingles whose key's bit is set."""
     import xxhash
 
-    digest, n = xxhash.xxh64_intdigest, len(words)
-    slots = np.fromiter(map(digest, words, repeat(42)), np.uint64, n)
-    for p in np.flatnonzero(_held(firsts, (slots & np.uint64(_SLOTS)).astype(np.int64))).tolist():
-        for g in grams:
-            if p + g <= n:
-                k = digest(b" ".join(words[p : p + g]), 42)
-                if keys[(k & _SLOTS) >> 3] >> (k & 7) & 1:
-                    yield p, k - (1 << 64) if k >> 63 else k
+    hashes = np.fromiter(map(xxhash.xxh64_intdigest, words, repeat(42)), np.uint64, len(words))
+    out: list[tuple[int, int]] = []
+    for g in grams:
+        n = len(words) - g + 1
+        if n > 0:
+            key = hashes[:n].copy()
+            for j in range(1, g):
+                h, turn = hashes[j : n + j], np.uint64(TURN * j)
+                key ^= h << turn | h >> np.uint64(64) - turn
+            slot = (key & np.uint64(_SLOTS)).astype(np.int64)
+            at = np.flatnonzero(keys[slot >> 3] >> (slot & 7).astype(np.uint8) & 1)
+            out += zip(at.tolist(), key[at].view(np.int64).tolist())
+    return out
 
 
 def text_mark(text_col: str) -> Column:
@@ -126,9 +140,7 @@ def text_mark(text_col: str) -> Column:
 def scanned(docs: DataFrame, windows: DataFrame, size: int, id_col: str, text_col: str) -> DataFrame:
     """One row (row, id, mark, n_words) for each document, and one with (p, key, lo, near) for each place."""
     spark = docs.sparkSession
-    words_in = [r[0] for r in windows.select(F.size(F.split("gram", " "))).distinct().collect()]  # at most GRAM
-    firsts = bitmap(windows, F.xxhash64(F.substring_index("gram", " ", 1)))
-    shared = spark.sparkContext.broadcast((tuple(sorted(words_in)), firsts, bitmap(windows, F.col("key"))))  # 16 MB
+    shared = spark.sparkContext.broadcast(bitmap(windows))  # 8 MB
     names = ["row", "id", "mark", "n_words", "p", "key", "lo", "near"]
     kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.list_(pa.string())]
 
@@ -136,14 +148,14 @@ def scanned(docs: DataFrame, windows: DataFrame, size: int, id_col: str, text_co
         return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=names)
 
     def run(batches):
-        grams, firsts, keys = shared.value
+        keys, grams = shared.value
         rows: list[tuple] = []
         for b in slices(batches):
             for row, i, mark, text in zip(*(b.column(c).to_pylist() for c in range(3)), b.column(3).cast(pa.binary()).to_pylist()):
                 words = words_of(text)
                 rows.append((row, i, mark, len(words), None, None, None, None))
                 if words and grams:
-                    for p, k in places(words, size, grams, firsts, keys):
+                    for p, k in places(words, grams, keys):
                         lo = max(0, p - size + 1)
                         rows.append((row, i, mark, len(words), p, k, lo, [w.decode() for w in words[lo : p + size]]))
                         if len(rows) >= FLUSH:
@@ -171,7 +183,7 @@ def _judged(docs: DataFrame, benchmark: DataFrame, size: int, block_words: int,
     """(id, mark, n_words, spans, items) for every row; mark is a hash of its text."""
     small_batches(docs.sparkSession)
     held = written(item_windows(item_words(benchmark, block_words, item_col, item_text), size).distinct(), "item-windows")
-    windows = written(held.drop("item").distinct(), "windows")
+    windows = held.drop("item").distinct()
     rows = written(scanned(docs, windows, size, id_col, text_col), "scanned")
     found = written(verified(rows.where("p IS NOT NULL").select("row", "n_words", "p", "key", "lo", "near"), windows), "window-hits")
     # Overlapping and touching spans of a row are one: a new one starts beyond all ends before it.
@@ -184,10 +196,8 @@ def _judged(docs: DataFrame, benchmark: DataFrame, size: int, block_words: int,
     hit = found.select("row", "window").distinct()
     items = salted_join(hit, held.select("window", "item"), ["window"], hit.groupBy("window").agg(F.count("*").alias("times")), "times", found.count(), ["row"])
     items = items.select("row", "item").distinct().groupBy("row").agg(F.array_sort(F.transform(F.collect_list(F.struct("item")), lambda s: s["item"])).alias("items"))
-    told = written(spans.join(items, "row"), "contaminated-rows")
-    weight = told.agg(F.coalesce(F.sum(128 + 32 * F.size("spans") + 32 * F.size("items")), F.lit(0))).first()[0]
-    out = rows.where("p IS NULL").select("row", "id", "mark", "n_words").join(broadcast_if_small(told, 1, weight), "row", "left")
-    empty = lambda c: F.coalesce(c, F.array().cast(told.schema[c].dataType)).alias(c)
+    out = rows.where("p IS NULL").select("row", "id", "mark", "n_words").join(spans, "row", "left").join(items, "row", "left")
+    empty = lambda c: F.coalesce(c, F.array().cast(out.schema[c].dataType)).alias(c)
     return out.select("id", "mark", "n_words", empty("spans"), empty("items"))
 
 
