@@ -11,7 +11,7 @@ window around the seam that grows until what lies outside is proven stable.
   each neighbouring pair is the encoding of its own bytes, so a window is done once the pairs
   at its two edges are.
 
-Decoding concatenates the bytes of the tokens, which is associative: any tree gives the same.
+Decoding concatenates the bytes of the tokens up a tree of halves: any tree gives the same.
 Each row is encoded within its task, and a row's memory is in proportion to its text.
 
 Defined results: a null text is encoded as an empty one (no tokens); a null id list decodes to
@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 
 from fascicle.llm.common import kept, slices, small_batches
 
-#: Characters of a text and bytes of a pre-token that are encoded without halving.
+#: Characters of a text (tokens of a list) and bytes of a pre-token that are encoded (decoded) without halving.
 LEAF_CHARS, LEAF_BYTES = 4096, 8
 #: Characters before a seam that the pattern may look at: a contraction's letters.
 LOOKAHEAD = 3
@@ -217,7 +217,13 @@ class Codec:
         """The bytes of token ids."""
         if ids and min(ids) < 0:
             raise ValueError("a token id is negative")
-        return b"".join(map(self.tokens.__getitem__, ids))
+        return self._bytes(ids)
+
+    def _bytes(self, ids: list[int]) -> bytes:
+        if len(ids) <= self.leaf_chars:
+            return b"".join(map(self.tokens.__getitem__, ids))
+        half = len(ids) // 2
+        return self._bytes(ids[:half]) + self._bytes(ids[half:])
 
 
 def encoded_part(codec: Codec, texts: pa.Array) -> pa.ListArray:
