@@ -20,6 +20,7 @@ columns are ignored.
 
 from __future__ import annotations
 
+import heapq
 import math
 import re
 import uuid
@@ -116,12 +117,36 @@ class Lexicon:
 
 def _candidates(folded: str) -> set[str]:
     words = set(folded.split())
-    out = {f" {w} " for w in words if 3 <= len(w) <= 40}
+    out = {f" {w} " for w in words if len(w) >= 3}
     for w in words:
         out.update(f" {w[:n]}" for n in BEGINNINGS if len(w) > n)
     return out
 
 
+def explaining(where: dict[str, set[int]], covered: set[int], least: float, weights: dict[str, float]) -> list[str]:
+    """Entries in the order in which each explains most documents that none before it does.
+
+    Ends with the first that would explain fewer than ``least``; ties go to the heavier, then the
+    last by name. What an entry explains only shrinks, so one that is still first after a new
+    count is the best, and few are counted anew.
+    """
+    covered, out = set(covered), []
+    rank = lambda k: (-len(where[k] - covered), -weights[k], [-ord(c) for c in k] + [1])
+    heap = [(rank(k), k) for k in where]
+    heapq.heapify(heap)
+    while heap:
+        _, k = heapq.heappop(heap)
+        now = rank(k)
+        if heap and now > heap[0][0]:
+            heapq.heappush(heap, (now, k))
+            continue
+        if -now[0] < least:
+            break
+        covered |= where[k]
+        out.append(k)
+    return out
+
+
 def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.05, rounds: int = 50) -> tuple[float, ...]:
     """Newton steps for a ridge logistic regression; the first coefficient is the intercept."""
     x = np.column_stack([np.ones(len(x)), x])
@@ -180,13 +205,8 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, id_col
             where[k].add(i)
     weights = {k: w for k, w in seeds.items()} | {k: max(0.0, w) for k, w in known.items()}
     covered: set[int] = set().union(*(where[k] for k in weights if k in where)) if where else set()
-    left = dict(where)
-    while left:  # the entry that explains most toxic documents not explained yet; ties: heavier, then by name
-        k = max(left, key=lambda e: (len(left[e] - covered), found[e][1], e))
-        new = left.pop(k) - covered
-        if len(new) < max(3, 0.001 * bad):
-            break
-        weights[k], covered = found[k][1], covered | new
+    for k in explaining(where, covered, max(3, 0.001 * bad), {k: w for k, (_, w) in found.items()}):
+        weights[k] = found[k][1]
     lexicon = Lexicon(weights)
     shared = rows.sparkSession.sparkContext.broadcast(lexicon)
 
