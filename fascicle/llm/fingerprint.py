@@ -12,7 +12,7 @@ shuffle of the texts is all, and no task holds more than two documents at once.
 
 Defined results: a null text is empty; an empty text has the empty fingerprint, alike (1) to
 another empty one only; a null id comes after all others; rows of one id follow in order of
-text; a table of one row is its own successor; other columns are ignored.
+their texts' XXH64, so that many of them need not meet in one task; a table of one row is its own successor; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -110,6 +110,18 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return docs.select(F.col(id_col).cast("long").alias(id_col), text_col).mapInArrow(run, f"`{id_col}` long, fingerprint array<long>")
 
 
+def bounds(keys: DataFrame, ranges: int) -> list[tuple[int, int]]:
+    """The bounds (-key, mark) of about as many ranges of descending keys: a key of many rows is cut by mark."""
+    if ranges < 2:
+        return []
+    out = {(-int(q), -(1 << 63)) for q in keys.approxQuantile("key", [i / ranges for i in range(1, ranges)], 0.2 / ranges)}
+    share = max(1, keys.count() // ranges)
+    for k, n in keys.groupBy("key").count().where(F.col("count") > share).collect():  # fewer than ranges
+        m = -(-n // share)
+        out |= {(-k, (i << 64) // m - (1 << 63)) for i in range(m)}
+    return sorted(out)
+
+
 def with_successors(docs: DataFrame, edit, schema: str, ranges: int | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Streams every document with its successor in descending id (after the last: the first).
 
@@ -118,30 +130,33 @@ def with_successors(docs: DataFrame, edit, schema: str, ranges: int | None = Non
     """
     spark = docs.sparkSession
     small_batches(spark)
-    key = F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("__key")
-    ids = docs.select(key)
-    ranges = ranges or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    bounds = sorted(set(ids.approxQuantile("__key", [i / ranges for i in range(1, ranges)], 0.2 / ranges))) if ranges > 1 else []
-    edges = spark.sparkContext.broadcast(np.array(bounds, np.float64))  # at most one number a range
+    key, mark = F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)), F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit("")))
+    place = F.struct(key.alias("key"), mark.alias("mark"))
+    edges = spark.sparkContext.broadcast(bounds(docs.select(key.alias("key")), ranges or int(spark.conf.get("spark.sql.shuffle.partitions"))))
+
+    def found(rows) -> list[int]:
+        return [bisect.bisect_right(edges.value, (-k, m)) for k, m in zip(rows.field(0).to_pylist(), rows.field(1).to_pylist())]
 
-    def place(batches):
-        for keys in batches:
-            yield pa.array(-np.searchsorted(edges.value, keys.to_numpy(zero_copy_only=False).astype(np.float64)), pa.int32())
+    def ranged(batches):
+        for rows in batches:
+            yield pa.array(found(rows), pa.int32())
 
-    heads = dict(ids.select("__key", _iterated(place, "int")("__key").alias("r")).groupBy("r").agg(F.max("__key")).collect())  # one id a range
+    first = F.min(F.struct((-F.col("at.key").cast("decimal(20,0)")).alias("k"), "at.mark"))
+    heads = docs.select(place.alias("at")).select("at", _iterated(ranged, "int")(F.col("at")).alias("r")).groupBy("r").agg(first.alias("h")).collect()  # one row a range
+    heads = {x["r"]: (-int(x["h"]["k"]), x["h"]["mark"]) for x in heads}
     order = sorted(heads)
-    ahead = {heads[r]: [order[i - 1] for i in [order.index(r)]] for r in order}  # the range that a head is the end of
-    sent = spark.sparkContext.broadcast(ahead)
+    sent = spark.sparkContext.broadcast({heads[r]: order[i - 1] for i, r in enumerate(order)})  # a head ends the range before its own
 
     def deal(batches):
-        for keys in batches:
-            at = (-np.searchsorted(edges.value, keys.to_numpy(zero_copy_only=False).astype(np.float64))).tolist()
-            out = [[{"r": r, "tail": False}, *({"r": x, "tail": True} for x in sent.value.get(k, ()))] for k, r in zip(keys.to_pylist(), at)]
+        for rows in batches:
+            ends = [sent.value.get(x) for x in zip(rows.field(0).to_pylist(), rows.field(1).to_pylist())]
+            out = [[{"r": r, "tail": False}] + ([] if x is None else [{"r": x, "tail": True}]) for r, x in zip(found(rows), ends)]
             yield pa.array(out, pa.list_(pa.struct([("r", pa.int32()), ("tail", pa.bool_())])))
 
-    dealt = docs.select(F.col(id_col).cast("long").alias("__id"), key, F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("__text"))
-    dealt = dealt.select("*", F.explode(_iterated(deal, "array<struct<r:int,tail:boolean>>")(F.col("__key"))).alias("__to"))
-    dealt = dealt.select("__id", "__key", "__text", "__to.r", "__to.tail").repartition(max(ranges, len(order)), "r").sortWithinPartitions("r", "tail", F.desc("__key"), "__text")
+    dealt = docs.select(F.col(id_col).cast("long").alias("__id"), place.alias("__at"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("__text"))
+    dealt = dealt.select("*", F.explode(_iterated(deal, "array<struct<r:int,tail:boolean>>")(F.col("__at"))).alias("__to"))
+    dealt = dealt.select("__id", "__at", "__text", "__to.r", "__to.tail").repartitionById(len(edges.value) + 1, F.col("r"))
+    dealt = dealt.sortWithinPartitions("r", "tail", F.desc("__at.key"), "__at.mark", "__text")
 
     def run(batches):
         fields, rows, state = None, [], {}
