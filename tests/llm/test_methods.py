@@ -266,3 +266,42 @@ def test_successors_of_a_hot_id(spark):
         seen.append(at)
         at = after[at]
     assert at == "text 198" and len(set(seen)) == 200 and seen[:100] == [f"text {i}" for i in range(198, -1, -2)]
+
+
+def test_pipeline_stages_by_brute_force(spark, tmp_path):
+    """Each stage's rows against a plain version on the same input, with clashing columns."""
+    import random
+    import re
+    from collections import defaultdict
+
+    import corpus_pipeline
+    from test_operators import five_word_sets
+
+    r = random.Random(10)
+    new = lambda n: " ".join("".join(r.choice("abcdefgh") for _ in range(r.randint(3, 8))) for _ in range(n))
+    item = new(14)
+    texts = [new(80) + "\nThe same line" + ("\nown " + new(9) if i % 2 else "") for i in range(24)]
+    texts += [texts[3], texts[4] + " tail", texts[5].replace(" ", "  "), new(30) + " " + item, item, "123", None, "", texts[2].upper()]
+    docs_of(spark, texts).drop("spans").withColumn("n_dropped", F.lit("own")).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    steps = {}
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, docs, str(tmp_path))
+        assert name == "bpe" or out.columns == docs.columns
+        out.write.parquet(f"{tmp_path}/{name}")
+        docs = spark.read.parquet(f"{tmp_path}/{name}")
+        steps[name] = rows(docs)
+    assert sorted(steps["language_id"]) == [i for i, t in enumerate(texts) if t and re.search("[a-z]", t.lower())]
+    seen = defaultdict(set)
+    for i in steps["language_id"]:
+        for line in texts[i].split("\n"):
+            seen[line.strip().lower()].add(i)
+    kept = {i: "\n".join(x for x in texts[i].split("\n") if len(seen[x.strip().lower()]) < 10) for i in steps["language_id"]}
+    assert {i: (x.text, x.n_chars, x.n_dropped, x.n_lines) for i, x in steps["line_dedup"].items()} == {i: (t, len(t), "own", "x") for i, t in kept.items()}
+    ids = sorted(kept)
+    sets = dict(zip(ids, five_word_sets([kept[i] for i in ids])))
+    least = {i: min(j for j in ids if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])) for i in ids}  # copies of one original each
+    assert sorted(steps["near_dedup"]) == sorted(set(least.values()))
+    assert sorted(steps["decontaminate"]) == [i for i in sorted(steps["near_dedup"]) if item not in kept[i]]
+    assert sorted(steps["bpe"]) == sorted(steps["decontaminate"])
