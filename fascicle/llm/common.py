@@ -127,14 +127,15 @@ def keep_ids(docs: DataFrame, ids: DataFrame, id_col: str = "doc_id", how: str =
     return docs.join(broadcast_if_small(ids, 16), docs[id_col].eqNullSafe(F.col("__keep_id")), how)
 
 
-def _star(edges: DataFrame, large: bool, total: int) -> DataFrame:
-    """One star step over about ``total`` edges (u > v): every neighbour is linked to its smallest one.
+def _star(edges: DataFrame, large: bool) -> DataFrame:
+    """One star step over edges (u > v): every neighbour is linked to its smallest one.
 
-    A node of very many neighbours, as a large component's smallest is, meets them by broadcast.
+    A large component's smallest node meets all its neighbours; adaptive execution splits its
+    part of the join, whose other side holds a node once.
     """
     both = edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v"))) if large else edges
-    least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"), F.count("*").alias("n"))
-    joined = attach(both, least, ["u"], "n", total)
+    least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
+    joined = both.join(least, "u")
     if large:
         out = joined.where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
     else:
@@ -155,7 +156,7 @@ def components(edges: DataFrame, max_rounds: int = 40) -> DataFrame:
         if mark == before or not mark[0]:
             break
         before = mark
-        now = written(_star(_star(now, True, 2 * mark[0]), False, mark[0]), "edges")
+        now = written(_star(_star(now, True), False), "edges")
     else:
         raise RuntimeError("components: no fixed point within max_rounds")
     return now.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("component"))).distinct()
