@@ -35,7 +35,12 @@ def _folded(value: str) -> str:
     return unicodedata.normalize("NFKC", value).translate(_DIGITS).casefold()
 
 
+def _folded_text(value: str) -> str:
+    return unicodedata.normalize("NFKC", value).strip().casefold()
+
+
 _fold = _arrow(_folded)
+_fold_text = _arrow(_folded_text)
 
 
 def fold(value: Column) -> Column:
@@ -90,13 +95,27 @@ def filename_years(name: Column, as_of_year: int) -> Column:
 
 
 def page_numbers(spec: Column) -> Column:
-    """Pages of comma-separated numbers and ranges a-b or a:b, sorted and distinct."""
-    parts = F.filter(F.transform(F.split(spec, ","), lambda p: F.btrim(p)), lambda p: p.rlike(r"^[1-9]\d*(?:[-:][1-9]\d*)?$"))
-    ends = lambda p: F.split(p, "[-:]")
-    ranges = F.transform(parts, lambda p: F.sequence(F.element_at(ends(p), 1).cast("int"), F.greatest(F.element_at(ends(p), 1).cast("int"), F.element_at(ends(p), -1).cast("int"))))
+    """Pages of comma-separated numbers and ranges a-b or a:b, sorted and distinct; page_errors() tells the other parts."""
+    ends = lambda p, i: F.element_at(F.split(p, "[-:]"), i).cast("int")
+    ranges = F.transform(F.filter(_page_parts(spec), _is_page_part), lambda p: F.sequence(ends(p, 1), ends(p, -1)))
     return F.array_sort(F.array_distinct(F.flatten(ranges)))
 
 
+def _page_parts(spec: Column) -> Column:
+    return F.transform(F.split(spec, ","), lambda p: F.regexp_replace(p, r"\s+", ""))
+
+
+def _is_page_part(part: Column) -> Column:
+    """Whether a part is a page from 1 on, or a range that doesn't end before it starts."""
+    end = lambda i: F.try_element_at(F.split(part, "[-:]"), F.lit(i)).try_cast("int")
+    return part.rlike(r"^\d{1,9}(?:[-:]\d{1,9})?$") & F.coalesce((end(1) >= 1) & (end(-1) >= end(1)), F.lit(False))
+
+
+def page_errors(spec: Column) -> Column:
+    """The parts of a page selection that name no pages."""
+    return F.filter(_page_parts(spec), lambda p: ~_is_page_part(p))
+
+
 def slug(value: Column) -> Column:
     return F.btrim(F.regexp_replace(F.lower(value), "[^a-z0-9]+", "-"), F.lit("-"))
 
@@ -109,9 +128,15 @@ def first_uuid(value: Column) -> Column:
     return F.lower(F.regexp_extract(value, r"[0-9a-fA-F]{8}(?:-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}", 0))
 
 
+def identity(value: Column) -> Column:
+    """NFKC without white space around, case folded, slashes one way; digits stay."""
+    plain = F.when(value.rlike(r"^\p{ASCII}*$"), F.lower(F.btrim(value, F.lit(" \t\n\x0b\f\r\x1c\x1d\x1e\x1f")))).otherwise(_fold_text(value))
+    return F.translate(plain, "\\", "/")
+
+
 def identity_key(*parts: Column) -> Column:
-    """16 hex digits of the SHA-256 of folded parts, one a line: order counts."""
-    return F.substring(F.sha2(F.concat_ws("\n", *[fold(F.btrim(p)) for p in parts]), 256), 1, 16)
+    """16 hex digits of the SHA-256 of identities, one a line: order counts, and null is not empty."""
+    return F.substring(F.sha2(F.concat_ws("\n", *[F.coalesce(identity(p), F.lit("\0")) for p in parts]), 256), 1, 16)
 
 
 def md5_id(value: Column) -> Column:
@@ -123,7 +148,9 @@ def unique_strings(values: Column) -> Column:
 
 
 def version_numbers(value: Column) -> Column:
-    return F.transform(F.regexp_extract_all(value, F.lit(r"\d+"), F.lit(0)), lambda v: v.cast("int"))
+    """A version's numbers as (digits, text without leading zeros), which order like numbers of any length."""
+    plain = lambda v: F.regexp_replace(v, "^0+(?=.)", "")
+    return F.transform(F.regexp_extract_all(value, F.lit(r"\d+"), F.lit(0)), lambda v: F.struct(F.length(plain(v)).alias("digits"), plain(v).alias("text")))
 
 
 def is_newer(candidate: Column, current: Column) -> Column:

@@ -62,14 +62,17 @@ def explanation(block: Column) -> Column:
 
 
 def option_entries(text: Column) -> Column:
-    """Ordered (key, text) of a. to d. markers, inline or one a line."""
+    """Ordered (key, text) of a. to d. markers, inline or one a line; a repeated key's later text counts."""
     plain = F.regexp_replace(text, r"(?md)^[ \t]*>[ \t]?", "")
     marked = F.split(plain, r"(?<![A-Za-z0-9])(?=(?:[-*]\s*)?(?:\*\*)?[a-dA-D](?:\*\*)?\s*[.)])")
     entries = F.filter(marked, lambda m: m.rlike(r"^(?:[-*]\s*)?(?:\*\*)?[a-dA-D](?:\*\*)?\s*[.)]"))
     key = lambda m: F.lower(F.regexp_extract(m, r"^(?:[-*]\s*)?(?:\*\*)?([a-dA-D])", 1))
     body = lambda m: F.regexp_replace(m, r"^(?:[-*]\s*)?(?:\*\*)?[a-dA-D](?:\*\*)?\s*[.)]\s*(?:\*\*)?", "")
     clean = lambda t: F.btrim(F.regexp_replace(t, r"(?:\s*\*\*|\s*[-*])+\s*$", ""), F.lit(" \n\r\t"))
-    return F.transform(entries, lambda m: F.struct(key(m).alias("key"), clean(body(m)).alias("text")))
+    made = F.transform(entries, lambda m: F.struct(key(m).alias("key"), clean(body(m)).alias("text")))
+    # A key stands where it first did, with its last text.
+    last = lambda k: F.element_at(F.filter(made, lambda e: e["key"] == k), -1)
+    return F.transform(F.array_distinct(F.transform(made, lambda e: e["key"])), last)
 
 
 def badges(block: Column) -> Column:

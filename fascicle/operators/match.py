@@ -49,8 +49,8 @@ def classify_role(path: Column) -> Column:
     )
 
 
-def name_pairs(local: DataFrame, remote: DataFrame) -> DataFrame:
-    """(relative_path, hashes, source_id, rhash) of ready remotes with a compatible name.
+def name_pairs(local: DataFrame, remote: DataFrame, ready_only: bool = True) -> DataFrame:
+    """(relative_path, hashes, source_id, rhash) of ready (or all) remotes with a compatible name.
 
     Names match by key, or by stem (a cache suffix of 12 hex digits apart) with compatible
     extensions; both are equi joins on up to three names of the local source.
@@ -58,7 +58,7 @@ def name_pairs(local: DataFrame, remote: DataFrame) -> DataFrame:
     names = F.when(F.col("preparation_action") == "chunk", F.array("prepared_name")).otherwise(F.array("name", "original_name", "prepared_name"))
     variants = local.select("relative_path", "hashes", F.explode(F.array_distinct(F.filter(names, lambda n: F.coalesce(n, F.lit("")) != ""))).alias("__name"))
     variants = variants.select("relative_path", "hashes", source_key(F.col("__name")).alias("key"), source_stem(F.col("__name")).alias("stem"), extension(F.col("__name")).alias("ext"))
-    titles = remote.where(is_ready(F.col("status"))).select("source_id", F.coalesce("content_hash", F.lit("")).alias("rhash"), source_key(F.col("title")).alias("rkey"), F.regexp_replace(source_stem(F.col("title")), " [0-9a-f]{12}$", "").alias("rstem"), extension(F.col("title")).alias("rext"))
+    titles = (remote.where(is_ready(F.col("status"))) if ready_only else remote).select("source_id", F.coalesce("content_hash", F.lit("")).alias("rhash"), source_key(F.col("title")).alias("rkey"), F.regexp_replace(source_stem(F.col("title")), " [0-9a-f]{12}$", "").alias("rstem"), extension(F.col("title")).alias("rext"))
     by_key = variants.join(titles, F.col("key") == F.col("rkey"))
     by_stem = variants.join(titles, F.col("stem") == F.col("rstem")).where(extensions_compatible(F.col("ext"), F.col("rext")))
     return by_key.unionByName(by_stem).select("relative_path", "hashes", "source_id", "rhash")

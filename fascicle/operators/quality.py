@@ -9,7 +9,8 @@ from fascicle import schema
 from fascicle.functions.keys import garbage_ratio
 
 _EDGE, _END = r"(?:^|[^\p{L}\p{N}_])", r"(?:$|[^\p{L}\p{N}_])"
-BROKEN_SPACING = rf"{_EDGE}(?:[A-Za-z]{{1,3}}\s+){{4,}}[A-Za-z]{{1,3}}{_END}"
+#: Five short words in a row; a count without end would overflow the matcher's stack on long runs.
+BROKEN_SPACING = rf"{_EDGE}(?:[A-Za-z]{{1,3}}\s+){{4}}[A-Za-z]{{1,3}}{_END}"
 JOINED_WORD = r"(?i)^[a-z]{3,}(?:of|the|and|are|from|with|except)[a-z]{3,}$"
 CITATION = r"\[\s*\d+(?:\s*[,،、;\-–—]\s*\d+)*\s*\]"
 

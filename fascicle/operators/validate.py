@@ -65,9 +65,9 @@ def year_rules(blocks: DataFrame, evidence: DataFrame) -> DataFrame:
 
 def option_rules(blocks: DataFrame, count: int = 4) -> DataFrame:
     """MCQ options in order, and a correct answer that is one of them."""
-    rows = blocks.where("kind = 'mcq'").withColumn("__o", option_entries(F.col("options"))).withColumn("__a", F.element_at(option_entries(F.col("correct_answer")), 1))
+    rows = blocks.where("kind = 'mcq'").withColumn("__o", option_entries(F.col("options"))).withColumn("__a", F.try_element_at(option_entries(F.col("correct_answer")), F.lit(1)))
     keys, space = F.transform("__o", lambda o: o["key"]), lambda c: F.lower(F.regexp_replace(c, r"\s+", " "))
-    held = F.element_at(F.filter("__o", lambda o: o["key"] == F.col("__a.key")), -1)["text"]
+    held = F.try_element_at(F.filter("__o", lambda o: o["key"] == F.col("__a.key")), F.lit(-1))["text"]
     given, wanted = space(F.col("__a.text")), space(held)
     expected = F.array(*[F.lit(chr(97 + i)) for i in range(count)])
     return union([
