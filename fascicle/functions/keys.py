@@ -71,6 +71,16 @@ def source_stem(name: Column) -> Column:
     return source_key(strip_extension(F.coalesce(name, F.lit(""))))
 
 
+def source_key_sql(name: Column) -> Column:
+    """source_key() without NFKC, for use inside array functions, which take no Python function."""
+    plain = F.translate(F.lower(basename(F.coalesce(name, F.lit("")))), ARABIC + "_", ASCII_DIGITS + " ")
+    return F.btrim(F.regexp_replace(plain, _WORD, " "))
+
+
+def source_stem_sql(name: Column) -> Column:
+    return source_key_sql(strip_extension(F.coalesce(name, F.lit(""))))
+
+
 def path_key(path: Column) -> Column:
     slashed = F.translate(fold(F.coalesce(path, F.lit(""))), "\\", "/")
     return F.regexp_replace(F.btrim(slashed, F.lit(" ./")), "/+", "/")

@@ -38,7 +38,7 @@ def catalog_matches(names: DataFrame, catalog: DataFrame, column: str = "source"
     entries = entries.select("canonical_name", "role", "verified_years", "usable", source_key(F.col("alias")).alias("key"), source_stem(F.col("alias")).alias("stem"))
     asked = names.where(source_key(F.col(column)) != "").select(F.col(column).alias("source")).distinct().select("source", source_key(F.col("source")).alias("key"), source_stem(F.col("source")).alias("stem"))
     found = [asked.select("source", k).join(entries.drop({"key": "stem", "stem": "key"}[k]), k).drop(k).withColumn("rank", F.lit(i)) for i, k in enumerate(("key", "stem"))]
-    best = union(found).withColumn("least", F.min("rank").over(Window.partitionBy("source")))
+    best = found[0].unionByName(found[1]).withColumn("least", F.min("rank").over(Window.partitionBy("source")))
     return best.where("rank = least AND usable").select("source", "canonical_name", "role", "verified_years").distinct()
 
 

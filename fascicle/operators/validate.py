@@ -19,13 +19,35 @@ ARABIC = r"[\x{600}-\x{6ff}]"
 REQUIRED = {"mcq": ("question", "options", "correct_answer", "explanation"), "written": ("question", "model_answer", "explanation"), "case": ("scenario", "model_answer")}
 
 
+def _told(rows: DataFrame, rules: list[tuple[Column, str, Column]]) -> DataFrame:
+    """All rules on the same rows in one pass."""
+    found = F.filter(F.array(*[F.struct(F.coalesce(when, F.lit(False)).alias("hit"), F.lit(code).alias("code"), text.cast("string").alias("message")) for when, code, text in rules]), lambda r: r["hit"])
+    out = rows.select("doc_id", "kind", F.col("number").cast("string").alias("number"), F.explode(found).alias("r"))
+    return out.select("doc_id", "kind", "number", "r.code", "r.message")
+
+
 def errors(rows: DataFrame, when: Column, code: str, message: Column | str) -> DataFrame:
-    text = F.lit(message) if isinstance(message, str) else message
-    return rows.where(F.coalesce(when, F.lit(False))).select("doc_id", "kind", F.col("number").cast("string").alias("number"), F.lit(code).alias("code"), text.alias("message"))
+    """A rule's error rows. They remember the rule, so that union() can evaluate those of the same rows together."""
+    rule = (when, code, F.lit(message) if isinstance(message, str) else message)
+    out = _told(rows, [rule])
+    out.rules = [(rows, rule)]
+    return out
 
 
 def union(parts: list[DataFrame]) -> DataFrame:
-    return reduce(DataFrame.unionByName, parts)
+    """The parts' error rows, with one pass over each table that rules are about."""
+    rules, others = [], []
+    for part in parts:
+        if hasattr(part, "rules"):
+            rules += part.rules
+        else:
+            others.append(part)
+    tables = {id(rows): rows for rows, _ in rules}
+    made = [_told(rows, [r for of, r in rules if id(of) == key]) for key, rows in tables.items()]
+    out = reduce(DataFrame.unionByName, [*made, *others])
+    if not others:
+        out.rules = rules
+    return out
 
 
 def required_fields(blocks: DataFrame) -> DataFrame:
