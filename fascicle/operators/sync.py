@@ -55,13 +55,16 @@ def notebook_statuses(local: DataFrame, remote: DataFrame, notebooks: DataFrame,
     return rows.select(F.col("relative_path").alias("path"), "notebook_uuid", status.alias("status"))
 
 
+def worst(s: Column) -> Column:
+    """The worst of a set of notebook statuses."""
+    has = lambda x: F.array_contains(s, x)
+    ladder = F.when(has("failed"), "failed").when(has("ambiguous"), "ambiguous").when(has("changed"), "changed").when(has("planned") | has("planned-upload"), "planned")
+    return ladder.when(has("uploaded"), "uploaded").when(has("accepted-remote"), "accepted-remote").when((F.size(s) == 1) & has("not-approved"), "not-approved").otherwise("unchanged")
+
+
 def rollup(statuses: DataFrame, key: str = "path") -> DataFrame:
     """(key, status): the worst of a source's notebook statuses."""
-    found = F.collect_set("status")
-    has = lambda s: F.array_contains("s", s)
-    ladder = F.when(has("failed"), "failed").when(has("ambiguous"), "ambiguous").when(has("changed"), "changed").when(has("planned") | has("planned-upload"), "planned")
-    ladder = ladder.when(has("uploaded"), "uploaded").when(has("accepted-remote"), "accepted-remote").when((F.size("s") == 1) & has("not-approved"), "not-approved").otherwise("unchanged")
-    return statuses.groupBy(key).agg(found.alias("s")).select(key, ladder.alias("status"))
+    return statuses.groupBy(key).agg(F.collect_set("status").alias("s")).select(key, worst(F.col("s")).alias("status"))
 
 
 def report_status(statuses: DataFrame, errors: DataFrame | None = None, execute: bool = False) -> DataFrame:

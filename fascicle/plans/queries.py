@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 from fascicle import schema
-from fascicle.functions.keys import garbage_ratio, path_key
-from fascicle.operators import cards, ledger, match, merge, provenance, quality, rewrite, sync
+from fascicle.functions import markdown
+from fascicle.functions.keys import fingerprint, garbage_ratio, path_key
+from fascicle.operators import cards, checkpoint, ledger, match, merge, prepare, provenance, quality, rewrite, scope, sync
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -63,7 +64,8 @@ def doc_fingerprint_dedup(spark, sf_dir):
 SELECT arg_min(doc_id, doc_id) AS doc_id, arg_min(source, doc_id) AS source FROM documents GROUP BY substr(regexp_replace(lower(text), '[^a-z0-9]', '', 'g'), 1, 40)
 """)
 def doc_first40_dedup(spark, sf_dir):
-    return cards.first_wins(table(spark, sf_dir, "documents").select("doc_id", "source", "text"), "text", ["doc_id"]).select("doc_id", "source")
+    head = F.substring(F.regexp_replace(F.lower("text"), "[^a-z0-9]", ""), 1, 40).alias("head")  # whole texts need not move
+    return cards.first_wins(table(spark, sf_dir, "documents").select("doc_id", "source", head), "head", ["doc_id"]).select("doc_id", "source")
 
 
 @query("""
@@ -117,8 +119,8 @@ FROM documents JOIN labels USING (doc_id) GROUP BY source
 def source_rollup(spark, sf_dir):
     rows = table(spark, sf_dir, "documents").select("doc_id", "source").join(table(spark, sf_dir, "labels"), "doc_id")
     status = F.when((F.col("quality") == 0) & (F.col("toxic") == 1), "failed").when(F.col("toxic") == 1, "changed").when(F.col("quality") == 0, "planned").otherwise("unchanged")
-    counts = rows.groupBy("source").agg(F.count("*").alias("n_docs"))
-    return sync.rollup(rows.withColumn("status", status), "source").join(counts, "source").select("source", "n_docs", "status")
+    grouped = rows.groupBy("source").agg(F.count("*").alias("n_docs"), F.collect_set(status).alias("s"))
+    return grouped.select("source", "n_docs", sync.worst(F.col("s")).alias("status"))
 
 
 @query(r"""
@@ -179,8 +181,8 @@ def event_ledger_fold(spark, sf_dir):
 @query("SELECT user_id, event_type, arg_max(event_id, (ts, event_id)) AS event_id, arg_max(value, (ts, event_id)) AS value FROM events GROUP BY user_id, event_type")
 def event_latest(spark, sf_dir):
     """The latest run of a key."""
-    at = F.struct("ts", "event_id")
-    return table(spark, sf_dir, "events").groupBy("user_id", "event_type").agg(F.max_by("event_id", at).alias("event_id"), F.max_by("value", at).alias("value"))
+    rows = table(spark, sf_dir, "events").select("user_id", "event_type", "event_id", "value", F.struct("ts", "event_id").alias("at"))
+    return checkpoint.latest_of(rows, ["user_id", "event_type"], "at").drop("at")
 
 
 @query("""
@@ -267,7 +269,9 @@ def doc_benchmark_contains(spark, sf_dir):
     d = table(spark, sf_dir, "documents").select("doc_id", "text", F.split("text", r"\s+").alias("ws"))
     # Equi join on the item's second to fourth word, which stand whole in a document that holds it.
     keyed = b.withColumn("key", F.array_join(F.slice(F.split("item", r"\s+"), 2, 3), " ")).where(F.size(F.split("item", r"\s+")) >= 5)
-    near = d.select("doc_id", "text", F.explode(grams).alias("key")).join(keyed, "key").where(F.contains("text", F.col("item"))).select("doc_id", "item_id")
+    # Only keys move; texts are fetched for the documents that share one.
+    shared = d.select("doc_id", F.explode(grams).alias("key")).join(keyed.select("key", "item_id"), "key").select("doc_id", "item_id").distinct()
+    near = shared.join(b, "item_id").join(d.select("doc_id", "text"), "doc_id").where(F.contains("text", F.col("item"))).select("doc_id", "item_id")
     short = b.where(F.size(F.split("item", r"\s+")) < 5)
     return near.unionByName(d.join(short, F.contains("text", F.col("item"))).select("doc_id", "item_id")).distinct()
 
@@ -302,3 +306,78 @@ def conversation_answer_errors(spark, sf_dir):
     """Turns that are too short or are error messages."""
     rows = table(spark, sf_dir, "conversations").select(F.struct("conv_id", "turn").alias("doc_id"), F.lit("answer").alias("kind"), F.col("text").alias("answer"))
     return provenance.answer_rules(rows).select("doc_id.conv_id", "doc_id.turn", "code")
+
+
+@query("""
+WITH q AS (SELECT doc_id, source || '-' || (doc_id // 500) AS section, substr(regexp_replace(lower(text), '[^a-z]', '', 'g'), 1, 12) AS stem FROM documents),
+g AS (SELECT section, stem, min(doc_id) AS first, count(*) AS copies FROM q GROUP BY ALL)
+SELECT section, stem, first, copies, row_number() OVER (PARTITION BY section ORDER BY first) AS number FROM g
+""")
+def doc_question_merge(spark, sf_dir):
+    """Documents as written questions of sections of at most 500: repeated ones merged and numbered."""
+    stem = F.substring(F.regexp_replace(F.lower("text"), "[^a-z]", ""), 1, 12)
+    section = F.concat("source", F.lit("-"), F.floor(F.col("doc_id") / 500).cast("string"))
+    block = F.concat(F.lit("### Question "), F.col("doc_id").cast("string"), F.lit("\n**Question:** "), stem, F.lit("\n**Source:** "), "source", F.lit("\n**Model Answer:** x\n"))
+    rows = table(spark, sf_dir, "documents").select(section.alias("doc_id"), F.lit("written").alias("kind"), F.col("doc_id").alias("ordinal"), block.alias("block"))
+    return merge.merge_questions(markdown.with_fields(rows)).select(F.col("doc_id").alias("section"), F.col("fingerprint").alias("stem"), "first", "copies", F.col("number").cast("long").alias("number"))
+
+
+@query("""
+SELECT doc_id::VARCHAR AS relative_path, count(l.doc_id) FILTER (WHERE quality = 1) AS n_matches,
+  CASE count(l.doc_id) FILTER (WHERE quality = 1) WHEN 0 THEN 'missing' WHEN 1 THEN 'duplicate' ELSE 'ambiguous' END AS decision
+FROM documents d LEFT JOIN labels l USING (doc_id) GROUP BY doc_id
+""")
+def doc_dedup_plan(spark, sf_dir):
+    """Documents as local files, labels as remote sources of the same stems, of which those of quality are ready."""
+    name = F.concat(F.lit("Dir/Doc_"), F.col("doc_id").cast("string"))
+    none = F.lit("")
+    local = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("relative_path"), F.concat(name, F.lit(".pdf")).alias("name"), F.lit("use").alias("preparation_action"), F.array().cast("array<string>").alias("hashes"), none.alias("original_name"), none.alias("prepared_name"))
+    status = F.when(F.col("quality") == 1, "2").otherwise("1")
+    remote = table(spark, sf_dir, "labels").select(F.col("doc_id").cast("string").alias("source_id"), F.concat(F.lit("doc "), F.col("doc_id").cast("string"), F.lit(".TXT")).alias("title"), none.alias("content_hash"), status.alias("status"))
+    return match.deduplication_plan(local, remote).select("relative_path", "n_matches", "decision")
+
+
+@query("SELECT d.doc_id FROM documents d ANTI JOIN labels l USING (doc_id)")
+def doc_pending(spark, sf_dir):
+    """Documents as recordings without a transcript."""
+    recordings = table(spark, sf_dir, "documents").select("doc_id", F.format_string("Talk %d.m4a", "doc_id").alias("title"))
+    done = table(spark, sf_dir, "labels").select(F.format_string("talk_%d.md", "doc_id").alias("name"))
+    return scope.pending_recordings(recordings, done).select("doc_id")
+
+
+_EXT = {"en": ".pdf", "fr": ".ppt", "de": ".mkv", "es": ".docx"}
+
+
+@query(f"""
+SELECT doc_id, CASE lang WHEN 'fr' THEN 'convert' WHEN 'de' THEN 'convert' WHEN 'en' THEN CASE WHEN n_chars < 50 THEN 'ocr' WHEN n_chars * 40000 > {prepare.LARGE_BYTES} THEN 'wait' ELSE 'use' END ELSE CASE WHEN n_chars * 40000 > {prepare.LARGE_BYTES} THEN 'wait' ELSE 'use' END END AS action,
+  CASE lang WHEN 'en' THEN '.pdf' WHEN 'fr' THEN '.pdf' WHEN 'de' THEN '.m4a' WHEN 'es' THEN '.docx' ELSE '' END AS target
+FROM documents
+""")
+def doc_prepare_plan(spark, sf_dir):
+    """Documents as files of several kinds, with the preparation each needs."""
+    ext = F.coalesce(F.create_map(*[F.lit(x) for kv in _EXT.items() for x in kv])[F.col("lang")], F.lit(""))
+    rows = table(spark, sf_dir, "documents").select(
+        "doc_id", F.concat("source", F.lit("/"), F.col("doc_id").cast("string"), ext).alias("relative_path"), F.lit("auto").alias("action"), F.lit("").alias("target_format"), F.array().cast("array<int>").alias("pages"),
+        (F.col("n_chars") * 40000).alias("size"), F.lit(None).cast("long").alias("max_upload_bytes"), (F.col("n_chars") < 50).alias("needs_ocr"), F.lit(0.0).alias("garbage_ratio"),
+    )
+    return prepare.plan(rows).select("doc_id", F.col("planned_action").alias("action"), "target")
+
+
+@query("""
+SELECT conv_id AS doc_id, string_agg('## ' || role || chr(10) || chr(10) || text, chr(10) || chr(10) ORDER BY turn) AS text FROM conversations GROUP BY conv_id
+""")
+def conversation_documents(spark, sf_dir):
+    """Turns as a document's sections."""
+    rows = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("doc_id"), F.col("turn").alias("section_no"), F.concat(F.lit("## "), "role").alias("heading"), F.col("text").alias("body"))
+    return merge.assemble(rows)
+
+
+@query(r"""
+WITH l AS (SELECT unnest(string_split(text, chr(10))) AS line FROM documents),
+k AS (SELECT regexp_replace(regexp_replace(replace(lower(nfc_normalize(line)), 'ß', 'ss'), '^\s*(?:question\s*)?[0-9]+\s*[).:;-]\s*', ''), '[^\p{L}\p{N}\p{M}_\x{600}-\x{6ff}]+', '', 'g') AS fingerprint FROM l)
+SELECT fingerprint, count(*) AS copies FROM k WHERE fingerprint <> '' GROUP BY fingerprint
+""")
+def line_question_fingerprints(spark, sf_dir):
+    """Lines by their question fingerprint."""
+    lines = table(spark, sf_dir, "documents").select(F.explode(F.split("text", "\n")).alias("line"))
+    return lines.select(fingerprint(F.col("line")).alias("fingerprint")).where("fingerprint <> ''").groupBy("fingerprint").agg(F.count("*").alias("copies"))
