@@ -152,7 +152,7 @@ def keep_representatives(docs: DataFrame, shingle: int = 5, similarity: float =
     same = alone.select("fp", "node").join(prints.where("n > 1"), "fp").where("node <> first").select(F.col("node").alias("u"), F.col("first").alias("v"))
     near = links(prints.select(F.col("first").alias("node"), "fp"), prints.count())
     whole = lambda wanted: similar.whole_sets(docs, wanted, shingle, id_col, text_col)
-    found = components(similar.links(alone, sets, similarity, whole, same.unionByName(near)))
+    found = similar.classes(alone, sets, similarity, whole, same.unionByName(near))
     named = classes.join(found, "node", "left").select("digest", "n", F.coalesce("component", "node").alias("component"))
     rows = sets.select("id", "digest")
     lost = attach(rows, written(named, "set-components"), ["digest"], "n", rows.count()).where("id <> component")

@@ -136,9 +136,9 @@ def candidates(blocks: DataFrame, similarity: float, pair_block: int = PAIR_BLOC
 
 
 def unsettled(blocks: DataFrame, known: DataFrame, pair_block: int = PAIR_BLOCK) -> DataFrame:
-    """(node, size, component) of the sets in large buckets of more than one component of the known links."""
+    """(node, size, component) of the sets in large buckets of more than one of the known components (node, component)."""
     large = blocks.where(F.col("n") > pair_block).select("t", "key", "node", "size")
-    named = written(large.join(components(known), "node", "left").withColumn("component", F.coalesce("component", "node")), "large-buckets")
+    named = written(large.join(known, "node", "left").withColumn("component", F.coalesce("component", "node")), "large-buckets")
     apart = named.groupBy("t", "key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("m")).where("lo <> hi")
     return attach(named, written(apart.select("t", "key", "m"), "open-buckets"), ["t", "key"], "m", named.count()).select("node", "size", "component").distinct()
 
@@ -201,7 +201,7 @@ def verified_whole(pairs: DataFrame, whole: DataFrame, similarity: float) -> Dat
 
 
 def exact_links(alone: DataFrame, blocks: DataFrame, known: DataFrame, whole_of, similarity: float) -> DataFrame | None:
-    """All links that the known ones lack between sets of unsettled large buckets; None if there are no such sets.
+    """All links between sets of unsettled large buckets that lie in different known components; None if there are no such sets.
 
     ``whole_of`` makes the whole sets (node, values) of wanted ones (node, digest).
     """
@@ -212,8 +212,8 @@ def exact_links(alone: DataFrame, blocks: DataFrame, known: DataFrame, whole_of,
     return verified_whole(written(prefix_pairs(rest, whole, similarity), "prefix-pairs"), whole, similarity)
 
 
-def links(alone: DataFrame, sets: DataFrame, similarity: float, whole_of, known: DataFrame) -> DataFrame:
-    """Links (u, v) of distinct sets (node, digest, size, bands), enough for the components with the known links."""
+def classes(alone: DataFrame, sets: DataFrame, similarity: float, whole_of, known: DataFrame) -> DataFrame:
+    """(node, component) of the distinct sets (node, digest, size, bands) that have links, the known links (u, v) among them."""
     blocks = bucketed(alone)
     judged = written(sketch_links(candidates(blocks, similarity), alone, sets, similarity), "judged")
     found = judged.where("sure").select("u", "v").unionByName(known)
@@ -222,9 +222,11 @@ def links(alone: DataFrame, sets: DataFrame, similarity: float, whole_of, known:
         nodes = doubtful.select(F.col("u").alias("node")).unionByName(doubtful.select(F.col("v").alias("node"))).distinct()
         whole = written(whole_of(written(alone.select("node", "digest").join(nodes, "node"), "doubtful")), "doubtful-sets")
         found = found.unionByName(verified_whole(doubtful, whole, similarity))
-    found = written(found, "first-links")
-    more = exact_links(alone, blocks, found, whole_of, similarity)
-    return found if more is None else found.unionByName(more)
+    first = written(components(found), "first-components")
+    more = exact_links(alone, blocks, first, whole_of, similarity)
+    if more is None:
+        return first
+    return components(first.select(F.col("node").alias("u"), F.col("component").alias("v")).unionByName(more))
 
 
 def sketch_links(pairs: DataFrame, alone: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
