@@ -305,3 +305,21 @@ def test_pipeline_stages_by_brute_force(spark, tmp_path):
     assert sorted(steps["near_dedup"]) == sorted(set(least.values()))
     assert sorted(steps["decontaminate"]) == [i for i in sorted(steps["near_dedup"]) if item not in kept[i]]
     assert sorted(steps["bpe"]) == sorted(steps["decontaminate"])
+
+
+def test_components_of_paths_stars_and_random_edges(spark):
+    import numpy as np
+
+    from fascicle.llm.common import components
+
+    pick = np.random.default_rng(5)
+    edges = [(i + 1, i) for i in range(30)] + [(100 + i, 200) for i in range(20)] + [(7, 7), (300, 301), (301, 300)]
+    edges += [(int(a), int(b)) for a, b in pick.integers(1000, 1080, (50, 2))]
+    least = {n: n for e in edges if e[0] != e[1] for n in e}
+    for _ in least:
+        for a, b in edges:
+            if a != b:
+                least[a] = least[b] = min(least[a], least[b])
+    found = components(spark.createDataFrame(edges, "u long, v long")).collect()
+    assert sorted(map(tuple, found)) == sorted(least.items())
+    assert components(spark.createDataFrame([], "u long, v long")).count() == 0
