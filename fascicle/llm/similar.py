@@ -36,6 +36,8 @@ SALTED = 3
 PAIR_BLOCK = 16
 #: Sets of a shingle's postings that meet in one part of the exact join.
 POSTINGS = 512
+#: Parts of the hash range whose shingles are counted together, to order shingles from rare to frequent.
+COUNTED = 1 << 18
 _RANDOM = np.random.default_rng(20240229)
 _FACTOR = _RANDOM.integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _OFFSET = _RANDOM.integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64)
@@ -148,24 +150,46 @@ def _most(size: Column, overlap: Column) -> Column:
     return size - F.ceil(overlap - 1e-9)
 
 
+def prefixes(rest: DataFrame, whole: DataFrame, similarity: float) -> DataFrame:
+    """(node, size, component, place, w): each set's first shingles, those that a link must reach.
+
+    Any order of shingles that is the same in all sets will do. They go from rare to frequent by
+    the counts of COUNTED parts of the hash range, a table of fixed size, so that no set has to
+    be joined with the counts of its own shingles: only prefixes are shuffled.
+    """
+    part = F.col("w").bitwiseAND(F.lit(COUNTED - 1).cast("long")).alias("part")
+    counts = whole.select(F.explode("values").alias("w")).groupBy(part).agg(F.count("*").alias("n")).toArrow()  # at most COUNTED rows
+    often = np.zeros(COUNTED, np.int64)
+    often[counts["part"].to_numpy()] = counts["n"].to_numpy()
+    first = (_most(F.col("size"), similarity * F.col("size")) + 1).cast("int").alias("first")
+    rows = rest.join(whole, "node").select("node", "size", "component", first, "values")
+    schema = pa.schema([("node", pa.int64()), ("size", pa.int32()), ("component", pa.int64()), ("place", pa.int32()), ("w", pa.int64())])
+
+    def run(batches):
+        for b in slices(batches, 64):
+            firsts = []
+            for n, values in zip(b.column(3).to_pylist(), b.column(4)):
+                values = values.values.to_numpy()
+                firsts.append(values[np.lexsort((values, often[values & (COUNTED - 1)]))[:n]])
+            lengths = [len(x) for x in firsts]
+            at = pa.array(np.repeat(np.arange(len(firsts)), lengths), pa.int64())
+            place = pa.array(np.concatenate([np.zeros(0, np.int32), *(np.arange(n, dtype=np.int32) for n in lengths)]), pa.int32())
+            w = pa.array(np.concatenate([np.zeros(0, np.int64), *firsts]), pa.int64())
+            yield pa.RecordBatch.from_arrays([*(b.column(i).take(at) for i in range(3)), place, w], schema=schema)
+
+    return rows.mapInArrow(run, "node long, size int, component long, place int, w long")
+
+
 def prefix_pairs(rest: DataFrame, whole: DataFrame, similarity: float) -> DataFrame:
     """Distinct pairs (u, v) of different components that can reach the similarity.
 
     Shingles are ordered from rare to frequent. Two sets of sizes a <= b share at least
     o = similarity / (1 + similarity) * (a + b) shingles, so the first that they share stands
     at most at place a - o of the one and b - o of the other: within the first (1 - similarity)
-    of the larger set, and less of the smaller. Shingles of one set alone only take up places.
-    A shingle's postings meet in parts of POSTINGS, without those pairs of which both are in the
-    component that holds most of them.
+    of the larger set, and less of the smaller. A shingle's postings meet in parts of POSTINGS,
+    without those pairs of which both are in the component that holds most of them.
     """
-    keyed = whole.select("node", F.explode("values").alias("w"))
-    counts = written(keyed.groupBy("w").agg(F.count("*").alias("n")).where("n > 1"), "shared-shingles")
-    total = rest.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
-    ranked = attach(keyed, counts, ["w"], "n", total).groupBy("node").agg(F.array_sort(F.collect_list(F.struct("n", "w"))).alias("ws"))
-    own = F.col("size") - F.size("ws")
-    first = F.greatest(F.lit(0), _most(F.col("size"), similarity * F.col("size")) + 1 - own).cast("int")
-    places = rest.join(ranked, "node").select("node", "size", "component", own.alias("own"), F.posexplode(F.slice("ws", F.lit(1), first)).alias("i", "x"))
-    places = written(places.select("node", "size", "component", (F.col("own") + F.col("i")).alias("place"), "x.w"), "prefixes")
+    places = written(prefixes(rest, whole, similarity), "prefixes")
     each = places.groupBy("w", "component").agg(F.count("*").alias("m"))
     posts = each.groupBy("w").agg(F.sum("m").alias("n"), F.max(F.struct("m", "component")).alias("top"), F.count("*").alias("c")).where("c > 1")
     posts = written(posts.select("w", "n", (F.col("n") - F.col("top.m")).alias("others"), F.col("top.component").alias("top")), "postings")
