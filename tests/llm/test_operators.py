@@ -384,3 +384,24 @@ def test_training_counts_whole_long_words():
     plain = defaultdict(float)
     lattice.expected("abba", p, 1.0, plain)
     assert dict(short) == pytest.approx(dict(plain))
+
+
+def test_prefixes_keep_every_near_pair(spark, monkeypatch):
+    """Whatever the counts' parts collide on, no pair of two components that reaches 0.8 is lost."""
+    from fascicle.llm import similar
+
+    r = random.Random(5)
+    common = r.sample(range(-(2**61), 2**61), 40)
+    sets = []
+    for _ in range(40):
+        one = {*r.sample(common, 30), *r.sample(range(2**62), r.randrange(30))}
+        sets += [one, {*list(one)[r.randrange(8) :], *r.sample(range(2**62), r.randrange(5))}]
+    sets += [{7}, {7}, {8}]
+    rest = spark.createDataFrame([(i, len(s), i) for i, s in enumerate(sets)], "node long, size int, component long")
+    whole = spark.createDataFrame([(i, list(s)) for i, s in enumerate(sets)], "node long, values array<long>")
+    near = {(i, j) for j in range(len(sets)) for i in range(j) if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])}
+    assert len(near) > 20 and (80, 81) in near
+    for parts in (4, 1 << 18):
+        monkeypatch.setattr(similar, "COUNTED", parts)
+        assert near <= {tuple(sorted(x)) for x in similar.prefix_pairs(rest, whole, 0.8).collect()}
+    assert similar.prefix_pairs(rest.limit(0), whole.limit(0), 0.8).isEmpty()
