@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from fascicle.llm import bpe, decontaminate, fingerprint, language, line_dedup, pii, secrets, simhash, substrings, toxicity
+from fascicle.llm import bpe, collocations, conversations, decontaminate, fingerprint, language, line_dedup, packing, pii, secrets, simhash, substrings, toxicity
 
 QUERIES = {
     "op1_byte_bpe": bpe.query,
@@ -16,6 +16,9 @@ QUERIES = {
     "op8_secret_scan": secrets.query,
     "op9_decontaminate": decontaminate.query,
     "op10_pii": pii.query,
+    "op11_conversation_repair": conversations.query,
+    "op12_best_fit_packing": packing.query,
+    "op13_collocations": collocations.query,
     "pipeline": corpus_pipeline.run,
 }
 
@@ -25,4 +28,6 @@ SQL = {
     "op8_secret_scan": secrets.SQL,
     "op9_decontaminate": decontaminate.SQL,
     "op10_pii": pii.SQL,
+    "op11_conversation_repair": conversations.SQL,
+    "op13_collocations": collocations.SQL,
 }
