@@ -12,6 +12,7 @@ from fascicle import schema
 from fascicle.functions import markdown
 from fascicle.operators import merge, provenance, rewrite, validate
 from fascicle.operators.quality import CITATION
+from fascicle.operators.tables import materialised
 
 # The labels' long forms, by the kinds of blocks that have them.
 LONG_LABELS = {"Question": "(verbatim)", "Options": "(verbatim)", "Model Answer": "(Short)", "Clinical Explanation": "(Egyptian Arabic)"}
@@ -116,11 +117,6 @@ def student_text(draft: Column) -> Column:
     return F.concat(rewrite.table_spacing(rewrite.cleaned(markdown.strip_evidence(draft))), F.lit("\n"))
 
 
-def _cut(rows: DataFrame) -> DataFrame:
-    """A checkpoint where the session names a shared folder for them: several rules read the rows."""
-    return rows.checkpoint() if rows.sparkSession.sparkContext._jsc.sc().getCheckpointDir().isDefined() else rows
-
-
 def finalize(drafts: DataFrame, as_of_year: int, catalog: DataFrame | None = None) -> DataFrame:
     """(doc_id, text, errors array<struct<kind,number,code,message>>) of drafts (doc_id, text); text is null where there are errors.
 
@@ -129,7 +125,7 @@ def finalize(drafts: DataFrame, as_of_year: int, catalog: DataFrame | None = Non
     """
     kind = F.when(F.contains("heading", F.lit("MCQ")), "mcq").when(F.contains("heading", F.lit("Written")), "written").when(F.contains("heading", F.lit("Case")), "case").otherwise(F.concat(F.lit("section "), F.col("section_no").cast("string")))
     parts = markdown.sections(drafts).withColumn("kind", kind)
-    whole = _cut(normalize_answers(parts.select("doc_id", "kind", F.col("body").alias("answer")), catalog))
+    whole = materialised(normalize_answers(parts.select("doc_id", "kind", F.col("body").alias("answer")), catalog), "sections")  # several rules read it
     made = parts.drop("body").join(whole.withColumnRenamed("answer", "body"), ["doc_id", "kind"])
     lead = drafts.select("doc_id", F.regexp_extract(F.coalesce("text", F.lit("")), r"(?ds)^(.*?)(?:(?:^|\n)## .*)?$", 1).alias("lead"))
     reviewed = merge.assemble(made).join(lead, "doc_id", "right").select("doc_id", F.concat_ws("\n\n", F.nullif(rewrite.strip(F.col("lead")), F.lit("")), "text").alias("draft"))

@@ -8,7 +8,9 @@ from pyspark.sql import Window
 
 from fascicle import schema
 from fascicle.functions.keys import path_key, source_key, source_stem
+from fascicle.operators.containment import fuzzy_matches
 from fascicle.operators.match import hash_matches, name_pairs
+from fascicle.operators.tables import materialised
 from fascicle.operators.validate import errors, union
 
 # What an answer that is an error message holds, and what names a rejected source.
@@ -42,19 +44,38 @@ def catalog_matches(names: DataFrame, catalog: DataFrame, column: str = "source"
     return best.where("rank = least AND usable").select("source", "canonical_name", "role", "verified_years").distinct()
 
 
-def provenance_rules(blocks: DataFrame, catalog: DataFrame) -> DataFrame:
+def source_evidence(names: DataFrame, catalog: DataFrame, exams: DataFrame, expected: DataFrame, column: str = "source") -> DataFrame:
+    """(source, canonical_name, role, verified_years) of each name's evidence.
+
+    Available entries of the catalog prove years and roles. A name without any falls back to
+    names alike (see containment.fuzzy_matches): it proves the years of the exams (year, name)
+    and stands for the expected names (name), without a role. A name of neither has no row.
+    """
+    asked = names.select(F.col(column).alias("source")).where("source IS NOT NULL").distinct()
+    known = materialised(catalog_matches(asked, catalog), "catalog-evidence")
+    rest = materialised(asked.join(known.select("source"), "source", "left_anti").withColumnRenamed("source", "name"), "names-without-entry")
+    alike = fuzzy_matches(rest, expected.select("name")).select(F.col("name").alias("source"), F.col("expected").alias("canonical_name"))
+    dated = fuzzy_matches(rest, exams.select("name")).join(exams.select(F.coalesce("name", F.lit("")).alias("expected"), "year").distinct(), "expected")
+    years = dated.groupBy(F.col("name").alias("source")).agg(F.array_sort(F.collect_set(F.col("year").cast("int"))).alias("verified_years"))
+    found = alike.join(years, "source", "full_outer").select("source", "canonical_name", F.lit(None).cast("string").alias("role"), F.coalesce("verified_years", F.array().cast("array<int>")).alias("verified_years"))
+    return known.unionByName(found)
+
+
+def provenance_rules(blocks: DataFrame, catalog: DataFrame, exams: DataFrame | None = None, expected: DataFrame | None = None) -> DataFrame:
     """Badges against what the blocks' sources are in the catalog: error rows.
 
     ``blocks`` has the fields of markdown.with_fields(). A block without sources proves no year
-    and has no role.
+    and has no role. With ``exams`` and ``expected``, sources that the catalog doesn't hold are
+    looked up as source_evidence() does.
     """
-    found = catalog_matches(blocks.select(F.explode("sources").alias("source")), catalog)
-    by_source = found.groupBy("source").agg(F.count("*").alias("entries"), F.collect_set("role").alias("roles"), F.array_distinct(F.flatten(F.collect_list("verified_years"))).alias("years"))
+    cited = blocks.select(F.explode("sources").alias("source"))
+    found = catalog_matches(cited, catalog) if exams is None or expected is None else source_evidence(cited, catalog, exams, expected)
+    by_source = found.groupBy("source").agg(F.count("canonical_name").alias("entries"), F.collect_set("role").alias("roles"), F.array_distinct(F.flatten(F.collect_list("verified_years"))).alias("years"))
     key = ["doc_id", "kind", "ordinal"]
     cited = blocks.select(*key, F.explode_outer("sources").alias("source")).join(by_source, "source", "left")
     per_block = cited.groupBy(*key).agg(
         F.array_sort(F.array_distinct(F.flatten(F.collect_list("roles")))).alias("roles"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("years")))).alias("proved"),
-        F.array_sort(F.collect_set(F.when(F.col("source").isNotNull() & F.col("entries").isNull(), F.col("source")))).alias("unknown"), F.array_sort(F.collect_set(F.when(F.col("entries") > 1, F.col("source")))).alias("unclear"),
+        F.array_sort(F.collect_set(F.when(F.col("source").isNotNull() & (F.coalesce("entries", F.lit(0)) == 0), F.col("source")))).alias("unknown"), F.array_sort(F.collect_set(F.when(F.col("entries") > 1, F.col("source")))).alias("unclear"),
     )
     rows = blocks.join(per_block, key)
     has = lambda role: F.array_contains("roles", role)

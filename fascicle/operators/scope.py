@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -11,6 +12,7 @@ from pyspark.sql import Window
 from fascicle import schema
 from fascicle.functions.keys import extension, first_uuid, source_key, source_stem
 from fascicle.operators.match import extensions_compatible, is_ready
+from fascicle.operators.tables import materialised
 
 EXAM_ROLES = ("past_exam", "question_bank")
 
@@ -42,25 +44,29 @@ def bisect_scopes(batches: DataFrame, ask: Callable[[DataFrame], DataFrame], max
     ``ask`` takes such rows and gives (project_id, batch, answer, rejected boolean, error). A
     rejected batch is halved and asked again; of one source it goes to quarantine (project_id,
     source_id, error). A round asks all halves at once, so rounds grow with the logarithm of a
-    batch. Batches are known by their path: "0" and "1" added at each halving.
+    batch; what it is told is written, so each scope is asked once. Batches are known by their
+    path: "0" and "1" added at each halving. A scope that ask gives no row for is an error, as
+    is one left after max_rounds. No batches give no rows.
     """
     key = ["project_id", "batch"]
-    left = batches.withColumn("batch", F.col("batch").cast("string"))
-    answers, gone = [], []
+    left = materialised(batches.withColumn("batch", F.col("batch").cast("string")), "scopes")
+    told = []
     for _ in range(max_rounds):
-        asked = left.join(ask(left), key)
-        answers.append(asked.where("NOT rejected").select(*key, "source_ids", "answer"))
-        bad = asked.where("rejected")
-        gone.append(bad.where(F.size("source_ids") <= 1).select("project_id", F.try_element_at("source_ids", F.lit(1)).alias("source_id"), "error"))
+        asked = materialised(left.join(ask(left).select(*key, "answer", "rejected", "error", F.lit(True).alias("told")), key, "left"), "answers")
+        if not asked.where("told IS NULL OR rejected IS NULL").isEmpty():
+            raise ValueError("a scope was asked and not answered")
+        told.append(asked)
         half = F.floor(F.size("source_ids") / 2).cast("int")
         halves = F.array(F.struct(F.lit("0").alias("side"), F.slice("source_ids", F.lit(1), half).alias("ids")), F.struct(F.lit("1").alias("side"), F.slice("source_ids", half + 1, F.size("source_ids")).alias("ids")))
-        left = bad.where(F.size("source_ids") > 1).select("project_id", "batch", F.explode(halves).alias("h")).select("project_id", F.concat("batch", F.lit("."), "h.side").alias("batch"), F.col("h.ids").alias("source_ids"))
+        bad = asked.where(F.col("rejected") & (F.size("source_ids") > 1))
+        left = bad.select("project_id", "batch", F.explode(halves).alias("h")).select("project_id", F.concat("batch", F.lit("."), "h.side").alias("batch"), F.col("h.ids").alias("source_ids"))
         if left.isEmpty():
             break
-    out, lost = answers[0], gone[0]
-    for a, g in zip(answers[1:], gone[1:]):
-        out, lost = out.unionByName(a), lost.unionByName(g)
-    return out, lost
+    else:
+        raise RuntimeError("bisect_scopes: scopes are left after max_rounds")
+    every = reduce(DataFrame.unionByName, told)
+    gone = every.where(F.col("rejected") & (F.size("source_ids") <= 1))
+    return every.where("NOT rejected").select(*key, "source_ids", "answer"), gone.select("project_id", F.try_element_at("source_ids", F.lit(1)).alias("source_id"), "error")
 
 
 def retry_plan(attempts: DataFrame, most: int = 3, step: int = 5) -> DataFrame:
@@ -137,15 +143,3 @@ def required_missing(missing: DataFrame, requested: DataFrame) -> DataFrame:
 def upload_split(local: DataFrame) -> DataFrame:
     """local with support: ignored, unsupported or supported."""
     return local.withColumn("support", F.when((F.col("role") == "ignore") | (F.col("preparation_action") == "ignore"), "ignored").when(extension(F.coalesce(F.nullif("prepared_name", F.lit("")), "name")).isin(*schema.UPLOAD_EXTENSIONS), "supported").otherwise("unsupported"))
-
-
-def fuzzy_matches(names: DataFrame, expected: DataFrame) -> DataFrame:
-    """(name, expected) of equal stems, or one key within the other; an empty key is within all.
-
-    ``expected`` is a module's catalog: its rows are gathered into one array, and each distinct
-    name is held against it.
-    """
-    every = expected.select("name").distinct().agg(F.collect_list(F.struct(F.col("name").alias("n"), source_key(F.col("name")).alias("k"), source_stem(F.col("name")).alias("s"))).alias("__all"))
-    rows = names.select("name").distinct().withColumns({"k": source_key(F.col("name")), "s": source_stem(F.col("name"))}).join(every, F.lit(True))
-    alike = F.filter("__all", lambda e: (e["s"] == F.col("s")) | F.contains(e["k"], F.col("k")) | F.contains(F.col("k"), e["k"]))
-    return rows.select("name", F.explode(alike).alias("e")).select("name", F.col("e.n").alias("expected"))

@@ -165,7 +165,7 @@ _ALLOWED_SQL = " OR ".join(f"(s = '{a}' AND t IN ({', '.join(repr(x) for x in b)
 
 @query(f"""
 WITH RECURSIVE e AS (SELECT user_id, CASE event_type {_STATES} END AS t, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events),
-f AS (SELECT user_id, 0::BIGINT AS n, 'manifest_ready' AS s, 0 AS attempts, 0 AS rejected FROM (SELECT DISTINCT user_id FROM e)
+f AS (SELECT user_id, 0::BIGINT AS n, 'manifest_ready' AS s, 0::BIGINT AS attempts, 0::BIGINT AS rejected FROM (SELECT DISTINCT user_id FROM e)
   UNION ALL SELECT user_id, n, CASE WHEN ok THEN t ELSE s END, attempts + CASE WHEN ok AND t = 'running' AND s <> 'running' THEN 1 ELSE 0 END, rejected + CASE WHEN ok THEN 0 ELSE 1 END
   FROM (SELECT f.user_id, e.n, f.s, e.t, f.attempts, f.rejected, (f.s = e.t OR {_ALLOWED_SQL}) AS ok FROM f JOIN e ON e.user_id = f.user_id AND e.n = f.n + 1))
 SELECT user_id::VARCHAR AS lecture_key, s AS status, attempts, rejected FROM f QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY n DESC) = 1
@@ -173,9 +173,8 @@ SELECT user_id::VARCHAR AS lecture_key, s AS status, attempts, rejected FROM f Q
 def event_ledger_fold(spark, sf_dir):
     """The state machine over each user's events in order."""
     to = F.create_map(*[F.lit(x) for kv in EVENT_STATES.items() for x in kv])
-    seq = F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id")).cast("long")
-    rows = table(spark, sf_dir, "events").select(F.col("user_id").cast("string").alias("lecture_key"), seq.alias("seq"), to[F.col("event_type")].alias("status"), *[F.lit(None).cast("string").alias(c) for c in ("agent_id", "run_id", "artifact_path", "reason")])
-    return ledger.fold(rows).select("lecture_key", "status", "attempts", "rejected")
+    rows = table(spark, sf_dir, "events").select(F.col("user_id").cast("string").alias("lecture_key"), "ts", "event_id", to[F.col("event_type")].alias("status"), *[F.lit(None).cast("string").alias(c) for c in ledger.FIELDS])
+    return ledger.fold(rows, order=("ts", "event_id")).select("lecture_key", "status", "attempts", "rejected")
 
 
 @query("SELECT user_id, event_type, arg_max(event_id, (ts, event_id)) AS event_id, arg_max(value, (ts, event_id)) AS value FROM events GROUP BY user_id, event_type")
@@ -215,24 +214,6 @@ def doc_batches_of_3(spark, sf_dir):
     return merge.question_scope(scope).withColumn("source_ids", F.array_join("source_ids", ","))
 
 
-@query(r"""
-WITH b AS (SELECT item_id, list_distinct(list_filter(regexp_extract_all(lower(text), '[a-z0-9]+'), lambda w: length(w) >= 9)) AS w FROM benchmark),
-bw AS (SELECT item_id, unnest(w) AS w FROM b),
-d AS (SELECT doc_id, list_distinct(list_filter(regexp_extract_all(lower(text), '[a-z0-9]+'), lambda w: length(w) >= 9)) AS w FROM documents),
-dw AS (SELECT doc_id, unnest(w) AS w FROM d),
-s AS (SELECT doc_id, item_id, count(*) AS score FROM dw JOIN bw USING (w) GROUP BY 1, 2)
-SELECT doc_id, item_id, score FROM s QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, item_id) = 1
-""")
-def doc_top1_score(spark, sf_dir):
-    """Scored match: the item that shares most long words, first by id on ties."""
-    words = lambda c: F.explode(F.array_distinct(F.filter(F.regexp_extract_all(F.lower(c), F.lit("[a-z0-9]+"), F.lit(0)), lambda w: F.length(w) >= 9))).alias("w")
-    d = table(spark, sf_dir, "documents").select("doc_id", words(F.col("text")))
-    b = table(spark, sf_dir, "benchmark").select("item_id", words(F.col("text")))
-    score = d.join(b, "w").groupBy("doc_id", "item_id").agg(F.count("*").alias("score"))
-    best = score.groupBy("doc_id").agg(F.max_by(F.struct("item_id", "score"), F.struct("score", -F.col("item_id"))).alias("r"))
-    return best.select("doc_id", "r.*")
-
-
 _TOPIC = rf"list_distinct(list_filter(regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}]+'), lambda w: length(w) >= 3 AND w NOT IN ({', '.join(f"'{w}'" for w in match.GENERIC)}) AND NOT regexp_full_match(w, '[0-9]{{4}}')))"
 
 
@@ -245,7 +226,7 @@ SELECT doc_id, item_id, score FROM s QUALIFY row_number() OVER (PARTITION BY doc
 def doc_top1_topic_score(spark, sf_dir):
     """Scored match on all topic words: those of three characters or more, without the fixed generic ones and years.
 
-    doc_top1_score, bound to its SQL, counts long words only. A frequent word meets in SALTS parts.
+    A frequent word meets in SALTS parts.
     """
     word = lambda w: (F.length(w) >= 3) & ~w.isin(*match.GENERIC) & ~w.rlike(r"^\d{4}$")
     words = lambda c: F.explode(F.array_distinct(F.filter(F.regexp_extract_all(F.lower(c), F.lit(r"[\p{L}\p{N}]+"), F.lit(0)), word))).alias("w")

@@ -109,5 +109,3 @@ def test_inventories(spark):
     assert sorted(r.name for r in scope.required_missing(missing, spark.createDataFrame([("B.docx",)], ["name"])).collect()) == ["a.pdf", "b.pdf"]
     local = spark.createDataFrame([("a.pdf", "slides", "use", ""), ("b.exe", "slides", "use", ""), ("c.exe", "ignore", "use", ""), ("d.doc", "slides", "convert", "d.pdf")], "name string, role string, preparation_action string, prepared_name string")
     assert {r.name: r.support for r in scope.upload_split(local).collect()} == {"a.pdf": "supported", "b.exe": "unsupported", "c.exe": "ignored", "d.doc": "supported"}
-    pairs = scope.fuzzy_matches(spark.createDataFrame([("Final Exam 2020.pdf",), ("zq",)], ["name"]), spark.createDataFrame([("exam 2020",), ("Other",), ("final exam 2020.txt",)], ["name"]))
-    assert sorted(map(tuple, pairs.collect())) == [("Final Exam 2020.pdf", "exam 2020"), ("Final Exam 2020.pdf", "final exam 2020.txt")]
