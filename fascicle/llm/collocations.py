@@ -13,9 +13,10 @@ each with its whole count (Miliaraki et al., "Mind the Gap", SIGMOD 2013, withou
 2. Second pass: texts are cut where a pair isn't frequent. A fragment is a place's word with up
    to max_words - 1 neighbours on either side, as long as these aren't rarer (on the left also
    not the same word: a phrase is told at the leftmost place of its pivot). Fragments are
-   counted within a chunk of text and sent, by language and pivot, as one row for each pivot.
-3. Mining: each pivot's fragments meet sorted by pivot and are counted phrase by phrase. A pivot
-   of many occurrences is dealt into parts by its fragments; its phrases' counts are added up
+   counted within a chunk of text and sent to their pivot; the pivots of one part of the hash
+   range travel in one row.
+3. Mining: each pivot's fragments meet in one task and are counted phrase by phrase. A pivot of
+   many occurrences is dealt into parts by its fragments; its phrases' counts are added up
    afterwards. Other phrases are done with and are dropped here if they are rare.
 4. Scores are exact integers of up to 38 digits, from the counts of a candidate's parts: words
    of step 1, and pairs that are candidates themselves.
@@ -45,7 +46,9 @@ WORD_PARTS, PAIR_PARTS = 1 << 20, 1 << 27
 RANGES = 1 << 9
 #: Occurrences of a pivot from which it is dealt into parts, about.
 PIVOT_PART = 100_000
-#: Phrases that a pivot may hold before they are passed on in parts.
+#: Rows that a chunk's pivots of one language travel in, at most.
+GROUPS = 1 << 11
+#: Phrases that a group of pivots may hold before they are passed on in parts.
 HELD = 1 << 19
 SHARE, TOP = 50, 2000
 _BREAK = b"\xff"  # stands in no UTF-8 text
@@ -232,10 +235,9 @@ def fragments_of(numbers: np.ndarray, linked: np.ndarray, order: np.ndarray, rea
 
 
 def routed(texts: DataFrame, weights: np.ndarray, bits: np.ndarray, size: int, max_words: int, pivot_part: int) -> DataFrame:
-    """(lang, pivot, part, parts, fragments binary): lines of a number and a fragment's words, by pivot."""
+    """(lang, group, fragments binary): for each pivot of the group a line of a tab, the pivot and its number of parts, then lines of a number and a fragment's words."""
     shared = texts.sparkSession.sparkContext.broadcast((weights, bits))  # fixed sizes
     reach = max_words - 1
-    names = ["lang", "pivot", "part", "parts", "fragments"]
 
     def run(batches):
         weights, bits = shared.value
@@ -256,30 +258,26 @@ def routed(texts: DataFrame, weights: np.ndarray, bits: np.ndarray, size: int, m
             times = np.diff(np.append(first, len(rows)))
             rows = rows[first]
             cuts = np.flatnonzero(np.concatenate([[True], rows[1:, reach] != rows[:-1, reach], [True]]))
-            out: list[tuple] = []
             text = [w + b" " for w in words]
             text[0] = b""
             lines = [b"%d %b" % (n, b"".join([text[i] for i in row])) for n, row in zip(times.tolist(), rows.tolist())]
+            groups: dict[int, list[bytes]] = {}
             for lo, hi in zip(cuts.tolist(), cuts[1:].tolist()):
                 pivot = rows[lo, reach]
-                parts = int(1 + weight[pivot] // pivot_part)
-                if parts == 1:
-                    out.append((lang, words[pivot], 0, 1, b"\n".join(lines[lo:hi])))
-                else:
-                    dealt: dict[int, list[bytes]] = {}
+                parts, own = int(1 + weight[pivot] // pivot_part), int(hashes[pivot] >> np.uint64(32))
+                dealt = {0: lines[lo:hi]}
+                if parts > 1:
+                    dealt = {}
                     for row, line in zip(rows[lo:hi].tolist(), lines[lo:hi]):
                         dealt.setdefault(hash(tuple(int(hashes[i]) for i in row)) % parts, []).append(line)
-                    out += [(lang, words[pivot], k, parts, b"\n".join(v)) for k, v in dealt.items()]
-                if len(out) >= 4096:
-                    yield batch(out)
-            yield batch(out)
+                for k, some in dealt.items():
+                    groups.setdefault((own + k) % GROUPS, []).extend([b"\t%b %d" % (words[pivot], parts), *some])
+            keys = sorted(groups)
+            for lo in range(0, len(keys), 256):
+                some = keys[lo : lo + 256]
+                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(some), pa.string()), pa.array(some, pa.int32()), pa.array([b"\n".join(groups[k]) for k in some], pa.binary())], names=["lang", "group", "fragments"])
 
-    def batch(out):
-        cols = list(zip(*out)) or [()] * 5
-        out.clear()
-        return pa.RecordBatch.from_arrays([pa.array(cols[0], pa.string()), pa.array(cols[1], pa.binary()), pa.array(cols[2], pa.int32()), pa.array(cols[3], pa.int32()), pa.array(cols[4], pa.binary())], names=names)
-
-    return texts.mapInArrow(run, "lang string, pivot binary, part int, parts int, fragments binary")
+    return texts.mapInArrow(run, "lang string, group int, fragments binary")
 
 
 def own_phrases(fragment: list[bytes], pivot: bytes, max_words: int):
@@ -295,38 +293,40 @@ def mined(sent: DataFrame, least: int, max_words: int) -> DataFrame:
     names = ["lang", "phrase", "a", "whole"]
 
     def run(batches):
-        now, counts, whole, out = None, Counter(), True, []
+        now, own, split, passed = None, Counter(), Counter(), False
 
         def close(final: bool):
-            """The pivot's phrases: rare ones go if nothing more of them can come."""
-            nonlocal counts, whole
-            whole = whole and final
-            done = [(p.decode(), n) for p, n in counts.items() if n >= least or not whole]
-            if done:
-                out.append(pa.RecordBatch.from_arrays([pa.array([now[0]] * len(done), pa.string()), pa.array([p for p, _ in done], pa.string()), pa.array([n for _, n in done], pa.int64()), pa.array([whole] * len(done))], names=names))
-            counts = Counter()
-
-        for b in slices(batches, 1024):
-            for lang, pivot, part, parts, lines in zip(*(b.column(i).to_pylist() for i in range(5))):
-                if now != (lang, pivot, part):
+            """The group's phrases: those of undivided pivots are whole if none were passed on before, and rare ones go."""
+            nonlocal own, split, passed
+            whole = final and not passed
+            for counts, done in ((own, whole), (split, False)):
+                some = [(p.decode(), n) for p, n in counts.items() if n >= least or not done]
+                if some:
+                    yield pa.RecordBatch.from_arrays([pa.array([now[0]] * len(some), pa.string()), pa.array([p for p, _ in some], pa.string()), pa.array([n for _, n in some], pa.int64()), pa.array([done] * len(some))], names=names)
+            own, split, passed = Counter(), Counter(), not final
+
+        for b in slices(batches, 64):
+            for lang, group, lines in zip(*(b.column(i).to_pylist() for i in range(3))):
+                if now != (lang, group):
                     if now is not None:
-                        close(True)
-                    now, whole = (lang, pivot, part), parts == 1
+                        yield from close(True)
+                    now = (lang, group)
                 for line in lines.split(b"\n"):
+                    if line[0] == 9:
+                        pivot, parts = line[1:].split()
+                        counts = own if parts == b"1" else split
+                        continue
                     n, *fragment = line.split()
                     n = int(n)
                     for phrase in own_phrases(fragment, pivot, max_words):
                         counts[phrase] += n
-                if len(counts) > HELD:
-                    close(False)
-            yield from out
-            out.clear()
+                if len(own) + len(split) > HELD:
+                    yield from close(False)
         if now is not None:
-            close(True)
-        yield from out
+            yield from close(True)
 
     parts = int(sent.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = sent.repartition(parts, "lang", "pivot", "part").sortWithinPartitions("lang", "pivot", "part")
+    dealt = sent.repartition(parts, "lang", "group").sortWithinPartitions("lang", "group")
     out = written(dealt.mapInArrow(run, "lang string, phrase string, a long, whole boolean"), "mined-phrases")
     split = out.where("NOT whole").groupBy("lang", "phrase").agg(F.sum("a").alias("a")).where(F.col("a") >= least)
     return out.where("whole").select("lang", "phrase", "a").unionByName(split)

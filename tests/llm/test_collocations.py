@@ -49,8 +49,10 @@ def corpus(seed, n):
     return rows + [("en", None), ("en", ""), (None, " \t\n"), ("de", "solo"), ("en", "the the the the the the the the the the the the"), ("fr", "new york " * 300), ("en", "ice cream. " * 20)]
 
 
-@pytest.mark.parametrize("how", [{}, {"size": 50}, {"word_parts": 4, "pair_parts": c.RANGES * 64}, {"pivot_part": 40}, {"least": 3, "top": 5, "size": 400, "pivot_part": 25}])
-def test_equals_plain_counting(spark, how):
+@pytest.mark.parametrize("how", [{}, {"size": 50, "held": 3}, {"word_parts": 4, "pair_parts": c.RANGES * 64}, {"pivot_part": 40}, {"least": 3, "top": 5, "size": 400, "pivot_part": 25}])
+def test_equals_plain_counting(spark, monkeypatch, how):
+    how = dict(how)
+    monkeypatch.setattr(c, "HELD", how.pop("held", c.HELD))
     rows = corpus(1, 250)
     docs = spark.createDataFrame([(i, *r, *"xxxxxx") for i, r in enumerate(rows)], SCHEMA).repartition(3)
     got = sorted(tuple(r) for r in c.collocations(docs, **how).collect())
