@@ -101,7 +101,14 @@ class Lexicon:
                 void.append((at, end))
             elif at not in best or best[at][1] < w:
                 best[at] = k, w
-        return [(at, k, w) for at, (k, w) in best.items() if not any(lo <= at < hi for lo, hi in void)]
+        out, reach, spans = [], -1, iter(sorted(void))
+        span = next(spans, None)
+        for at, (k, w) in sorted(best.items()):
+            while span and span[0] <= at:
+                reach, span = max(reach, span[1]), next(spans, None)
+            if at >= reach:
+                out.append((at, k, w))
+        return out
 
     def features(self, text: str | None) -> tuple[float, float]:
         folded = fold(text)

@@ -51,3 +51,20 @@ def test_references_in_parts(spark):
     rows += [(50, " ".join(long[100:300])), (51, " ".join(long[:120] + long[200:]))]
     for reference in (10, 23, 64, 1 << 15):
         assert lost(spark, rows, size=8, reference=reference) == brute(rows, 8)
+
+
+def test_exceptions_take_time_in_proportion():
+    import time
+
+    from fascicle.llm import toxicity
+
+    lexicon = toxicity.Lexicon({" trash ": 1.0, " tra": 0.5, " can ": 0.2})
+    plain = lambda hits, void: [h for h in hits if not any(lo <= h[0] < hi for lo, hi in void)]
+    phrase = next(e for e in toxicity.EXCEPTIONS)
+    folded = toxicity.fold(f"trash {phrase} can {phrase} {phrase} trash")
+    void = [(i, i + len(phrase) + 1) for i in range(len(folded)) if folded.startswith(f" {phrase} ", i)]
+    free = toxicity.Lexicon(lexicon.weights, exceptions=())
+    assert sorted(lexicon.hits(folded)) == sorted(plain(free.hits(folded), void)) and void
+    began = time.process_time()
+    lexicon.score("trash can x " * 100_000)
+    assert time.process_time() - began < 4
