@@ -104,8 +104,12 @@ def filename_years(name: Column, as_of_year: int) -> Column:
     return F.array_sort(F.array_union(exam_years(name, as_of_year), F.filter(short, lambda y: y <= as_of_year + 1)))
 
 
+#: The last page that a selection may name; a part beyond it is an error, as no document has it.
+LAST_PAGE = 100_000
+
+
 def page_numbers(spec: Column) -> Column:
-    """Pages of comma-separated numbers and ranges a-b or a:b, sorted and distinct; page_errors() tells the other parts."""
+    """Pages of comma-separated numbers and ranges a-b or a:b up to LAST_PAGE, sorted and distinct; page_errors() tells the other parts."""
     ends = lambda p, i: F.element_at(F.split(p, "[-:]"), i).cast("int")
     ranges = F.transform(F.filter(_page_parts(spec), _is_page_part), lambda p: F.sequence(ends(p, 1), ends(p, -1)))
     return F.array_sort(F.array_distinct(F.flatten(ranges)))
@@ -116,9 +120,9 @@ def _page_parts(spec: Column) -> Column:
 
 
 def _is_page_part(part: Column) -> Column:
-    """Whether a part is a page from 1 on, or a range that doesn't end before it starts."""
+    """Whether a part is a page from 1 to LAST_PAGE, or a range of such that doesn't end before it starts."""
     end = lambda i: F.try_element_at(F.split(part, "[-:]"), F.lit(i)).try_cast("int")
-    return part.rlike(r"^\d{1,9}(?:[-:]\d{1,9})?$") & F.coalesce((end(1) >= 1) & (end(-1) >= end(1)), F.lit(False))
+    return part.rlike(r"^\d{1,9}(?:[-:]\d{1,9})?$") & F.coalesce((end(1) >= 1) & (end(-1) >= end(1)) & (end(-1) <= LAST_PAGE), F.lit(False))
 
 
 def page_errors(spec: Column) -> Column:
@@ -127,7 +131,8 @@ def page_errors(spec: Column) -> Column:
 
 
 def slug(value: Column) -> Column:
-    return F.btrim(F.regexp_replace(F.lower(value), "[^a-z0-9]+", "-"), F.lit("-"))
+    """A file name's form of a title: letters, digits, _ and - stay, in lower case."""
+    return F.lower(F.btrim(F.regexp_replace(value, "[^A-Za-z0-9_-]+", "-"), F.lit("-")))
 
 
 def cache_stem(value: Column) -> Column:

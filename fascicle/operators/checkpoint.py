@@ -43,7 +43,10 @@ def stale(now: DataFrame, before: DataFrame) -> DataFrame:
 
 
 def save_phases(checkpoints: DataFrame, results: DataFrame, at: str = "saved") -> DataFrame:
-    """(run_id, phase, ...): the last saved row of each phase; a run's other phases stay as they are."""
+    """(run_id, phase, ...): the last saved row of each phase; a run's other phases stay as they are.
+
+    sources.store.save_phases() keeps such a table on disk and rewrites the touched runs alone.
+    """
     rows = checkpoints.unionByName(results, allowMissingColumns=True)
     return latest_of(rows, ["run_id", "phase"], at)
 

@@ -16,7 +16,7 @@ from fascicle.functions.keys import extension, slug, strip_extension
 # Types and roots that a manifest may name, and the profile's largest size.
 ASSESSMENTS = ("past_exam", "question_bank", "ignore")
 SYNC_ROOTS = ("lecture/", "questions/", "exams/")
-PROFILE_CHARS, SYNC_VERSION = 20_000, 1
+PROFILE_CHARS, SYNC_VERSION, FIRST_YEAR = 20_000, 1, 2000
 SLIDES, AUDIO, EXAMS = (".pptx", ".pdf", ".ppsx", ".ppt", ".docx"), (".mp3", ".m4a", ".wav", ".aac", ".ogg"), (".pdf", ".txt", ".docx")
 BOOKS = ("book", "textbook", "reference")
 COMMON = ("د", "دكتور", "dr", "part", "lecture", "1", "2", "3")
@@ -37,12 +37,20 @@ def _union(parts: list[DataFrame]) -> DataFrame:
 
 
 def _plain(path: Column) -> Column:
-    """A path with single slashes and without its "." parts."""
-    return F.regexp_replace(F.regexp_replace(F.btrim(F.translate(F.coalesce(path, F.lit("")), "\\", "/")), "/+", "/"), r"(?:^|(?<=/))\./", "")
+    """A path with single slashes, without its "." parts, and with each ".." taken back against the part before it."""
+    slashed = F.translate(F.btrim(F.coalesce(path, F.lit(""))), "\\", "/")
+    parts = F.filter(F.split(slashed, "/"), lambda p: ~p.isin("", "."))
+    root = F.startswith(slashed, F.lit("/"))
+    last = lambda a: F.try_element_at(a, F.lit(-1))
+    held = lambda a: (F.size(a) > 0) & (last(a) != "..")
+    step = lambda a, p: F.when(p != "..", F.array_append(a, p)).when(held(a), F.slice(a, 1, F.size(a) - 1)).when(root, a).otherwise(F.array_append(a, p))
+    kept = F.aggregate(parts, F.array().cast("array<string>"), step)
+    return F.concat(F.when(root, "/").otherwise(""), F.array_join(kept, "/"))
 
 
 def _escapes(path: Column) -> Column:
-    return path.rlike(r"^/|^\.\.$|^\.\./|/\.\.(?:/|$)")
+    """Whether a path of _plain() leaves its root."""
+    return path.rlike(r"^/|^\.\.(?:/|$)")
 
 
 def _repeats(keys: Column) -> Column:
@@ -50,8 +58,8 @@ def _repeats(keys: Column) -> Column:
     return F.array_distinct(F.filter(keys, lambda k: F.size(F.filter(keys, lambda x: x == k)) > 1))
 
 
-def lecture_errors(manifests: DataFrame) -> DataFrame:
-    """Error rows of lecture manifests, a table of LECTURE."""
+def lecture_errors(manifests: DataFrame, as_of_year: int | None = None) -> DataFrame:
+    """Error rows of lecture manifests, a table of LECTURE. With as_of_year, exam years go from FIRST_YEAR to the year after it."""
     none = F.lit(None).cast("string")
     names = F.transform("recording_sources", lambda n: F.lower(F.btrim(n)))
     uploads = F.transform(F.coalesce("approved_uploads", F.array().cast("array<string>")), _plain)
@@ -70,7 +78,7 @@ def lecture_errors(manifests: DataFrame) -> DataFrame:
     each = _told(sources, [
         (other, "assessment_type", F.col("path")), (exam & ~year & ~years, "exam_without_year", F.col("path")), (~exam & (year | years), "year_on_other_type", F.col("path")),
         (year & years & (F.array_sort(F.array_distinct(F.transform("years", lambda y: F.btrim(y)))) != F.array(F.btrim("year"))), "year_conflict", F.col("path")),
-        (exam & F.exists(digits, lambda y: ~y.rlike(r"^\d{4}$")), "year_not_a_number", F.col("path")), (_escapes(F.col("p")) | ~F.col("p").rlike("^Questions(?:/|$)"), "assessment_outside", F.col("path")),
+        (exam & F.exists(digits, lambda y: ~y.rlike(r"^\d+$")), "year_not_a_number", F.col("path")), (exam & F.exists(digits, lambda y: y.rlike(r"^\d+$") & ~F.coalesce(y.try_cast("int").between(FIRST_YEAR, (as_of_year or 9998) + 1), F.lit(False))), "year_out_of_range", F.col("path")), (_escapes(F.col("p")) | ~F.col("p").rlike("^Questions(?:/|$)"), "assessment_outside", F.col("path")),
     ])
     refs = manifests.select("manifest_id", F.explode("references").alias("s")).select("manifest_id", "s.path").withColumn("p", _plain(F.col("path")))
     more = _told(refs, [(F.col("p") == "", "reference_without_path", F.col("path")), ((F.col("p") != "") & (_escapes(F.col("p")) | ~F.col("p").rlike("^(?:Lecture|Questions)/")), "reference_outside", F.col("path"))])

@@ -2,16 +2,46 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fascicle import schema
 
+#: Bytes of a file that are read at a time.
+BLOCK = 1 << 20
 
-def files(spark: SparkSession, root: str, pattern: str = "*") -> DataFrame:
-    """(path, size, modified, sha256) of files below root; hidden parts are left out."""
+
+def files(spark: SparkSession, root: str, pattern: str = "*", hashes: bool = True) -> DataFrame:
+    """(path, size, modified, sha256) of files below root; hidden parts are left out.
+
+    Files that executors can open are hashed in reads of BLOCK bytes, whatever their size;
+    others by Spark, which takes up to 2 GB each. Without ``hashes`` no content is read.
+    """
     rows = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", pattern).load(root)
-    return rows.where(~F.col("path").rlike(r"/\.[^/]")).select("path", F.col("length").alias("size"), F.col("modificationTime").alias("modified"), F.sha2("content", 256).alias("sha256"))
+    rows = rows.where(~F.col("path").rlike(r"/\.[^/]"))
+    own = ["path", F.col("length").alias("size"), F.col("modificationTime").alias("modified")]
+    if not hashes:
+        return rows.select(*own)
+    if spark.sparkContext._jvm.org.apache.hadoop.fs.Path(root).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getScheme() != "file":
+        return rows.select(*own, F.sha2("content", 256).alias("sha256"))
+
+    def run(batches):
+        import hashlib
+        from urllib.parse import unquote, urlsplit
+
+        for b in batches:
+            digests = []
+            for path in b.column(0).to_pylist():
+                digest = hashlib.sha256()
+                with open(unquote(urlsplit(path).path), "rb") as file:
+                    while block := file.read(BLOCK):
+                        digest.update(block)
+                digests.append(digest.hexdigest())
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(digests, pa.string())], names=[*b.schema.names, "sha256"])
+
+    listed = rows.select(*own)
+    return listed.mapInArrow(run, listed.withColumn("sha256", F.lit("")).schema)
 
 
 def transcripts(spark: SparkSession, root: str) -> DataFrame:
@@ -26,13 +56,15 @@ def json_rows(spark: SparkSession, path: str, ddl: str) -> DataFrame:
 
 
 def inventory(payloads: DataFrame, column: str = "payload") -> DataFrame:
-    """remote_sources of JSON payloads: a list, or a list under sources, items, data or results."""
-    names = "id string, source_id string, title string, name string, display_name string, source_name string, notebook_uuid string, sha256 string, hash string, checksum string, status string"
-    lists = [F.from_json(column, f"array<struct<{', '.join(n.replace(' ', ':') for n in names.split(', '))}>>")]
-    lists += [F.from_json(F.get_json_object(column, f"$.{k}"), f"array<struct<{', '.join(n.replace(' ', ':') for n in names.split(', '))}>>") for k in ("sources", "items", "data", "results")]
-    rows = payloads.select(F.explode(F.coalesce(*[F.when(F.size(x) > 0, x) for x in lists])).alias("s"))
-    pick = lambda *c: F.coalesce(*[F.nullif(F.btrim(f"s.{x}"), F.lit("")) for x in c], F.lit(""))
-    out = rows.select(pick("source_id", "id").alias("source_id"), pick("title", "name", "display_name", "source_name").alias("title"), pick("notebook_uuid").alias("notebook_uuid"), pick("sha256", "hash", "checksum").alias("content_hash"), pick("status").alias("status"))
+    """remote_sources of JSON payloads of any shape that payloads.entries() knows; a source's own notebook counts."""
+    from fascicle.sources import payloads as shapes
+
+    rows = shapes.entries(payloads.withColumn("__none", F.lit(None).cast("string")), "__none", column).where("place IS NOT NULL")
+    s = F.col("source")
+    out = rows.select(
+        shapes.first_text(s, ("source_id", "id")).alias("source_id"), F.btrim(shapes.first_text(s, shapes.TITLES)).alias("title"), shapes.first_text(s, ("notebook_uuid",)).alias("notebook_uuid"),
+        shapes.first_text(s, shapes.HASHES).alias("content_hash"), shapes.status(s).alias("status"),
+    )
     return out.where("title <> ''")
 
 
