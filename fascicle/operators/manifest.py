@@ -74,14 +74,15 @@ def lecture_errors(manifests: DataFrame, as_of_year: int | None = None) -> DataF
     sources = manifests.select("manifest_id", F.explode("assessment_sources").alias("s")).select("manifest_id", "s.*").withColumn("p", _plain(F.col("path")))
     year, years, exam = F.col("year").isNotNull(), F.col("years").isNotNull(), F.col("type") == "past_exam"
     digits = F.transform(F.array_union(F.array_compact(F.array("year")), F.coalesce("years", F.array().cast("array<string>"))), lambda y: F.btrim(y))
-    other = ~F.coalesce(F.col("type").isin(*ASSESSMENTS), F.lit(False)) | (F.col("p") == "")
+    blank = F.btrim(F.coalesce("path", F.lit(""))) == ""
+    other = ~F.coalesce(F.col("type").isin(*ASSESSMENTS), F.lit(False)) | blank
     each = _told(sources, [
         (other, "assessment_type", F.col("path")), (exam & ~year & ~years, "exam_without_year", F.col("path")), (~exam & (year | years), "year_on_other_type", F.col("path")),
         (year & years & (F.array_sort(F.array_distinct(F.transform("years", lambda y: F.btrim(y)))) != F.array(F.btrim("year"))), "year_conflict", F.col("path")),
         (exam & F.exists(digits, lambda y: ~y.rlike(r"^\d+$")), "year_not_a_number", F.col("path")), (exam & F.exists(digits, lambda y: y.rlike(r"^\d+$") & ~F.coalesce(y.try_cast("int").between(FIRST_YEAR, (as_of_year or 9998) + 1), F.lit(False))), "year_out_of_range", F.col("path")), (_escapes(F.col("p")) | ~F.col("p").rlike("^Questions(?:/|$)"), "assessment_outside", F.col("path")),
     ])
     refs = manifests.select("manifest_id", F.explode("references").alias("s")).select("manifest_id", "s.path").withColumn("p", _plain(F.col("path")))
-    more = _told(refs, [(F.col("p") == "", "reference_without_path", F.col("path")), ((F.col("p") != "") & (_escapes(F.col("p")) | ~F.col("p").rlike("^(?:Lecture|Questions)/")), "reference_outside", F.col("path"))])
+    more = _told(refs, [(blank, "reference_without_path", F.col("path")), (~blank & (_escapes(F.col("p")) | ~F.col("p").rlike("^(?:Lecture|Questions)/")), "reference_outside", F.col("path"))])
     again = [rows.groupBy("manifest_id", F.lower("p").alias("subject")).agg(F.count("*").alias("n")).where("n > 1 AND subject <> ''").select("manifest_id", F.lit(code).alias("code"), "subject") for rows, code in ((sources, "repeated_assessment"), (refs, "repeated_reference"))]
     return _union([head, each, more, *again])
 
