@@ -1,7 +1,8 @@
 """Keys, stems, years, hashes: scalar column functions.
 
-ASCII values never leave the JVM; only values beyond ASCII take the Arrow path, as Spark has no
-NFKC and no case folding.
+Spark has no NFKC and no case folding, so values beyond ASCII take an Arrow path. Spark calls a
+Python function for every row whatever stands around it, so ASCII values are given to it as
+nulls, and a batch of nulls is handed back as it is.
 """
 
 from __future__ import annotations
@@ -25,7 +26,10 @@ def _arrow(plain):
 
     def udf(batches):
         for values in batches:
-            yield pa.array([None if v is None else plain(v) for v in values.to_pylist()], pa.string())
+            if values.null_count == len(values):
+                yield pa.nulls(len(values), pa.string())
+            else:
+                yield pa.array([None if v is None else plain(v) for v in values.to_pylist()], pa.string())
 
     udf.__annotations__ = {"batches": Iterator[pa.Array], "return": Iterator[pa.Array]}
     return F.arrow_udf(udf, StringType())
@@ -43,9 +47,15 @@ _fold = _arrow(_folded)
 _fold_text = _arrow(_folded_text)
 
 
+def _by_form(value: Column, ascii: Column, other) -> Column:
+    """``ascii`` for ASCII values, else what the Python function makes of the value."""
+    plain = value.rlike(r"^\p{ASCII}*\z")
+    return F.when(plain, ascii).otherwise(other(F.when(~plain, value)))
+
+
 def fold(value: Column) -> Column:
     """NFKC, ASCII digits, case folded."""
-    return F.when(value.rlike(r"^\p{ASCII}*$"), F.lower(value)).otherwise(_fold(value))
+    return _by_form(value, F.lower(value), _fold)
 
 
 def basename(path: Column) -> Column:
@@ -145,7 +155,7 @@ def first_uuid(value: Column) -> Column:
 
 def identity(value: Column) -> Column:
     """NFKC without white space around, case folded, slashes one way; digits stay."""
-    plain = F.when(value.rlike(r"^\p{ASCII}*$"), F.lower(F.btrim(value, F.lit(" \t\n\x0b\f\r\x1c\x1d\x1e\x1f")))).otherwise(_fold_text(value))
+    plain = _by_form(value, F.lower(F.btrim(value, F.lit(" \t\n\x0b\f\r\x1c\x1d\x1e\x1f"))), _fold_text)
     return F.translate(plain, "\\", "/")
 
 

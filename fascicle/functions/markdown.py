@@ -11,6 +11,8 @@ BADGE = r"(?i)\*{0,2}\[(?:IMP|Question Bank|Past Exams[^\]]*|Past year from doct
 #: Section kinds and the headings that open their blocks.
 KINDS = {"mcq": r"MCQ", "written": r"Question", "case": r"(?:Clinical )?Case"}
 _QUOTE = r"(?:[ \t]*>[ \t]*)?"
+#: The callout that opens a case, and a case's heading in it.
+TIP, TIP_CASE = r"(?md)^[ \t]*>[ \t]*\[!TIP\][ \t]*$", r"\*\*🩺 Clinical Case\s+(\d+):\*\*"
 
 
 def sections(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -24,14 +26,19 @@ def blocks(answers: DataFrame, text_col: str = "answer", kind_col: str = "kind")
     """answers exploded to ordered blocks: ordinal, number, block.
 
     A block opens with a level-3 heading of its kind and ends before the next level-3 heading.
+    Cases without such a heading are the TIP callouts, each to the next; its number is that of
+    its own bold heading.
     """
     pieces = F.split(F.coalesce(F.col(text_col), F.lit("")), rf"(?md)^(?={_QUOTE}### )")
     opens = F.when(F.lit(False), F.lit(None).cast("string"))
     for kind, heading in KINDS.items():
         opens = opens.when(F.col(kind_col) == kind, F.lit(rf"^{_QUOTE}### {heading}\s+\d+"))
     own = F.filter(pieces, lambda p: F.coalesce(F.regexp_like(p, opens), F.lit(False)))
+    tips = F.filter(F.slice(F.split(F.coalesce(F.col(text_col), F.lit("")), TIP), 2, 1 << 30), lambda p: p.rlike(r"\S"))
+    own = F.when((F.col(kind_col) == "case") & (F.size(own) == 0), tips).otherwise(own)
     out = answers.select("*", F.posexplode(own).alias("__at", "block"))
-    number = F.regexp_extract("block", rf"^{_QUOTE}### [^\n]*?(\d+)", 1)
+    number = F.regexp_extract("block", rf"^{_QUOTE}### [^\n]*?(\d+)|{TIP_CASE}", 1)
+    number = F.when(number == "", F.regexp_extract("block", TIP_CASE, 1)).otherwise(number)
     return out.withColumn("ordinal", F.col("__at") + 1).withColumn("number", F.when(number == "", "?").otherwise(number)).drop("__at", text_col)
 
 

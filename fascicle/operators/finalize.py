@@ -49,6 +49,7 @@ def normalized(block: Column, kind: Column) -> Column:
     lines = F.filter(F.transform(F.split(block, "\n"), lambda x: rewrite.strip(x)), lambda x: ~x.isin(TIP, "[!TIP]"))
     case = F.regexp_replace(rewrite.strip(F.array_join(F.transform(lines, lambda x: F.regexp_replace(x, "^> ?", "")), "\n")), cited, "")
     case = F.regexp_replace(F.regexp_replace(case, r"(?md)^\*\*🩺 Clinical Case\s+(\d+):\*\*", "### Clinical Case $1"), r"(?md)^### Case\s+(\d+)", "### Clinical Case $1")
+    case = F.when(case.rlike("(?md)^### "), case).otherwise(F.concat(F.lit("### Clinical Case 0\n"), case))  # merging numbers it
     out = F.when(kind == "mcq", _listed(_labelled(plain, "mcq"))).when(kind == "written", _labelled(plain, "written")).when(kind == "case", _labelled(case, "case"))
     return rewrite.strip(F.coalesce(out, plain))
 
@@ -102,7 +103,9 @@ def normalize_answers(answers: DataFrame, catalog: DataFrame | None = None) -> D
     merged = merged_text(merge.merge_questions(question_blocks(answers, catalog)))
     joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("number", "text"))), lambda x: x["text"]), "\n\n")
     made = merged.groupBy("doc_id", "kind").agg(joined.alias("__made"))
-    lead = F.nullif(rewrite.strip(F.regexp_extract("answer", r"(?ds)^(.*?)(?:(?:^|\n)(?:[ \t]*>[ \t]*)?### .*)?$", 1)), F.lit(""))
+    before = lambda opens: F.regexp_extract("answer", rf"(?ds)^(.*?)(?:(?:^|\n)(?:[ \t]*>[ \t]*)?(?:{opens}).*)?$", 1)
+    lead = F.when((F.col("kind") == "case") & ~F.col("answer").rlike(rf"(?md)^(?:[ \t]*>[ \t]*)?### {markdown.KINDS['case']}\s+\d+"), before(r"\[!TIP\]")).otherwise(before("### "))
+    lead = F.nullif(rewrite.strip(lead), F.lit(""))
     return answers.join(made, ["doc_id", "kind"], "left").withColumn("answer", F.when(F.col("__made").isNull(), F.col("answer")).otherwise(F.concat_ws("\n\n", lead, "__made"))).drop("__made")
 
 
@@ -117,11 +120,12 @@ def student_text(draft: Column) -> Column:
     return F.concat(rewrite.table_spacing(rewrite.cleaned(markdown.strip_evidence(draft))), F.lit("\n"))
 
 
-def finalize(drafts: DataFrame, as_of_year: int, catalog: DataFrame | None = None) -> DataFrame:
+def finalize(drafts: DataFrame, as_of_year: int, catalog: DataFrame | None = None, profiles: DataFrame | None = None) -> DataFrame:
     """(doc_id, text, errors array<struct<kind,number,code,message>>) of drafts (doc_id, text); text is null where there are errors.
 
     Question sections are merged and numbered, checked by the editorial and (with a catalog)
-    provenance rules, stripped of evidence, and checked as a whole document.
+    provenance rules, stripped of evidence, and checked as a whole document. With ``profiles``
+    (doc_id, profile) IMP questions keep to the exam's style.
     """
     kind = F.when(F.contains("heading", F.lit("MCQ")), "mcq").when(F.contains("heading", F.lit("Written")), "written").when(F.contains("heading", F.lit("Case")), "case").otherwise(F.concat(F.lit("section "), F.col("section_no").cast("string")))
     parts = markdown.sections(drafts).withColumn("kind", kind)
@@ -133,6 +137,8 @@ def finalize(drafts: DataFrame, as_of_year: int, catalog: DataFrame | None = Non
     rules = [validate.review_rules(reviewed.withColumnRenamed("draft", "text")), validate.option_rules(blocks), validate.ocr_rules(blocks), validate.length_rules(blocks), validate.duplicate_rules(blocks), validate.badge_rules(blocks, as_of_year)]
     if catalog is not None:
         rules.append(provenance.provenance_rules(blocks.where("kind <> 'case'"), catalog))
+    if profiles is not None:
+        rules.append(validate.style_rules(blocks, profiles))
     final = reviewed.select("doc_id", student_text(F.col("draft")).alias("text"))
     found = validate.union([*rules, validate.document_rules(final)]).groupBy("doc_id").agg(F.array_sort(F.collect_set(F.struct("kind", "number", "code", "message"))).alias("errors"))
     out = final.join(found, "doc_id", "left")

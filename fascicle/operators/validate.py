@@ -115,6 +115,32 @@ def length_rules(blocks: DataFrame) -> DataFrame:
     return errors(blocks.where("kind IN ('written', 'case')"), F.length("model_answer") > base + 1000 * (parts - 1), "long_answer", "the model answer is too long")
 
 
+#: Words of a stem that make it a clinical vignette (fixed values), and the longest short, direct stem.
+VIGNETTE, DIRECT_WORDS = ("patient", "brought to", "emergency department", "on examination", "scenario"), 20
+
+
+def style_rules(blocks: DataFrame, profiles: DataFrame) -> DataFrame:
+    """IMP questions against their document's observed exam style, (doc_id, profile) of JSON texts.
+
+    The profile's mcq.max_stem_words (a whole number) bounds a stem; a register that says short
+    direct forbids stems of over DIRECT_WORDS words and vignettes. A profile without these, or
+    one that isn't JSON, asks for nothing.
+    """
+    v = F.try_parse_json("profile")
+    most = F.try_variant_get(v, "$.mcq.max_stem_words", "variant")
+    whole = F.when(F.schema_of_variant(most).isin("BIGINT", "INT", "SMALLINT", "TINYINT"), F.try_variant_get(v, "$.mcq.max_stem_words", "long"))
+    read = profiles.select("doc_id", whole.alias("__most"), F.lower(F.coalesce(F.try_variant_get(v, "$.mcq.register", "string"), F.lit(""))).alias("__register"))
+    rows = blocks.where((F.col("kind") == "mcq") & F.col("is_imp")).join(read, "doc_id")
+    rows = rows.withColumn("__words", F.regexp_count("question", F.lit("[A-Za-z0-9]+")))
+    direct = F.contains("__register", F.lit("short direct"))
+    vignette = F.lower("question").rlike("|".join(VIGNETTE))
+    return union([
+        errors(rows, F.col("__words") > F.col("__most"), "imp_stem_length", "the stem is longer than the exam's"),
+        errors(rows, direct & (F.col("__words") > DIRECT_WORDS), "imp_stem_style", "the stem is too long for short, direct questions"),
+        errors(rows, direct & vignette, "imp_vignette", "a clinical vignette, which the exam has none of"),
+    ])
+
+
 def duplicate_rules(blocks: DataFrame) -> DataFrame:
     """Repeats of an earlier block, and one stem with different answers."""
     same = Window.partitionBy("doc_id", "kind", "fingerprint", "is_imp").orderBy("ordinal")

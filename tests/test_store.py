@@ -154,3 +154,43 @@ def test_paths_pages_and_slugs(spark):
     assert tuple(row.first()) == ([2, 3], ["1-999999999", "5-4"], "heart_failure-2")
     years = spark.createDataFrame([("m", ["a"], None, '{"a":1}', [("Questions/a", "past_exam", "9999", None), ("Questions/x/../b", "past_exam", "2020", None), ("Questions/c", "past_exam", "1999", None), ("Questions/d", "past_exam", "2026", None)], None)], manifest.LECTURE)
     assert sorted((r.code, r.subject) for r in manifest.lecture_errors(years, 2025).collect()) == [("year_out_of_range", "Questions/a"), ("year_out_of_range", "Questions/c")]
+
+
+def test_ascii_values_are_not_given_to_python(spark):
+    def only_others(value):
+        if value.isascii():
+            raise AssertionError("an ASCII value")
+        return value.casefold()
+
+    rows = spark.createDataFrame([("Plain",), ("ÉTÉ",), (None,), ("",), ("Line\n",)], "s string")
+    out = rows.select(keys._by_form(F.col("s"), F.lower("s"), keys._arrow(only_others)).alias("k")).collect()
+    assert [r.k for r in out] == ["plain", "été", None, "", "line\n"]
+
+
+def test_tip_cases_are_merged_and_numbered(spark):
+    from fascicle.functions import markdown
+    from fascicle.operators import finalize
+
+    tip = lambda n, s, src: f"> [!TIP]\n> **🩺 Clinical Case {n}:** **[IMP]**\n> **Scenario:** {s}\n> **Questions:** what?\n> **Source:** {src}\n> **Model Answer (Short):** rest [3]\n"
+    answer = "Lead\n\n" + tip(4, "A man falls.", "a.pdf") + "\n" + tip(9, "A man falls.", "b.pdf") + "\n" + tip(2, "A child coughs.", "c.pdf")
+    rows = spark.createDataFrame([("d", "case", answer), ("e", "guide", "> [!TIP]\n> keep me"), ("f", "case", "### Case 3\n**Scenario:** x\n> [!TIP]\n> inside")], "doc_id string, kind string, answer string")
+    found = markdown.blocks(rows)
+    assert sorted((r.doc_id, r.number) for r in found.collect()) == [("d", "2"), ("d", "4"), ("d", "9"), ("f", "3")]
+    out = {r.doc_id: r.answer for r in finalize.normalize_answers(rows).collect()}
+    assert out["e"] == "> [!TIP]\n> keep me" and "> " not in out["d"] and "[!TIP]" not in out["d"] and "[3]" not in out["d"]
+    heads = re.findall(r"(?m)^### .*$", out["d"])
+    assert [h.split(" **")[0] for h in heads] == ["### Clinical Case 1", "### Clinical Case 2"] and out["d"].startswith("Lead\n\n")
+    assert "**Source:** a.pdf\n**Source:** b.pdf" in out["d"] and out["f"].startswith("### Clinical Case 1")
+
+
+def test_style_rules_follow_the_profile(spark):
+    from fascicle.functions import markdown
+    from fascicle.operators import validate
+
+    long = " ".join(f"w{i}" for i in range(22))
+    block = lambda i, q, badge="**[IMP]**": ("d", "mcq", i, str(i), f"### MCQ {i} {badge}\n**Question:** {q}\n**Options:** a. x b. y\n")
+    rows = markdown.with_fields(spark.createDataFrame([block(1, long), block(2, "A patient was Brought to you"), block(3, "Name it"), block(4, long, "**[Question Bank]**")], "doc_id string, kind string, ordinal int, number string, block string"))
+    told = lambda profile: sorted((r.number, r.code) for r in validate.style_rules(rows, spark.createDataFrame([("d", profile)], "doc_id string, profile string")).collect())
+    assert told('{"mcq": {"max_stem_words": 3}}') == [("1", "imp_stem_length"), ("2", "imp_stem_length")]
+    assert told('{"mcq": {"register": "Short Direct recall", "max_stem_words": 25}}') == [("1", "imp_stem_style"), ("2", "imp_vignette")]
+    assert told('{"mcq": {"max_stem_words": "3"}}') == told("{}") == told("no json") == told(None) == []
