@@ -3,9 +3,8 @@
 Regular expressions propose spans of six kinds: email, ip, card, phone, iban, ssn. Validators
 confirm them: parts of an ip are at most 255, a card has 16 to 19 digits and passes Luhn, a
 phone has 8 to 15 digits, an iban passes mod-97. A span's score starts from its kind, rises
-with a checksum and with a context word before it, and stays in 0 to 1. The context is at most
-40 characters and ends at the previous match of the same pattern; nothing after a span is read. An
-iban is one run: groups parted by spaces are not proposed. The SQL fixes both.
+with a checksum and with a context word within CONTEXT characters before or after it, and stays
+in 0 to 1. An iban is one run of letters and digits: groups parted by spaces are not proposed.
 The first four kinds are always kept once valid; iban and ssn are added from ``least`` on, which
 an iban reaches by its checksum and an ssn by its context only.
 
@@ -32,6 +31,8 @@ KINDS = {
 }
 BASE = ("email", "ip", "card", "phone")
 LEAST = 0.8
+#: Characters on either side of a span that its context words are looked for in.
+CONTEXT = 40
 
 
 def digits(text: Column) -> Column:
@@ -61,17 +62,22 @@ def _valid(kind: str, m: Column) -> Column:
 def find(docs: DataFrame, least: float = LEAST, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, spans array<struct<kind,rank,lo,hi,score>>): all spans of every row, by kind, then start."""
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    proposed = docs.select(F.col(id_col), *[spans(text, p).alias(f"__{k}") for k, (p, _, _) in KINDS.items()])
+    proposed = docs.select(F.col(id_col), *[spans(text, p, context=CONTEXT).alias(f"__{k}") for k, (p, _, _) in KINDS.items()])
     parts = [_scored(rank, kind, least) for rank, kind in enumerate(KINDS)]
     return proposed.select(id_col, F.flatten(F.array(*parts)).alias("spans"))
 
 
+def _start(kind: str, score: float) -> int:
+    """Hundredths of a confirmed span's score without its context."""
+    return round(100 * score) + (40 if kind in ("card", "iban") else 0)
+
+
 def _scored(rank: int, kind: str, least: float) -> Column:
     """A kind's confirmed spans with their scores."""
     _, start, words = KINDS[kind]
-    start += 0.4 if kind in ("card", "iban") else 0.0
-    near = lambda r: F.lower(r["before"]).rlike(rf"(?:^|[^a-z])(?:{words})")
-    score = lambda r: F.round(F.least(F.lit(1.0), F.lit(start) + F.when(near(r), 0.3).otherwise(0.0)), 2)
+    word = rf"(?:^|[^a-z])(?:{words})"
+    near = lambda r: F.lower(r["before"]).rlike(word) | F.lower(r["after"]).rlike(word)
+    score = lambda r: F.least(F.lit(100), F.lit(_start(kind, start)) + F.when(near(r), 30).otherwise(0)) / 100
     shape = lambda r: F.struct(F.lit(kind).alias("kind"), F.lit(rank).alias("rank"), r["lo"].alias("lo"), r["hi"].alias("hi"), score(r).alias("score"))
     made = F.transform(F.filter(f"__{kind}", lambda r: _valid(kind, r["m"])), shape)
     return made if kind in BASE else F.filter(made, lambda r: r["score"] >= least)
@@ -85,36 +91,36 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = find(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     base = F.filter("spans", lambda r: r["kind"].isin(*BASE))
     counts = [count(k).alias(f"n_{k}") for k in BASE]
-    return found.select("doc_id", *counts, F.sha2(joined(base, "rank", "lo").cast("binary"), 256).alias("base_sha256"), joined(F.col("spans"), "rank", "lo").alias("spans"))
+    return found.select("doc_id", *counts, F.sha2(joined(base, "rank", "lo").cast("binary"), 256).alias("base_sha256"), joined(F.col("spans"), "rank", "lo").alias("spans"), F.array_join(F.transform("spans", lambda r: F.round(r["score"] * 100).cast("int").cast("string")), ",").alias("scores"))
 
 
 def sql_spans(kind: str, rank: int, pattern: str, where: str, source: str = "d", more: str = "") -> str:
-    """SQL for rows (doc_id, kind, rank, lo, hi, m) of a pattern's matches for which ``where`` holds."""
+    """SQL for rows (doc_id, kind, rank, lo, hi, m, before, after) of a pattern's matches for which ``where`` holds."""
     p = pattern.replace("'", "''")
-    return f"""SELECT doc_id, '{kind}' AS kind, {rank} AS rank, lo, lo + length(m) AS hi, m, before{more and ', v'} FROM (
-  SELECT doc_id, ms[i] AS m, right(ps[i], 40) AS before, (list_sum(list_transform(ps[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(ms[1:i - 1], lambda x: length(x))), 0))::BIGINT AS lo{more}
+    return f"""SELECT doc_id, '{kind}' AS kind, {rank} AS rank, lo, lo + length(m) AS hi, m, substr(t, greatest(lo - {CONTEXT}, 0) + 1, least(lo, {CONTEXT})) AS before, substr(t, lo + length(m) + 1, {CONTEXT}) AS after{more and ', v'} FROM (
+  SELECT doc_id, t, ms[i] AS m, (list_sum(list_transform(ps[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(ms[1:i - 1], lambda x: length(x))), 0))::BIGINT AS lo{more}
   FROM (SELECT *, unnest(range(1, len(ms) + 1)) AS i FROM (SELECT doc_id, t, regexp_extract_all(t, '{p}') AS ms, string_split_regex(t, '{p}') AS ps{', ' + f"regexp_extract_all(t, '{p}', 2) AS vs" if more else ''} FROM {source}))) WHERE {where}"""
 
 
 _DIGITS = "regexp_replace(m, '[^0-9]', '', 'g')"
 _LUHN = f"list_sum(list_transform(range(1, length({_DIGITS}) + 1), lambda j: CASE WHEN j % 2 = 1 THEN substr(reverse({_DIGITS}), j, 1)::INT ELSE (2 * substr(reverse({_DIGITS}), j, 1)::INT) % 10 + (2 * substr(reverse({_DIGITS}), j, 1)::INT) // 10 END)) % 10 = 0"
-_IBAN = "list_reduce(list_prepend(0, list_transform(string_split(substr(replace(m, ' ', ''), 5) || substr(replace(m, ' ', ''), 1, 4), ''), lambda c: CASE WHEN c BETWEEN '0' AND '9' THEN ascii(c) - 48 ELSE ascii(c) - 55 END)), lambda a, v: CASE WHEN v < 10 THEN (a * 10 + v) % 97 ELSE (a * 100 + v) % 97 END) = 1"
+_IBAN = "list_reduce(list_prepend(0, list_transform(string_split(substr(m, 5) || substr(m, 1, 4), ''), lambda c: CASE WHEN c BETWEEN '0' AND '9' THEN ascii(c) - 48 ELSE ascii(c) - 55 END)), lambda a, v: CASE WHEN v < 10 THEN (a * 10 + v) % 97 ELSE (a * 100 + v) % 97 END) = 1"
+_NEAR = " ".join(f"WHEN '{kind}' THEN {_start(kind, start)} + CASE WHEN regexp_matches(lower(before), '(?:^|[^a-z])(?:{words})') OR regexp_matches(lower(after), '(?:^|[^a-z])(?:{words})') THEN 30 ELSE 0 END" for kind, (_, start, words) in KINDS.items())
 
 SQL = f"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
-s AS (
+p AS (
 {sql_spans('email', 0, '[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:[.][A-Za-z0-9-]+)+', 'true')}
 UNION ALL {sql_spans('ip', 1, '[0-9]+(?:[.][0-9]+)(?:[.][0-9]+)(?:[.][0-9]+)', f"regexp_full_match(m, '{_BYTE}(?:[.]{_BYTE}){{3}}')")}
 UNION ALL {sql_spans('card', 2, '[0-9](?:[ -]?[0-9])+', f"CASE WHEN length({_DIGITS}) BETWEEN 16 AND 19 THEN {_LUHN} ELSE false END")}
 UNION ALL {sql_spans('phone', 3, '[+][0-9][ ().0-9-]+[0-9]', f"length({_DIGITS}) BETWEEN 8 AND 15")}
 UNION ALL {sql_spans('iban', 4, '[A-Za-z0-9]+', "CASE WHEN regexp_full_match(m, '[A-Z]{2}[0-9]{2}[A-Z0-9]{11,30}') THEN " + _IBAN + " ELSE false END")}
-UNION ALL SELECT doc_id, kind, rank, lo, hi, m, before FROM (
-  SELECT x.*, t, greatest(lo - 40, lag(hi, 1, 0) OVER (PARTITION BY doc_id ORDER BY lo)) AS a0
-  FROM ({sql_spans('ssn', 5, '[0-9-]+', "regexp_full_match(m, '[0-9]{3}-[0-9]{2}-[0-9]{4}')")}) x JOIN d USING (doc_id))
-  WHERE regexp_matches(lower(substr(t, a0 + 1, lo - a0)), '(?:^|[^a-z])(?:ssn|social security)')
-)
+UNION ALL {sql_spans('ssn', 5, '[0-9-]+', "regexp_full_match(m, '[0-9]{3}-[0-9]{2}-[0-9]{4}')")}),
+s AS (SELECT *, least(100, CASE kind {_NEAR} END) AS score FROM p),
+k AS (SELECT * FROM s WHERE rank < 4 OR score >= {round(100 * LEAST)})
 SELECT d.doc_id, count(*) FILTER (WHERE kind = 'email') AS n_email, count(*) FILTER (WHERE kind = 'ip') AS n_ip, count(*) FILTER (WHERE kind = 'card') AS n_card, count(*) FILTER (WHERE kind = 'phone') AS n_phone,
   sha256(coalesce(string_agg(kind || ':' || lo || ':' || hi, ',' ORDER BY rank, lo) FILTER (WHERE rank < 4), '')) AS base_sha256,
-  coalesce(string_agg(kind || ':' || lo || ':' || hi, ',' ORDER BY rank, lo) FILTER (WHERE kind IS NOT NULL), '') AS spans
-FROM d LEFT JOIN s USING (doc_id) GROUP BY d.doc_id
+  coalesce(string_agg(kind || ':' || lo || ':' || hi, ',' ORDER BY rank, lo) FILTER (WHERE kind IS NOT NULL), '') AS spans,
+  coalesce(string_agg(score::VARCHAR, ',' ORDER BY rank, lo) FILTER (WHERE kind IS NOT NULL), '') AS scores
+FROM d LEFT JOIN k USING (doc_id) GROUP BY d.doc_id
 """

@@ -68,3 +68,37 @@ def test_exceptions_take_time_in_proportion():
     began = time.process_time()
     lexicon.score("trash can x " * 100_000)
     assert time.process_time() - began < 4
+
+
+def test_context_on_both_sides(spark, monkeypatch):
+    import re
+
+    from pyspark.sql import functions as F
+
+    from fascicle.llm import native, pii
+
+    monkeypatch.setattr(native, "PIECE", 64)
+    parts = ["123-45-6789", "987-65-4321", " ssn ", "é", "😀", " or ", "xssn", "-", "a@b.co", " Mail ", "lorem ipsum dolor sit amet ", "\n", "10.0.0.1", "social security"]
+    texts = ["".join(rng.choice(parts) for _ in range(rng.randint(0, 40))) for _ in range(250)] + [None, "", "123-45-6789 (SSN)", "ssn" + "." * 38 + "123-45-6789", "ssn" + "." * 37 + " 123-45-6789"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = docs.select("doc_id", native.spans(F.coalesce("text", F.lit("")), r"[0-9]{3}", context=40).alias("s")).collect()
+    for r in found:
+        t = texts[r.doc_id] or ""
+        assert [tuple(x) for x in r.s] == [(m.start(), m.end(), m[0], t[max(0, m.start() - 40) : m.start()], t[m.end() : m.end() + 40]) for m in re.finditer("[0-9]{3}", t)]
+    scores = {r.doc_id: {(s.kind, s.lo): s.score for s in r.spans} for r in pii.find(docs).collect()}
+    for i, t in enumerate(texts):
+        t = t or ""
+        near = lambda m, words: any(re.search(rf"(?:^|[^a-z])(?:{words})", x.lower()) for x in (t[max(0, m.start() - 40) : m.start()], t[m.end() : m.end() + 40]))  # noqa: B023, E731
+        want = {("ssn", m.start()): 0.8 for m in re.finditer(r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])", t) if near(m, "ssn|social security")}
+        assert {k: v for k, v in scores[i].items() if k[0] == "ssn"} == want
+
+
+def test_repositories_tell_copies_from_live_values(spark):
+    from fascicle.llm import secrets
+
+    live, template, spread = "Zx9kQ2mLp4Rt7Vb1Nc8Ws3Yd", "Qa1Ws2Ed3Rf4Tg5Yh6Uj7Ik8", "Mn1Bv2Cx3Za4Sd5Fg6Hj7Kl8"
+    rows = [(1, f"k {live}", "acme/a"), (2, f"k {live}", "acme/b"), *[(10 + i, f"k {template}", f"acme/r{i}") for i in range(10)], *[(30 + i, f"token={spread}", f"o{i}/r") for i in range(3)], (40, "token=abcdefghijkl", None)]
+    out = {r.doc_id: [(s.kind, s["class"], s.repos, s.owners) for s in r.spans] for r in secrets.scan(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()}
+    assert out[1] == out[2] == [("live", "live", 2, 1)]
+    assert all(out[10 + i] == [] for i in range(10))  # one owner's template in ten repositories: no live token
+    assert all(out[30 + i] == [("assign", "copied", 3, 3)] for i in range(3)) and out[40] == [("assign", "unclear", 1, 1)]
