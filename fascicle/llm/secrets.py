@@ -3,9 +3,9 @@
 Patterns propose candidates of three kinds (assign, access, hex) and one of long mixed tokens.
 Every candidate value is hashed; over the whole corpus a hash is counted by distinct
 repositories and distinct owners (a repository's name up to its first slash). A value that at
-least ``copied`` owners hold is a copied example; a value of a single owner that looks live
-(letters and digits, at least ``live_chars`` characters, no placeholder word) is a live-looking
-credential. Tokens that no base span covers are added as kind ``live`` if they are; base spans
+least ``copied`` owners or ``copied_repos`` repositories hold, even of one owner, is a copied
+example; a value of a single owner in fewer repositories that looks live (letters and digits, at
+least ``live_chars`` characters, no placeholder word) is a live-looking credential. Tokens that no base span covers are added as kind ``live`` if they are; base spans
 stay whatever their class, which ``classes`` tells.
 
 Defined results: null and empty texts have no spans; a null repository counts as one of its
@@ -28,7 +28,7 @@ ACCESS = r"AKIA[A-Z0-9]{14,}+"
 HEX = r"(?<![0-9a-f])[0-9a-f]{16,}+"
 TOKEN = r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{24,}+"
 BASE = ("assign", "access", "hex")
-COPIED, LIVE_CHARS = 3, 24
+COPIED, COPIED_REPOS, LIVE_CHARS = 3, 10, 24
 PLACEHOLDER = "(?i)example|sample|dummy|your|xxxx|changeme|placeholder|test"
 
 
@@ -51,7 +51,7 @@ def candidates(docs: DataFrame, repo_col: str = "source", id_col: str = "doc_id"
     return rows.select("id", "repo", "owner", F.concat("base", shape(tokens, "live", 3, "m")).alias("found"))
 
 
-def scan(docs: DataFrame, copied: int = COPIED, live_chars: int = LIVE_CHARS, repo_col: str = "source", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def scan(docs: DataFrame, copied: int = COPIED, copied_repos: int = COPIED_REPOS, live_chars: int = LIVE_CHARS, repo_col: str = "source", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, spans array<struct<kind,rank,lo,hi,repos,owners,class>>) for every row, by start, then kind."""
     rows = written(candidates(docs, repo_col, id_col, text_col, live_chars).withColumn("row", F.monotonically_increasing_id()), "secret-candidates")
     each = rows.where(F.size("found") > 0).select("row", "repo", "owner", F.explode("found").alias("f"))
@@ -61,7 +61,7 @@ def scan(docs: DataFrame, copied: int = COPIED, live_chars: int = LIVE_CHARS, re
     owners = written(by_owner.groupBy("hash").agg(F.sum("repos").alias("repos"), F.count("*").alias("owners"), F.sum("n").alias("n")), "secret-owners")
     total = owners.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     told = attach(each, owners, ["hash"], "n", total)
-    kind = F.when(F.col("owners") >= copied, "copied").when((F.col("owners") == 1) & F.col("looks"), "live").otherwise("unclear")
+    kind = F.when((F.col("owners") >= copied) | (F.col("repos") >= copied_repos), "copied").when((F.col("owners") == 1) & F.col("looks"), "live").otherwise("unclear")
     told = told.withColumn("class", kind).where((F.col("kind") != "live") | (F.col("class") == "live"))
     grouped = told.groupBy("row").agg(F.array_sort(F.collect_list(F.struct("lo", "rank", "hi", "kind", "repos", "owners", "class"))).alias("spans"))
     shape = F.transform(F.coalesce("spans", F.array().cast(grouped.schema["spans"].dataType)), lambda r: F.struct(*[r[c].alias(c) for c in ("kind", "rank", "lo", "hi", "repos", "owners", "class")]))
@@ -86,8 +86,8 @@ UNION ALL SELECT doc_id, kind, rank, lo, hi, m AS v FROM ({sql_spans('access', 1
 UNION ALL SELECT doc_id, kind, rank, lo, hi, m AS v FROM ({sql_spans('hex', 2, '[0-9a-f]+', "length(m) >= 16")})),
 k AS (SELECT doc_id, kind, rank, lo, hi, m AS v FROM ({sql_spans('live', 3, '[A-Za-z0-9+/_-]+', "length(m) >= 24")})),
 c AS (SELECT * FROM b UNION ALL SELECT * FROM k WHERE {_LIVE} AND NOT EXISTS (SELECT 1 FROM b WHERE b.doc_id = k.doc_id AND b.lo < k.hi AND k.lo < b.hi)),
-o AS (SELECT v, count(DISTINCT split_part(coalesce(source, ''), '/', 1)) AS owners FROM c JOIN documents USING (doc_id) GROUP BY v),
-s AS (SELECT c.*, CASE WHEN owners >= 3 THEN 'copied' WHEN owners = 1 AND {_LIVE} THEN 'live' ELSE 'unclear' END AS class FROM c JOIN o USING (v)),
+o AS (SELECT v, count(DISTINCT split_part(coalesce(source, ''), '/', 1)) AS owners, count(DISTINCT coalesce(source, '')) AS repos FROM c JOIN documents USING (doc_id) GROUP BY v),
+s AS (SELECT c.*, CASE WHEN owners >= {COPIED} OR repos >= {COPIED_REPOS} THEN 'copied' WHEN owners = 1 AND {_LIVE} THEN 'live' ELSE 'unclear' END AS class FROM c JOIN o USING (v)),
 f AS (SELECT * FROM s WHERE kind <> 'live' OR class = 'live')
 SELECT d.doc_id, count(*) FILTER (WHERE kind = 'assign') AS n_assign, count(*) FILTER (WHERE kind = 'access') AS n_access, count(*) FILTER (WHERE kind = 'hex') AS n_hex,
   sha256(coalesce(string_agg(kind || ':' || lo || ':' || hi, ',' ORDER BY lo, rank) FILTER (WHERE rank < 3), '')) AS base_sha256,
