@@ -55,3 +55,38 @@ def rendered(cards: DataFrame) -> DataFrame:
     """front_html, back_html and hierarchical tags of cards."""
     items = F.array_join(F.transform("back_bullets", lambda b: F.concat(F.lit("<li>"), html(b), F.lit("</li>"))), "")
     return cards.withColumns({"front_html": html(F.col("front")), "back_html": F.concat(F.lit("<ul>"), items, F.lit("</ul>")), "tags": F.concat_ws("::", F.lit("cards"), F.col("kind"), F.col("category"))})
+
+
+#: Rules of concept cards: in the order of ``place``, a callout takes the first whose trigger stands in its header; those of scope text are each held against the whole text.
+CONCEPT_RULES = "place int, scope string, triggers array<string>, code string, category string, badge string, front string, back_bullets array<string>, source_section string"
+MOST_RULES = 1000
+_CALLOUT = r"(?sU)>\s*\[!(?:IMPORTANT|NOTE|WARNING)\]\s*\n(.*?)(?=\n\n\w|\n---|\z)"
+
+
+def callout_headers(text: Column) -> Column:
+    """The first line that isn't blank of each important, note or warning callout, without its quote marks."""
+    bodies = F.regexp_extract_all(text, F.lit(_CALLOUT), F.lit(1))
+    lines = lambda b: F.transform(F.filter(F.split(b, "\n"), lambda x: F.btrim(x) != ""), lambda x: F.btrim(F.regexp_replace(x, r"^>\s*", "")))
+    return F.filter(F.transform(bodies, lambda b: F.try_element_at(lines(F.regexp_replace(b, r"^\s+|\s+$", "")), F.lit(1))), lambda h: h.isNotNull())
+
+
+def concept_cards(docs: DataFrame, rules: DataFrame) -> DataFrame:
+    """Cards of documents (doc_id, text, lecture, module) by a table of CONCEPT_RULES, all in one pass over the texts.
+
+    A rule's front may hold {lecture}. A callout gives one card at most, a rule on whole texts
+    one a document; null texts give none. The rules are a module's configuration: more than
+    MOST_RULES raise.
+    """
+    if rules.limit(MOST_RULES + 1).count() > MOST_RULES:
+        raise ValueError("too many rules for one pass")
+    names = [c.split()[0] for c in CONCEPT_RULES.split(", ")]
+    every = F.broadcast(rules.agg(F.array_sort(F.collect_list(F.struct(*names))).alias("__rules")))  # one row of MOST_RULES at most
+    rows = docs.select("doc_id", "text", "lecture", "module", callout_headers(F.coalesce("text", F.lit(""))).alias("__heads")).join(every, F.lit(True))
+    hit = lambda r, where: F.exists(r["triggers"], lambda t: F.contains(where, t))
+    of = lambda scope: F.filter("__rules", lambda r: r["scope"] == scope)
+    first = F.filter(F.transform("__heads", lambda h: F.try_element_at(F.filter(of("callout"), lambda r: hit(r, h)), F.lit(1))), lambda r: r.isNotNull())
+    found = F.concat(first, F.filter(of("text"), lambda r: F.coalesce(hit(r, F.col("text")), F.lit(False))))
+    out = rows.select("doc_id", "lecture", "module", F.posexplode(found).alias("ordinal", "r"))
+    front = F.replace("r.front", F.lit("{lecture}"), F.coalesce("lecture", F.lit("")))
+    card = F.concat_ws("-", F.upper(F.substring(F.coalesce("module", F.lit("")), 1, 4)), "r.code")
+    return out.select("doc_id", "ordinal", card.alias("id"), "r.category", "r.badge", front.alias("front"), "r.back_bullets", "r.source_section", "lecture", "module")

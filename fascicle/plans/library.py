@@ -189,3 +189,24 @@ def doc_badge_merge(spark, sf_dir):
     rows = table(spark, sf_dir, "documents").select(section.alias("doc_id"), F.lit("written").alias("kind"), F.col("doc_id").alias("ordinal"), block.alias("block"))
     out = merge.merge_questions(markdown.with_fields(rows))
     return out.select(F.col("doc_id").alias("section"), F.col("fingerprint").alias("stem"), F.col("number").cast("long").alias("number"), F.array_join("badges", " ").alias("badges"))
+
+
+@query(r"""
+WITH t AS (SELECT conv_id, turn, substr(regexp_replace(lower(text), '[^a-z]', '', 'g'), 1, 6) AS stem FROM conversations),
+g AS (SELECT conv_id, stem, min(turn) AS first FROM t GROUP BY ALL),
+n AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY first) AS n FROM g)
+SELECT conv_id, string_agg('### Clinical Case ' || n || chr(10) || chr(10) || trim('**Scenario:** ' || stem), '|' ORDER BY n) AS answer FROM n GROUP BY conv_id
+""")
+def conversation_case_merge(spark, sf_dir):
+    """Turns as clinical cases in three forms, TIP callouts among them: repeated ones merged, all in one form and numbered."""
+    from fascicle.operators import finalize
+
+    stem = F.substring(F.regexp_replace(F.lower("text"), "[^a-z]", ""), 1, 6)
+    n = F.col("turn").cast("string")
+    head = F.when(F.col("conv_id") % 3 == 0, F.concat(F.lit("### Case "), n)).when(F.col("conv_id") % 3 == 1, F.concat(F.lit("### Clinical Case "), n)).otherwise(F.concat(F.lit("> [!TIP]\n> **🩺 Clinical Case "), n, F.lit(":**")))
+    quote = F.when(F.col("conv_id") % 3 == 2, "> ").otherwise("")
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.concat(head, F.lit("\n"), quote, F.lit("**Scenario:** "), stem).alias("block"))
+    body = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", "block"))), lambda x: x["block"]), "\n\n")
+    whole = rows.groupBy(F.col("conv_id").alias("doc_id")).agg(body.alias("answer")).withColumn("kind", F.lit("case"))
+    out = finalize.normalize_answers(whole.select("doc_id", "kind", "answer"))
+    return out.select(F.col("doc_id").alias("conv_id"), F.replace("answer", F.lit("\n\n###"), F.lit("|###")).alias("answer"))

@@ -194,3 +194,17 @@ def test_style_rules_follow_the_profile(spark):
     assert told('{"mcq": {"max_stem_words": 3}}') == [("1", "imp_stem_length"), ("2", "imp_stem_length")]
     assert told('{"mcq": {"register": "Short Direct recall", "max_stem_words": 25}}') == [("1", "imp_stem_style"), ("2", "imp_vignette")]
     assert told('{"mcq": {"max_stem_words": "3"}}') == told("{}") == told("no json") == told(None) == []
+
+
+def test_concept_cards_come_from_a_table(spark):
+    from fascicle.operators import cards
+
+    rules = spark.createDataFrame(
+        [(2, "callout", ["Phases", "مراحل"], "CMP-01", "complications", "b2", "phases?", ["p"], "s2"), (1, "callout", ["Mechanism"], "MEC-01", "mechanism", "b1", "how ({lecture})?", ["x", "y"], "s1"), (3, "text", ["Definition of"], "DEF-01", "def", "b3", "what?", ["d"], "s3")],
+        cards.CONCEPT_RULES,
+    )
+    text = "# T\n> [!NOTE]\n> **Mechanism and Phases**\n> body\n\nnext\n> [!WARNING]\n> مراحل تطور\n---\n> [!TIP]\n> Mechanism\n\n> [!IMPORTANT]\n> nothing here\n\nDefinition of it"
+    docs = spark.createDataFrame([("a", text, "L1", "toxicology"), ("b", "plain", "L2", "m"), ("c", None, None, None)], "doc_id string, text string, lecture string, module string")
+    out = cards.concept_cards(docs, rules).orderBy("doc_id", "ordinal").collect()
+    assert [(r.doc_id, r.id, r.front, r.back_bullets) for r in out] == [("a", "TOXI-MEC-01", "how (L1)?", ["x", "y"]), ("a", "TOXI-CMP-01", "phases?", ["p"]), ("a", "TOXI-DEF-01", "what?", ["d"])]
+    assert not cards.concept_cards(docs, rules.limit(0)).collect() and not cards.concept_cards(docs.limit(0), rules).collect()
