@@ -210,3 +210,29 @@ def conversation_case_merge(spark, sf_dir):
     whole = rows.groupBy(F.col("conv_id").alias("doc_id")).agg(body.alias("answer")).withColumn("kind", F.lit("case"))
     out = finalize.normalize_answers(whole.select("doc_id", "kind", "answer"))
     return out.select(F.col("doc_id").alias("conv_id"), F.replace("answer", F.lit("\n\n###"), F.lit("|###")).alias("answer"))
+
+
+@query("""
+WITH r AS (SELECT doc_id, CASE WHEN doc_id % 9 = 0 THEN 2 ELSE 1 END AS n FROM labels WHERE quality = 1),
+l AS (SELECT doc_id, n_chars, CASE lang WHEN 'en' THEN 'past_exam' WHEN 'fr' THEN 'slides' ELSE 'lecture_material' END AS role, doc_id % 4 = 0 AS exe, doc_id % 6 = 1 AS remote, CASE WHEN doc_id % 4 = 0 THEN 0 ELSE coalesce(n, 0) END AS n FROM documents LEFT JOIN r USING (doc_id))
+SELECT 'L/doc_' || doc_id AS relative_path, 'unreadable' AS code FROM l WHERE n_chars < 100 AND n = 0 AND NOT remote
+UNION ALL SELECT 'L/doc_' || doc_id, 'not_uploadable' FROM l WHERE exe AND n = 0 AND (role = 'past_exam' OR doc_id % 10 = 3 OR doc_id % 7 = 2)
+UNION ALL SELECT 'L/doc_' || doc_id, 'no_remote' FROM l WHERE remote AND n = 0
+UNION ALL SELECT 'L/doc_' || doc_id, 'ambiguous' FROM l WHERE n > 1 AND NOT remote AND (role = 'past_exam' OR doc_id % 7 = 2)
+""")
+def doc_blocking_errors(spark, sf_dir):
+    """Documents as a workspace's files, labels as remote sources: what blocks a run that asks for every seventh."""
+    from fascicle.operators import blocking, match
+
+    n, none = F.col("doc_id").cast("string"), F.lit("")
+    d = table(spark, sf_dir, "documents")
+    role = F.when(F.col("lang") == "en", "past_exam").when(F.col("lang") == "fr", "slides").otherwise("lecture_material")
+    local = d.select(
+        F.concat(F.lit("L/doc_"), n).alias("relative_path"), F.concat(F.lit("doc_"), n, F.when(F.col("doc_id") % 4 == 0, ".exe").otherwise(".pdf")).alias("name"), none.alias("original_name"), none.alias("prepared_name"), F.array().cast("array<string>").alias("hashes"),
+        F.when(F.col("doc_id") % 6 == 1, "use_remote").otherwise("use").alias("preparation_action"), role.alias("role"), F.when(F.col("n_chars") < 100, "fail").otherwise("pass").alias("ocr_status"), F.lit(False).alias("planned"),
+    )
+    copies = F.explode(F.sequence(F.lit(1), F.when(F.col("doc_id") % 9 == 0, 2).otherwise(1)))
+    remote = table(spark, sf_dir, "labels").where("quality = 1").select(n.alias("i"), copies.alias("c")).select(F.concat("i", F.lit("-"), F.col("c").cast("string")).alias("source_id"), F.concat(F.lit("doc "), "i", F.lit(".TXT")).alias("title"), none.alias("content_hash"), F.lit("ready").alias("status"))
+    asked = d.where("doc_id % 7 = 2").select(F.concat(F.lit("Doc "), n, F.when(F.col("doc_id") % 4 == 0, ".exe").otherwise(".pdf")).alias("name"))
+    references = d.where("doc_id % 10 = 3").select(F.concat(F.lit("l\\DOC_"), n).alias("relative_path"))
+    return blocking.blocking_errors(match.deduplication_plan(local, remote), asked, references)

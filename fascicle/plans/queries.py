@@ -16,6 +16,8 @@ SQL: dict[str, str] = {}
 
 #: Parts of a word's documents in the scored match.
 SALTS = 16
+#: Bytes of items of few words that are tested against all documents.
+SHORT_BYTES = 8 << 20
 
 _KEY = r"[^\p{L}\p{N}_]"
 
@@ -242,19 +244,24 @@ def doc_top1_topic_score(spark, sf_dir):
 SELECT d.doc_id, b.item_id FROM documents d JOIN benchmark b ON contains(d.text, b.text)
 """)
 def doc_benchmark_contains(spark, sf_dir):
-    """Containment match: items are few (checked), so each document is tested against all in one pass."""
-    b = table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("item")).where("item <> ''")
-    if b.agg(F.coalesce(F.sum(F.length("item")), F.lit(0))).first()[0] <= 8 << 20:
-        b = F.broadcast(b)
-    grams = F.array_distinct(F.transform(F.sequence(F.lit(0), F.greatest(F.lit(0), F.size("ws") - 3)), lambda i: F.array_join(F.slice("ws", i + 1, 3), " ")))
-    d = table(spark, sf_dir, "documents").select("doc_id", "text", F.split("text", r"\s+").alias("ws"))
-    # Equi join on the item's second to fourth word, which stand whole in a document that holds it.
-    keyed = b.withColumn("key", F.array_join(F.slice(F.split("item", r"\s+"), 2, 3), " ")).where(F.size(F.split("item", r"\s+")) >= 5)
+    """Containment match: hashes of three words find candidates, which are then tested whole.
+
+    Items of fewer than five words have no such key: they are tested against each document in
+    one pass, if all of them fit SHORT_BYTES, and raise beyond it.
+    """
+    b = table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("item"), F.split("text", r"\s+").alias("ws")).where("item <> ''")
+    d = table(spark, sf_dir, "documents").select("doc_id", "text")
+    # The item's second to fourth word stand whole in a document that holds it.
+    grams = F.array_distinct(F.transform(F.sequence(F.lit(0), F.greatest(F.lit(0), F.size("ws") - 3)), lambda i: F.xxhash64(F.slice("ws", i + 1, 3))))
+    keyed = b.where(F.size("ws") >= 5).select("item_id", F.xxhash64(F.slice("ws", 2, 3)).alias("key"))
+    shared = d.select("doc_id", F.split("text", r"\s+").alias("ws")).select("doc_id", F.explode(grams).alias("key"))
     # Only keys move; texts are fetched for the documents that share one.
-    shared = d.select("doc_id", F.explode(grams).alias("key")).join(keyed.select("key", "item_id"), "key").select("doc_id", "item_id").distinct()
-    near = shared.join(b, "item_id").join(d.select("doc_id", "text"), "doc_id").where(F.contains("text", F.col("item"))).select("doc_id", "item_id")
-    short = b.where(F.size(F.split("item", r"\s+")) < 5)
-    return near.unionByName(d.join(short, F.contains("text", F.col("item"))).select("doc_id", "item_id")).distinct()
+    shared = shared.join(keyed, "key").select("doc_id", "item_id").distinct()
+    near = shared.join(b.select("item_id", "item"), "item_id").join(d, "doc_id").where(F.contains("text", F.col("item"))).select("doc_id", "item_id")
+    short = b.where(F.size("ws") < 5).select("item_id", "item")
+    if short.agg(F.coalesce(F.sum(F.length("item") + 16), F.lit(0))).first()[0] > SHORT_BYTES:
+        raise ValueError("too many short items for one pass")
+    return near.unionByName(d.join(F.broadcast(short), F.contains("text", F.col("item"))).select("doc_id", "item_id")).distinct()
 
 
 @query(rf"""

@@ -208,3 +208,15 @@ def test_concept_cards_come_from_a_table(spark):
     out = cards.concept_cards(docs, rules).orderBy("doc_id", "ordinal").collect()
     assert [(r.doc_id, r.id, r.front, r.back_bullets) for r in out] == [("a", "TOXI-MEC-01", "how (L1)?", ["x", "y"]), ("a", "TOXI-CMP-01", "phases?", ["p"]), ("a", "TOXI-DEF-01", "what?", ["d"])]
     assert not cards.concept_cards(docs, rules.limit(0)).collect() and not cards.concept_cards(docs.limit(0), rules).collect()
+
+
+def test_unrelated_faults_block_nothing(spark):
+    from fascicle.operators import blocking
+
+    plan = spark.createDataFrame(
+        [("L/a.pdf", "a.pdf", "", "slides", "use", 2, "ambiguous", "pass", False), ("L/b.pdf", "b.pdf", "", "slides", "use", 2, "ambiguous", "pass", False), ("Q/e.pdf", "e.pdf", "", "past_exam", "use", 3, "ambiguous", "pass", False), ("L/c.exe", "c.exe", "", "slides", "use", 0, "missing", "fail", False), ("L/d.exe", "d.exe", "", "slides", "use", 0, "missing", "fail", True), ("L/f.exe", "f.exe", "f.pdf", "reference", "convert", 0, "missing", None, None), ("L/g.pdf", "g.pdf", "", None, "use_remote", 0, "duplicate", "pass", False), ("L/h.exe", "h.exe", None, "ignore", "use", None, "missing", "pass", False)],
+        "relative_path string, name string, prepared_name string, role string, preparation_action string, n_matches int, decision string, ocr_status string, planned boolean",
+    )
+    asked, refs = spark.createDataFrame([("A",), ("C.pdf",), (None,), ("h",)], "name string"), spark.createDataFrame([("l\\f.exe",), ("L/d.exe",)], "relative_path string")
+    assert sorted(map(tuple, blocking.blocking_errors(plan, asked, refs).collect())) == [("L/a.pdf", "ambiguous"), ("L/c.exe", "not_uploadable"), ("L/c.exe", "unreadable"), ("L/d.exe", "not_uploadable"), ("L/g.pdf", "no_remote"), ("Q/e.pdf", "ambiguous")]
+    assert not blocking.blocking_errors(plan.limit(0), asked, refs).collect()
