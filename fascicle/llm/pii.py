@@ -4,8 +4,8 @@ Regular expressions propose spans of six kinds: email, ip, card, phone, iban, ss
 confirm them: parts of an ip are at most 255, a card has 16 to 19 digits and passes Luhn, a
 phone has 8 to 15 digits, an iban passes mod-97. A span's score starts from its kind, rises
 with a checksum and with a context word within CONTEXT characters before or after it, and stays
-in 0 to 1. An iban is one run of letters and digits: groups parted by spaces are not proposed.
-The first four kinds are always kept once valid; iban and ssn are added from ``least`` on, which
+in 0 to 1. An iban is one run of letters and digits or stands in its printed groups of four; a
+word of capitals right after the groups that could be one more is taken for one. The first four kinds are always kept once valid; iban and ssn are added from ``least`` on, which
 an iban reaches by its checksum and an ssn by its context only.
 
 Defined results: null and empty texts have no spans; rows may repeat; null ids stay; spans of
@@ -20,13 +20,15 @@ from pyspark.sql import functions as F
 from fascicle.llm.native import joined, spans
 
 _BYTE = r"0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]{1,2})"
+#: In one run, or printed: groups of four, the last of up to three.
+IBAN = "[A-Z]{2}[0-9]{2}(?:[A-Z0-9]{11,30}|(?: [A-Z0-9]{4}){2,7}(?: [A-Z0-9]{1,3})?)"
 #: kind -> (pattern; a run's later starts are skipped where they can't match; score; context words)
 KINDS = {
     "email": (r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++", 0.8, "mail|contact|write"),
     "ip": (r"(?<![0-9])[0-9]++(?:\.[0-9]++)(?:\.[0-9]++)(?:\.[0-9]++)", 0.6, "ip|host|server|address"),
     "card": (r"(?<![0-9])[0-9](?:[\x20-]?[0-9])++", 0.5, "card|visa|credit|payment"),
     "phone": (r"\+[0-9][\x20().0-9-]+[0-9]", 0.6, "phone|call|tel|mobile"),
-    "iban": (r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}[A-Z0-9]{11,30}+(?![A-Za-z0-9])", 0.5, "iban|account|bank"),
+    "iban": (r"(?<![A-Za-z0-9_])" + IBAN + "(?![A-Za-z0-9_])", 0.5, "iban|account|bank"),
     "ssn": (r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])", 0.5, "ssn|social security"),
 }
 BASE = ("email", "ip", "card", "phone")
@@ -55,7 +57,7 @@ def _valid(kind: str, m: Column) -> Column:
     if kind == "phone":
         return n.between(8, 15)
     if kind == "iban":
-        return mod97(m) == 1
+        return mod97(F.replace(m, F.lit(" "), F.lit(""))) == 1
     return F.lit(True)
 
 
@@ -104,7 +106,7 @@ def sql_spans(kind: str, rank: int, pattern: str, where: str, source: str = "d",
 
 _DIGITS = "regexp_replace(m, '[^0-9]', '', 'g')"
 _LUHN = f"list_sum(list_transform(range(1, length({_DIGITS}) + 1), lambda j: CASE WHEN j % 2 = 1 THEN substr(reverse({_DIGITS}), j, 1)::INT ELSE (2 * substr(reverse({_DIGITS}), j, 1)::INT) % 10 + (2 * substr(reverse({_DIGITS}), j, 1)::INT) // 10 END)) % 10 = 0"
-_IBAN = "list_reduce(list_prepend(0, list_transform(string_split(substr(m, 5) || substr(m, 1, 4), ''), lambda c: CASE WHEN c BETWEEN '0' AND '9' THEN ascii(c) - 48 ELSE ascii(c) - 55 END)), lambda a, v: CASE WHEN v < 10 THEN (a * 10 + v) % 97 ELSE (a * 100 + v) % 97 END) = 1"
+_IBAN = "list_reduce(list_prepend(0, list_transform(string_split(substr(replace(m, ' ', ''), 5) || substr(m, 1, 4), ''), lambda c: CASE WHEN c BETWEEN '0' AND '9' THEN ascii(c) - 48 ELSE ascii(c) - 55 END)), lambda a, v: CASE WHEN v < 10 THEN (a * 10 + v) % 97 ELSE (a * 100 + v) % 97 END) = 1"
 _NEAR = " ".join(f"WHEN '{kind}' THEN {_start(kind, start)} + CASE WHEN regexp_matches(lower(before), '(?:^|[^a-z])(?:{words})') OR regexp_matches(lower(after), '(?:^|[^a-z])(?:{words})') THEN 30 ELSE 0 END" for kind, (_, start, words) in KINDS.items())
 
 SQL = f"""
@@ -114,7 +116,7 @@ p AS (
 UNION ALL {sql_spans('ip', 1, '[0-9]+(?:[.][0-9]+)(?:[.][0-9]+)(?:[.][0-9]+)', f"regexp_full_match(m, '{_BYTE}(?:[.]{_BYTE}){{3}}')")}
 UNION ALL {sql_spans('card', 2, '[0-9](?:[ -]?[0-9])+', f"CASE WHEN length({_DIGITS}) BETWEEN 16 AND 19 THEN {_LUHN} ELSE false END")}
 UNION ALL {sql_spans('phone', 3, '[+][0-9][ ().0-9-]+[0-9]', f"length({_DIGITS}) BETWEEN 8 AND 15")}
-UNION ALL {sql_spans('iban', 4, '[A-Za-z0-9]+', "CASE WHEN regexp_full_match(m, '[A-Z]{2}[0-9]{2}[A-Z0-9]{11,30}') THEN " + _IBAN + " ELSE false END")}
+UNION ALL {sql_spans('iban', 4, chr(92) + 'b' + IBAN + chr(92) + 'b', _IBAN)}
 UNION ALL {sql_spans('ssn', 5, '[0-9-]+', "regexp_full_match(m, '[0-9]{3}-[0-9]{2}-[0-9]{4}')")}),
 s AS (SELECT *, least(100, CASE kind {_NEAR} END) AS score FROM p),
 k AS (SELECT * FROM s WHERE rank < 4 OR score >= {round(100 * LEAST)})

@@ -102,3 +102,11 @@ def test_repositories_tell_copies_from_live_values(spark):
     assert out[1] == out[2] == [("live", "live", 2, 1)]
     assert all(out[10 + i] == [] for i in range(10))  # one owner's template in ten repositories: no live token
     assert all(out[30 + i] == [("assign", "copied", 3, 3)] for i in range(3)) and out[40] == [("assign", "unclear", 1, 1)]
+
+
+def test_ibans_in_groups(spark):
+    from fascicle.llm import pii
+
+    texts = ["DE89 3704 0044 0532 0130 00", "xx DE89 3704 0044 0532 0130 00 is, GB82 WEST 1234 5698 7654 32.", "DE89 3704 0044 0532 0130 01", "é DE89370400440532013000 NO93 8601 1117 947", "aDE89 3704 0044 0532 0130 00", "DE89  3704 0044 0532 0130 00", "DE89 3704 0044 0532 0130 00IS"]
+    found = {r.doc_id: [(s.kind, s.lo, s.hi) for s in r.spans if s.kind == "iban"] for r in pii.find(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert found == {0: [("iban", 0, 27)], 1: [("iban", 3, 30), ("iban", 35, 62)], 2: [], 3: [("iban", 2, 24), ("iban", 25, 43)], 4: [], 5: [], 6: []}
