@@ -236,3 +236,23 @@ def doc_blocking_errors(spark, sf_dir):
     asked = d.where("doc_id % 7 = 2").select(F.concat(F.lit("Doc "), n, F.when(F.col("doc_id") % 4 == 0, ".exe").otherwise(".pdf")).alias("name"))
     references = d.where("doc_id % 10 = 3").select(F.concat(F.lit("l\\DOC_"), n).alias("relative_path"))
     return blocking.blocking_errors(match.deduplication_plan(local, remote), asked, references)
+
+
+@query("""
+WITH a AS (SELECT conv_id, string_agg(CASE WHEN conv_id % 2 = 0 THEN '### MCQ ' ELSE '### Question ' END || turn || CASE WHEN turn % 2 = 0 THEN CASE WHEN conv_id % 5 = 0 THEN ' **[Past Exams (2020) / IMP]**' ELSE ' **[Question Bank]**' END ELSE '' END, chr(10) ORDER BY turn) AS t, count(*) AS n, count(*) FILTER (WHERE turn % 2 = 0) AS badges FROM conversations GROUP BY conv_id),
+k AS (SELECT *, CASE WHEN conv_id % 2 = 0 THEN 'mcq' ELSE 'written' END AS kind FROM a)
+SELECT conv_id, kind, 'badge_count' AS code FROM k WHERE badges < n
+UNION ALL SELECT conv_id, kind, 'missing_citation' FROM k WHERE conv_id % 3 <> 1
+UNION ALL SELECT conv_id, kind, 'missing_recording' FROM k WHERE conv_id % 5 = 0 AND badges > 0 AND conv_id % 3 <> 0
+""")
+def conversation_phase_rules(spark, sf_dir):
+    """Conversations as question phases: badges to each question, exams and recordings cited."""
+    from fascicle.operators import phases
+
+    badge = F.when(F.col("conv_id") % 5 == 0, " **[Past Exams (2020) / IMP]**").otherwise(" **[Question Bank]**")
+    head = F.concat(F.when(F.col("conv_id") % 2 == 0, "### MCQ ").otherwise("### Question "), F.col("turn").cast("string"), F.when(F.col("turn") % 2 == 0, badge).otherwise(""))
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", head.alias("h")).groupBy(F.col("conv_id").alias("doc_id")).agg(F.array_sort(F.collect_list(F.struct("turn", "h"))).alias("x"))
+    names = F.when(F.col("doc_id") % 3 == 0, F.array(F.lit("Talk_1.M4A"))).when(F.col("doc_id") % 3 == 1, F.array(F.lit("final exam.txt"))).otherwise(F.array().cast("array<string>"))
+    results = rows.select("doc_id", F.when(F.col("doc_id") % 2 == 0, "mcq").otherwise("written").alias("kind"), F.array_join(F.transform("x", lambda v: v["h"]), "\n").alias("answer"), names.alias("source_names"))
+    name = lambda n: spark.createDataFrame([(n,)], "name string")
+    return phases.phase_rules(results, name("talk 1.m4a"), name("Final Exam.pdf")).select(F.col("doc_id").alias("conv_id"), "kind", "code")

@@ -220,3 +220,22 @@ def test_unrelated_faults_block_nothing(spark):
     asked, refs = spark.createDataFrame([("A",), ("C.pdf",), (None,), ("h",)], "name string"), spark.createDataFrame([("l\\f.exe",), ("L/d.exe",)], "relative_path string")
     assert sorted(map(tuple, blocking.blocking_errors(plan, asked, refs).collect())) == [("L/a.pdf", "ambiguous"), ("L/c.exe", "not_uploadable"), ("L/c.exe", "unreadable"), ("L/d.exe", "not_uploadable"), ("L/g.pdf", "no_remote"), ("Q/e.pdf", "ambiguous")]
     assert not blocking.blocking_errors(plan.limit(0), asked, refs).collect()
+
+
+def test_phase_rules(spark):
+    from fascicle.operators import phases
+
+    h = "\n".join(schema.IMP_HEADINGS)
+    rows = [
+        ("ok", "guide", "x" * 300, ["Rec.m4a"]), ("bad", "guide", "# T\n> [!TIP]\n> x", ["exam.pdf"]), ("ok", "imp", f"{h}\n> [!WARNING]\n> a\n> [!CAUTION]\n> b", []), ("bad", "imp", h.replace("####", "###", 1) + "\n> [!WARNING]", None),
+        ("ok", "mcq", "### MCQ 1 **[Question Bank]**\n> ### MCQ 2 [IMP]", ["Exam"]), ("bad", "mcq", "### MCQ 1 **[Past Exams (2020, 2021) / IMP]**\n### MCQ 2", []), ("none", "mcq", " NO_GROUNDED_MCQS\n".strip(), []), ("imp", "mcq", "### MCQ 1 **[IMP]**", []),
+        ("bad", "written", None, ["rec"]), ("none", "written", "NO_GROUNDED_WRITTEN_QUESTIONS", None),
+    ]
+    name = lambda *n: spark.createDataFrame([(x,) for x in n], "name string")
+    results = spark.createDataFrame(rows, "doc_id string, kind string, answer string, source_names array<string>")
+    out = sorted((r.doc_id, r.kind, r.code) for r in phases.phase_rules(results, name("rec.m4a"), name("exam.pdf")).collect())
+    assert out == sorted([
+        ("bad", "guide", "body_heading"), ("bad", "guide", "callout"), ("bad", "guide", "short_guide"), ("bad", "guide", "missing_recording"), ("bad", "imp", "missing_callout"), ("bad", "imp", "imp_headings"),
+        ("bad", "mcq", "badge_count"), ("bad", "mcq", "missing_citation"), ("bad", "mcq", "missing_recording"), ("bad", "written", "no_blocks"), ("bad", "written", "missing_citation"),
+    ])
+    assert not phases.phase_rules(results.limit(0), name("rec.m4a"), name("exam.pdf")).collect()
