@@ -130,8 +130,8 @@ def keep_ids(docs: DataFrame, ids: DataFrame, id_col: str = "doc_id", how: str =
 def _star(edges: DataFrame, large: bool) -> DataFrame:
     """One star step over edges (u > v): every neighbour is linked to its smallest one.
 
-    A large component's smallest node meets all its neighbours; adaptive execution splits its
-    part of the join, whose other side holds a node once.
+    A large component's smallest node meets all its neighbours in one task of the join, whose
+    other side holds a node once; rows are pairs of numbers.
     """
     both = edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v"))) if large else edges
     least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
