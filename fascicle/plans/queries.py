@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import math
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window
@@ -14,8 +17,10 @@ from fascicle.operators import cards, checkpoint, ledger, match, merge, prepare,
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
 
-#: Parts of a word's documents in the scored match.
-SALTS = 16
+#: Most (document, item) rows of a part in the scored match, about.
+PAIRS = 1 << 19
+#: Distinct words of items, each item's counted, that the scored match broadcasts at once.
+BLOCK_WORDS = 1 << 18
 #: Bytes of items of few words that are tested against all documents.
 SHORT_BYTES = 8 << 20
 
@@ -228,16 +233,23 @@ SELECT doc_id, item_id, score FROM s QUALIFY row_number() OVER (PARTITION BY doc
 def doc_top1_topic_score(spark, sf_dir):
     """Scored match on all topic words: those of three characters or more, without the fixed generic ones and years.
 
-    A frequent word meets in SALTS parts.
+    Only words that items hold move, all of a document to one part; there are so many parts that
+    the (document, item) rows of one are about PAIRS at most. Items beyond BLOCK_WORDS words are matched
+    in blocks, each against the same shuffled words, and a document's best of all blocks wins.
     """
     word = lambda w: (F.length(w) >= 3) & ~w.isin(*match.GENERIC) & ~w.rlike(r"^\d{4}$")
-    words = lambda c: F.explode(F.array_distinct(F.filter(F.regexp_extract_all(F.lower(c), F.lit(r"[\p{L}\p{N}]+"), F.lit(0)), word))).alias("w")
-    d = table(spark, sf_dir, "documents").select("doc_id", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).alias("salt"), words(F.col("text")))
-    salts = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))).alias("salt")
-    b = table(spark, sf_dir, "benchmark").select("item_id", words(F.col("text"))).select("item_id", "w", salts)
-    score = d.join(b, ["w", "salt"]).groupBy("doc_id", "item_id").agg(F.count("*").alias("score"))
-    best = score.groupBy("doc_id").agg(F.max_by(F.struct("item_id", "score"), F.struct("score", -F.col("item_id"))).alias("r"))
-    return best.select("doc_id", "r.*")
+    words = lambda c: F.regexp_extract_all(F.lower(c), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
+    docs, items = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
+    b = items.select("item_id", F.explode(F.array_distinct(F.filter(words(F.col("text")), word))).alias("w"))
+    blocks = max(1, math.ceil(b.count() / BLOCK_WORDS))
+    parts = max(spark.sparkContext.defaultParallelism, math.ceil(docs.count() * math.ceil(items.count() / blocks) / PAIRS))
+    # The items' words are topic words, so a document's need no test of their own.
+    d = docs.select("doc_id", F.explode(F.array_distinct(words(F.col("text")))).alias("w")).join(b.select("w"), "w", "left_semi").repartition(parts, "doc_id")
+    # The smaller item wins a tie; unlike -item_id, ~item_id can't overflow.
+    top = lambda rows: rows.groupBy("doc_id").agg(F.max_by(F.struct("item_id", "score"), F.struct("score", F.bitwise_not("item_id"))).alias("r")).select("doc_id", "r.*")
+    score = lambda block: d.join(F.broadcast(block), "w").groupBy("doc_id", "item_id").agg(F.count("*").alias("score"))
+    best = [top(score(b.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == i))) for i in range(blocks)]
+    return best[0] if blocks == 1 else top(reduce(DataFrame.unionByName, best))
 
 
 @query("""

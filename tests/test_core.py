@@ -284,3 +284,33 @@ def test_top1_topic_score_counts_short_words(spark, tmp_path):
         if score:
             want[doc] = (-item, score)
     assert {r.doc_id: (r.item_id, r.score) for r in queries.doc_top1_topic_score(spark, str(tmp_path)).collect()} == want
+
+
+def test_top1_topic_score_parts_grow_with_the_pairs(spark, tmp_path, monkeypatch):
+    from fascicle.plans import queries
+
+    monkeypatch.setattr(queries, "PAIRS", 100, raising=False)
+    spark.range(400).selectExpr("id AS doc_id", "concat('shared word', id) AS text").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.range(20).selectExpr("id AS item_id", "'shared' AS text").write.parquet(f"{tmp_path}/benchmark.parquet")
+    got = queries.doc_top1_topic_score(spark, str(tmp_path))
+    assert {tuple(r) for r in got.collect()} == {(d, 0, 1) for d in range(400)}
+    parts = [len(rows) for rows in got.rdd.glom().collect()]  # the task that scores a document's items ends with its row
+    assert len(parts) >= 80 and max(parts) < 40
+
+
+@pytest.mark.parametrize("words", [1 << 18, 3])  # one block of items, several
+def test_top1_topic_score_odd_rows_in_blocks(spark, tmp_path, monkeypatch, words):
+    from fascicle.plans import queries
+
+    monkeypatch.setattr(queries, "BLOCK_WORDS", words, raising=False)
+    least = -(2**63)
+    docs = [(1, "red fox ran"), (1, "red hen"), (None, "blue fox"), (2, None), (3, "blue blue hen 2020"), (4, ""), (5, "hen"), (6, "owl question")]
+    items = [(4, "red fox"), (4, "Red; hen"), (least, "fox ran"), (None, "blue hen"), (7, "blue hen 2020"), (8, None), (9, "exam 2020"), (10, "owl question"), (None, "owl")]
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    con = duckdb.connect()
+    for name in ("documents", "benchmark"):
+        con.execute(f"CREATE VIEW {name} AS SELECT * FROM '{tmp_path}/{name}.parquet/*.parquet'")
+    want = con.execute(queries.SQL["doc_top1_topic_score"]).fetchall()
+    rows = queries.doc_top1_topic_score(spark, str(tmp_path)).select("doc_id", "item_id", "score").collect()
+    assert sorted(map(repr, map(tuple, rows))) == sorted(map(repr, want)) and (5, 4, 1) in want
