@@ -249,7 +249,8 @@ def doc_top1_topic_score(spark, sf_dir):
     top = lambda rows: rows.groupBy("doc_id").agg(F.max_by(F.struct("item_id", "score"), F.struct("score", F.bitwise_not("item_id"))).alias("r")).select("doc_id", "r.*")
     score = lambda block: d.join(F.broadcast(block), "w").groupBy("doc_id", "item_id").agg(F.count("*").alias("score"))
     best = [top(score(b.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == i))) for i in range(blocks)]
-    return best[0] if blocks == 1 else top(reduce(DataFrame.unionByName, best))
+    # A union of equal partitionings would run all blocks of a part in one task.
+    return best[0] if blocks == 1 else top(reduce(DataFrame.unionByName, [x.repartition("doc_id") for x in best]))
 
 
 @query("""

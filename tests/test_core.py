@@ -314,3 +314,17 @@ def test_top1_topic_score_odd_rows_in_blocks(spark, tmp_path, monkeypatch, words
     want = con.execute(queries.SQL["doc_top1_topic_score"]).fetchall()
     rows = queries.doc_top1_topic_score(spark, str(tmp_path)).select("doc_id", "item_id", "score").collect()
     assert sorted(map(repr, map(tuple, rows))) == sorted(map(repr, want)) and (5, 4, 1) in want
+
+
+def test_top1_topic_score_runs_blocks_apart(spark, tmp_path, monkeypatch):
+    from fascicle.plans import queries
+
+    monkeypatch.setattr(queries, "BLOCK_WORDS", 10, raising=False)
+    spark.range(50).selectExpr("id AS doc_id", "concat('shared word', id) AS text").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.range(40).selectExpr("id AS item_id", "'shared' AS text").write.parquet(f"{tmp_path}/benchmark.parquet")
+    got = queries.doc_top1_topic_score(spark, str(tmp_path))
+    assert {tuple(r) for r in got.collect()} == {(d, 0, 1) for d in range(50)}
+    plan = got._jdf.queryExecution()
+    # Four blocks: the documents' words shuffled once, each block's rows after it.
+    assert plan.optimizedPlan().toString().count("RepartitionByExpression [doc_id") == 8
+    assert plan.executedPlan().toString().split("== Initial Plan ==")[0].count("ReusedExchange") >= 3
